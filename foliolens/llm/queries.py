@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import hilbert_sharding, secret_scan, url_reputation
+from foliolens.llm import hilbert_sharding, ngram_jaccard_join, secret_scan, toxicity, url_reputation
 from foliolens.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join.join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.by_path(docs, secret_scan.scan(docs))
@@ -35,10 +39,16 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_hilbert_sharding": op4_hilbert_sharding,
     "op5_url_reputation": op5_url_reputation,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
