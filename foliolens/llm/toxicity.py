@@ -2,7 +2,8 @@
 
 A text's features are the presence of its 3- to 5-character windows (lower-cased, whole text, hashed to
 2**18).  Each feature is scaled by the log ratio of its smoothed shares in toxic and clean labelled texts,
-and a logistic regression with an L2 penalty is fitted on the scaled features.  Only the text is an input.
+and a logistic regression with an L2 penalty is fitted on the scaled features that tell the two apart beyond
+chance.  Only the text is an input.
 
 Fitting takes a bounded sample of labelled rows (``SAMPLE_ROWS``, the first by a hash of the id); every
 document is scored.  The model is a weight a feature, so what is broadcast has a fixed size.
@@ -32,8 +33,11 @@ from foliolens.llm.words import mix
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
 SMOOTHING = 1.0
-PENALTY = 1e-3
-ITERATIONS = 60
+PENALTY = 0.05
+ITERATIONS = 100
+#: A feature counts if its toxic share is so many standard deviations off; the first FEWEST always do.
+DEVIATIONS = 8.0
+FEWEST = 128
 SAMPLE_ROWS = 6000
 THRESHOLD = 0.3
 #: Characters turned into windows at once.
@@ -104,16 +108,27 @@ def fit(labelled: DataFrame) -> Model:
     bad[counts.bucket] += counts.toxic
     good[counts.bucket] += counts.total - counts.toxic
     ratio = np.log(bad / bad.sum()) - np.log(good / good.sum())
-    shared = labelled.sparkSession.sparkContext.broadcast(ratio)
+    share, texts = toxic / total, bad + good - 2 * SMOOTHING
+    off = np.abs(bad - SMOOTHING - texts * share) / np.sqrt(np.maximum(texts, 1) * share * (1 - share))
+    order = np.argsort(-off, kind="stable")
+    kept = np.sort(order[: max(FEWEST, int((off >= DEVIATIONS).sum()))])
+    column = np.full(BUCKETS, -1)
+    column[kept] = np.arange(len(kept))
+    shared = labelled.sparkSession.sparkContext.broadcast((column, ratio[kept]))
 
     @F.udf(VectorUDT())
     def scaled(found):
-        return SparseVector(BUCKETS, found, shared.value[found])
+        column, ratio = shared.value
+        at = column[found]
+        at = at[at >= 0]
+        return SparseVector(len(ratio), at, ratio[at])
 
     train = rows.select(F.col("label").cast("double").alias("label"), scaled("found").alias("features"))
     lr = LogisticRegression(maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=0.0, standardization=False, tol=1e-5)
     fitted = lr.fit(train)
-    return Model(float(fitted.intercept), fitted.coefficients.toArray() * ratio)
+    weights = np.zeros(BUCKETS)
+    weights[kept] = fitted.coefficients.toArray() * ratio[kept]
+    return Model(float(fitted.intercept), weights)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:

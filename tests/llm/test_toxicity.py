@@ -28,8 +28,8 @@ def test_held_out_quality(spark):
     known = [(label[r.doc_id], r) for r in rows if r.held_out and r.doc_id in label]
     hit = sum(t and r.predicted for t, r in known)
     print("held out", len(known), "toxic", sum(t for t, _ in known), "predicted", sum(r.predicted for _, r in known), "both", hit)
-    # a third of the toxic labels is on texts without any marker; no classifier of the text finds those
-    assert hit / sum(r.predicted for _, r in known) > 0.85 and hit / sum(t for t, _ in known) > 0.55
+    # nearly half of the toxic labels here is on texts without any marker; no classifier of the text finds those
+    assert hit / sum(r.predicted for _, r in known) > 0.95 and hit / sum(t for t, _ in known) > 0.5
 
 
 @pytest.mark.parametrize("kinds", [[], [0, 0], [1, 1, 1]])
