@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import hilbert_sharding, ngram_jaccard_join, secret_scan, toxicity, url_reputation
+from foliolens.llm import decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, toxicity, url_reputation
 from foliolens.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_hilbert_sharding": op4_hilbert_sharding,
     "op5_url_reputation": op5_url_reputation,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
 }
 
