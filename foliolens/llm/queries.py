@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, toxicity, url_reputation
+from foliolens.llm import decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, substring_dedup, toxicity, url_reputation
 from foliolens.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join.join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.by_path(docs, secret_scan.scan(docs))
@@ -49,6 +53,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_hilbert_sharding": op4_hilbert_sharding,
     "op5_url_reputation": op5_url_reputation,
