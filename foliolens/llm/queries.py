@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, substring_dedup, toxicity, training_order, url_reputation
+from foliolens.llm import decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation
 from foliolens.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.sequences(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_url_reputation": op5_url_reputation,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_training_order": op10_training_order,
 }
 
