@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation
+from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation
 from foliolens.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op6_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25_topk.top_k(docs, docs.filter("doc_id % 100 = 0"), k=10)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_hilbert_sharding": op4_hilbert_sharding,
     "op5_url_reputation": op5_url_reputation,
+    "op6_bm25_topk": op6_bm25_topk,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,

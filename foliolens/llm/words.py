@@ -44,9 +44,9 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def split(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(raw: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of every word and the row it is in."""
-    inside = ~SEPARATOR[raw]
+    inside = ~separator[raw]
     before = np.empty(len(raw), bool)
     before[:1] = False
     before[1:] = inside[:-1]
