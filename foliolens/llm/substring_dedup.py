@@ -4,15 +4,16 @@ A window is ``WINDOW`` consecutive words of one document.  Every word that lies
 also starts in a document with a smaller id is removed; all windows are judged on the input.
 
 Each window belongs to the bucket of its minimiser, the least of its ``MINIMISER``-word sequences in an order
-that prefers long (hence rarer) ones.  Consecutive windows of one bucket travel as one packed string, about
-three times the text in all.  In the bucket the windows of all strings are sorted by a 128-bit hash, and the
-least id of each run of equal ones decides.  Before the shuffle the same is done within each block of input:
-windows that an earlier document of the block has too are settled there and do not travel, so what a bucket
-gets of one passage is one string a block, however many documents repeat it.  A task reads its buckets in
-order and holds the windows of a few at a time.
+that prefers long (hence rarer) ones.  Consecutive windows of one bucket travel as one packed string.  As all
+strings together are three times the text, a first pass finds, from ids alone, the buckets that more than one
+document has windows in; the strings of other buckets need not travel.  In the bucket the windows of all
+strings are sorted by a 128-bit hash, and the least id of each run of equal ones decides.  Before the shuffle
+the same is done within each block of input: windows that a smaller document of the block has too are settled
+there and do not travel, so what a bucket gets of one passage is one string a block, however many documents
+repeat it.  A task reads its buckets in order and holds the windows of a few at a time.
 
 Defined cases: a null text has no words; a null id counts as larger than any other; rows that share an id
-are not held against each other; fewer than 13 words are never removed; an empty table gives no rows.
+are not held against each other (15 bits of a hash of the text tell them apart); fewer than 13 words are never removed; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import blocks, utf8
-from foliolens.llm.words import runs_hash, spans_hash, split
+from foliolens.llm.words import mix, runs_hash, spans_hash, split
 
 WINDOW = 13
 MINIMISER = 3
@@ -64,17 +65,18 @@ def _least_owner(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> np.ndar
 
 
 def _minimisers(raw, starts, ends, row, at) -> np.ndarray:
-    """The bucket of the windows that start at words ``at``."""
+    """The bucket (32 bits of a hash of the minimiser) of the windows that start at words ``at``."""
     grams, first = runs_hash(spans_hash(raw, starts, ends), row, MINIMISER)
-    size = ends[first + MINIMISER - 1] - starts[first]
-    key = np.full(len(starts) + WINDOW, np.iinfo(np.uint64).max)
+    length = np.append(0, np.cumsum(ends - starts))  # of words alone: separators may differ
+    size = length[first + MINIMISER] - length[first]
+    key = np.full(len(starts) + WINDOW, np.iinfo(np.uint64).max)  # an order of sequences
     key[first] = grams >> np.minimum(size // 3, 24).astype(np.uint64)
     width, n = WINDOW - MINIMISER + 1, len(key)
     step = 1
     while 2 * step <= width:
         key[: n - step] = np.minimum(key[: n - step], key[step:])
         step *= 2
-    return np.minimum(key[at], key[at + width - step])
+    return mix(np.minimum(key[at], key[at + width - step])).astype(np.uint32)
 
 
 def _runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,36 +90,62 @@ def _runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], n) - 1
 
 
-_PACKED = "bucket long, doc_id long, version long, word int, upto int, packed binary"
-_NAMES = ["bucket", "doc_id", "version", "word", "upto", "packed"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_PACKED = "bucket int, key long, version int, word int, upto int, packed binary"
+_NAMES = ["bucket", "key", "version", "word", "upto", "packed"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_LAST_ID).to_numpy(zero_copy_only=False)
-
-
-def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Packed strings of windows to be settled in their bucket, and ranges (word to upto) already settled."""
+def _block_windows(batches: Iterator[pa.RecordBatch], block: int):
+    """For each block: its rows in the batch, bytes, word starts and ends, and of each window both hashes, first word, row and bucket."""
     for batch in batches:
         raw_all, offs_all = utf8(batch["text"])
-        ids, versions = _ids(batch["doc_id"]), batch["version"].to_numpy()
         for lo, hi, raw, offs in blocks(raw_all, offs_all, block):
             starts, ends, row = split(raw, offs)
             one, two, at = _windows(raw, starts, ends, row)
-            if not len(at):
-                continue
-            doc, version = ids[lo:hi][row[at]], versions[lo:hi][row[at]]
-            word = at - np.searchsorted(row, row[at])
-            seen = doc > _least_owner(one, two, doc)
-            key = _minimisers(raw, starts, ends, row, at).view(np.int64)
-            key[seen] = doc[seen]  # settled ranges go anywhere
-            first, last = _runs(seen, key, row[at], np.arange(len(at)) - at)
-            text = raw.tobytes()
-            settled = seen[first]
-            packed = [None if s else text[a:b] for s, a, b in zip(settled.tolist(), starts[at[first]].tolist(), ends[at[last] + WINDOW - 1].tolist())]
-            columns = key[first], doc[first], version[first], word[first], word[last] + WINDOW, packed
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+            if len(at):
+                bucket = _minimisers(raw, starts, ends, row, at).view(np.int32)
+                yield batch.slice(lo, hi - lo), raw, starts, ends, row, one, two, at, bucket
+
+
+def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Which document has windows of which bucket: ``known`` if another document of the block has it too.
+
+    ``place`` is where to ask: the bucket for one document of the block, a place of its own for known rows.
+    """
+    for batch, _, _, _, row, _, _, at, bucket in _block_windows(batches, block):
+        key, version = batch["key"].to_numpy(), batch["version"].to_numpy()
+        pair = np.unique(row[at].astype(np.uint64) << np.uint64(32) | bucket.view(np.uint32))
+        row, bucket = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.lexsort((key[row], bucket))
+        row, bucket = row[order], bucket[order]
+        first = np.ones(len(row), bool)
+        first[1:] = bucket[1:] != bucket[:-1]
+        alone = first & np.append(first[1:], True)
+        own = -1 - (mix(bucket.view(np.uint64) ^ mix(key[row].view(np.uint64))) >> np.uint64(1)).view(np.int64)
+        for known, take in ((False, first), (True, ~alone)):
+            columns = np.where(known, own, bucket)[take], bucket[take].astype(np.uint32).view(np.int32), key[row][take], version[row][take], np.full(take.sum(), known)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))], ["place", "bucket", "key", "version", "known"])
+
+
+def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Packed strings of windows to be settled in their bucket, and ranges (word to upto) already settled."""
+    for batch, raw, starts, ends, row, one, two, at, bucket in _block_windows(batches, block):
+        shared = batch["buckets"]
+        owner = np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy()).astype(np.uint64)
+        asked = owner << np.uint64(32) | shared.flatten().to_numpy().view(np.uint32)
+        travels = np.isin(row[at].astype(np.uint64) << np.uint64(32) | bucket.view(np.uint32), asked)
+        one, two, at, bucket = one[travels], two[travels], at[travels], bucket[travels]
+        if not len(at):
+            continue
+        key, version = batch["key"].to_numpy()[row[at]], batch["version"].to_numpy()[row[at]]
+        word = at - np.searchsorted(row, row[at])
+        seen = key > _least_owner(one, two, key)
+        bucket = np.where(seen, key.astype(np.int32), bucket)  # settled ranges go anywhere
+        first, last = _runs(seen, bucket, row[at], np.arange(len(at)) - at)
+        text = raw.tobytes()
+        packed = [None if s else text[a:b] for s, a, b in zip(seen[first].tolist(), starts[at[first]].tolist(), ends[at[last] + WINDOW - 1].tolist())]
+        columns = bucket[first], key[first], version[first], word[first], word[last] + WINDOW, packed
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
 
 class _Bucketed:
@@ -148,9 +176,9 @@ class _Bucketed:
         return _ranges(doc[first], version[first], word[first], word[last] + WINDOW)
 
 
-def _ranges(doc, version, word, upto) -> pa.RecordBatch:
-    names = ["doc_id", "version", "word", "upto"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((doc, version, word, upto), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
+def _ranges(key, version, word, upto) -> pa.RecordBatch:
+    names = ["key", "version", "word", "upto"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, version, word, upto), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
 
 
 def _settle(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
@@ -170,10 +198,21 @@ def _settle(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.Record
         yield held.settle(None)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, key (the id; null as the largest) and version (tells rows of one id apart)."""
+    version = F.coalesce(F.xxhash64("text").bitwiseAND(0x7FFF), F.lit(0)).cast("int")
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(_LAST_ID))).alias("key"), version.alias("version"))
+
+
 def repeated_ranges(docs: DataFrame, flush: int = FLUSH_WINDOWS, block: int = BLOCK) -> DataFrame:
-    """doc_id (null as the largest), version (hash of the text), word, upto: ranges of words to remove, which may overlap."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(lambda batches: _super_kmers(batches, block), _PACKED)
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _settle(batches, flush), "doc_id long, version long, word int, upto int")
+    """key, version, word, upto of ``_keyed`` documents: ranges of words to remove, which may overlap."""
+    held = docs.select("text", "key", "version").mapInArrow(lambda batches: _held(batches, block), "place long, bucket int, key long, version int, known boolean")
+    held = held.repartition("place")
+    asked = held.groupBy("place").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi")
+    shared = held.join(asked, "place", "left").filter("known or lo is not null")
+    shared = shared.groupBy("key", "version").agg(F.collect_set("bucket").alias("buckets"))
+    rows = docs.join(shared, ["key", "version"]).mapInArrow(lambda batches: _super_kmers(batches, block), _PACKED)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _settle(batches, flush), "key long, version int, word int, upto int")
 
 
 def _rewrite(digest: bool):
@@ -198,7 +237,7 @@ def _rewrite(digest: bool):
 
 def dedup(docs: DataFrame, digest: bool = False, **tuning: int) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by spaces (``kept``; with ``digest`` their SHA-256)."""
-    ranges = repeated_ranges(docs, **tuning).groupBy("doc_id", "version").agg(F.collect_list(F.struct("word", "upto")).alias("ranges"))
-    docs = docs.select("doc_id", "text").withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST_ID)))).withColumn("version", F.xxhash64("text"))
-    both = docs.join(ranges.withColumnRenamed("doc_id", "key"), ["key", "version"], "left").select("doc_id", "text", "ranges")
+    docs = _keyed(docs)
+    ranges = repeated_ranges(docs, **tuning).groupBy("key", "version").agg(F.collect_list(F.struct("word", "upto")).alias("ranges"))
+    both = docs.join(ranges, ["key", "version"], "left").select("doc_id", "text", "ranges")
     return both.mapInArrow(_rewrite(digest), "doc_id long, n_words long, n_removed long, kept string")
