@@ -128,9 +128,14 @@ def light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
     return rows.join(met.filter("c > 1 and ok"), ["k1", "k2"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
-def _ids_join(big: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """``big`` rows whose doc_id is in ``ids``: by broadcast if few enough, else by shuffle."""
-    return big.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def _sized(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if there are few enough, else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the given doc_ids."""
+    return docs.join(_sized(ids), "doc_id", "left_anti")
 
 
 def candidates_left(classes: DataFrame, least: int, percent: int) -> DataFrame:
@@ -193,7 +198,7 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     light = light_links(classes, most, percent)
     least = -(-percent * (most + 1) // 100)  # the smallest set that a heavy one can link with
     ids = cut(candidates_left(classes, least, percent))
-    sets = token_sets(_ids_join(docs.select("doc_id", "text"), ids, ids.count()), words, percent, whole=True)
+    sets = token_sets(docs.select("doc_id", "text").join(_sized(ids), "doc_id", "left_semi"), words, percent, whole=True)
     sets = cut_wide(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     links = heavy_links(cut(prefix_lists(sets, percent)), sets, cut(light), percent)
     linked = components(links).withColumnsRenamed({"node": "rep"})
