@@ -1,10 +1,472 @@
-"""The registered document-audit queries and their DuckDB equivalents."""
+"""The registered document-audit queries and, side by side, their DuckDB equivalents.
+
+The tables are no authoring projects, so operators are bound to what is there: an entry is a ``benchmark`` row
+(its keywords are its first five distinct words of six letters or more), a scene is a ``conversations`` row, a
+text is a ``documents`` row, an axis is a dimension column.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from foliolens.functions import text as T
+from foliolens.operators import audits, segments, slots, turns
+from foliolens.operators.contains import contains_join
+from foliolens.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str):
+    """Registers a function of (read) under its name, with its SQL."""
+
+    def take(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+# --- bindings ----------------------------------------------------------------------------------------------
+
+
+def entries_of(read) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 6)
+    return read("benchmark").select(F.col("item_id").alias("entry_id"), F.col("item_id").alias("rank"), F.slice(F.array_distinct(words), 1, 5).alias("keywords"))
+
+
+def scenes_of(read) -> DataFrame:
+    return read("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("label"), "text")
+
+
+def allocated_of(read) -> DataFrame:
+    return slots.allocate(slots.hits(scenes_of(read), entries_of(read)))
+
+
+_ENTRIES = """words AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 6) AS w FROM benchmark),
+entries AS (SELECT item_id AS entry_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] AS keywords FROM words),
+kw AS (SELECT DISTINCT entry_id, unnest(keywords) AS k FROM entries)"""
+_HITS = f"""{_ENTRIES},
+scenes AS (SELECT conv_id || ':' || turn AS label, lower(regexp_replace(text, '\\s+', '', 'g')) AS h FROM conversations),
+hits AS (SELECT DISTINCT label, entry_id FROM scenes JOIN kw ON contains(h, k)),
+alloc AS (SELECT label, entry_id, row_number() OVER (PARTITION BY label ORDER BY entry_id) AS slot FROM hits)"""
+_RATES = f"""{_HITS},
+used AS (SELECT entry_id, count(*) AS matched, count(*) FILTER (slot <= 3) AS loads FROM alloc GROUP BY 1),
+rates AS (SELECT e.entry_id, coalesce(matched, 0) AS matched, coalesce(loads, 0) AS loads,
+  coalesce(matched, 0) / (SELECT greatest(count(*), 1) FROM scenes)::DOUBLE AS rate FROM entries e LEFT JOIN used USING (entry_id))"""
+_UTF16 = "length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))"
+
+
+# --- lengths and budgets -----------------------------------------------------------------------------------
+
+
+@registered(f"SELECT doc_id, length(text)::BIGINT AS cp, ({_UTF16})::BIGINT AS utf16, greatest(length(text), {_UTF16})::BIGINT AS measured FROM documents")
+def length_metrics(read):
+    t = F.col("text")
+    return read("documents").select("doc_id", T.code_points(t).alias("cp"), T.utf16_units(t).alias("utf16"), T.measured(t).alias("measured"))
+
+
+@registered(f"""SELECT lang, CASE WHEN m > 7000 THEN 'FAIL' WHEN m > 6500 THEN 'WARN' ELSE 'PASS' END AS grade, count(*) AS n
+FROM (SELECT lang, greatest(length(text), {_UTF16}) AS m FROM documents) GROUP BY 1, 2""")
+def budget_grade(read):
+    return read("documents").groupBy("lang", audits.grade(T.measured(F.col("text"))).alias("grade")).agg(F.count("*").alias("n"))
+
+
+@registered(f"SELECT doc_id, m::BIGINT AS measured, (m - 7000)::BIGINT AS over FROM (SELECT doc_id, greatest(length(text), {_UTF16}) AS m FROM documents) WHERE m > 7000")
+def budget_violations(read):
+    rows = read("documents").select("doc_id", T.measured(F.col("text")).alias("measured")).filter(F.col("measured") > audits.PROMPT)
+    return rows.withColumn("over", F.col("measured") - audits.PROMPT).orderBy(F.desc("over"), "doc_id")
+
+
+@registered("SELECT conv_id, length(t)::BIGINT AS measured FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1)")
+def concat_measure(read):
+    return corpus.join_parts(read("conversations"), "conv_id", "turn").select("conv_id", T.measured(F.col("text")).alias("measured"))
+
+
+@registered("""SELECT source, sum(length(l))::BIGINT AS chars, count(*) AS lines, CASE WHEN sum(length(l)) > 200000 THEN 'over' WHEN sum(length(l)) < 20000 THEN 'under' ELSE 'within' END AS band
+FROM (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1""")
+def section_budget(read):
+    rows = segments.lines(read("documents"), ["source"]).groupBy("source").agg(F.sum(F.length("line")).alias("chars"), F.count("*").alias("lines"))
+    return rows.withColumn("band", F.when(F.col("chars") > 200_000, "over").when(F.col("chars") < 20_000, "under").otherwise("within"))
+
+
+@registered("SELECT doc_id, CASE WHEN n_chars > 10000 THEN 'huge' WHEN n_chars > 1000 THEN 'heavy' ELSE 'ok' END AS band FROM documents")
+def size_band(read):
+    return read("documents").select("doc_id", audits.size_band(F.when(F.col("n_chars") > 10_000, 21.0).when(F.col("n_chars") > 1000, 3.0).otherwise(1.0)).alias("band"))
+
+
+# --- segmentation ------------------------------------------------------------------------------------------
+
+
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
+
+
+@registered(f"""WITH {_LINES}, kept AS (SELECT doc_id, pos, trim(line) AS line FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#'))
+SELECT doc_id, pos::INT AS pos, trim(split_part(line, '. ', 1)) AS label,
+  CASE WHEN strpos(line, '. ') > 0 AND trim(substr(line, strpos(line, '. ') + 2)) <> '' THEN trim(substr(line, strpos(line, '. ') + 2)) ELSE trim(split_part(line, '. ', 1)) END AS text FROM kept""")
+def scene_line_parse(read):
+    kept = segments.lines(read("documents"), ["doc_id"]).withColumn("line", T.trimmed(F.col("line"))).filter("line <> '' and not startswith(line, '#')")
+    parts = F.split("line", r"\. ", 2)
+    label, rest = T.trimmed(parts[0]), T.trimmed(F.try_element_at(parts, F.lit(2)))
+    return kept.select("doc_id", "pos", label.alias("label"), F.coalesce(F.nullif(rest, F.lit("")), label).alias("text"))
+
+
+@registered(f"""WITH {_LINES}, placed AS (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start FROM lines)
+SELECT doc_id, pos::INT AS pos, start::BIGINT AS start, (lead(start) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS next_start FROM placed""")
+def line_sections(read):
+    size = F.length("line") + 1
+    start = F.sum(size).over(Window.partitionBy("doc_id").orderBy("pos")) - size
+    rows = segments.lines(read("documents"), ["doc_id"]).select("doc_id", "pos", start.alias("start"))
+    return segments.next_start(rows, ["doc_id"], "start", "next_start")
+
+
+@registered(f"WITH {_LINES} SELECT doc_id, pos::INT AS pos, left(sha256(line), 16) AS digest FROM lines")
+def section_fingerprint(read):
+    return segments.lines(read("documents"), ["doc_id"]).select("doc_id", "pos", T.fingerprint(F.col("line")).alias("digest"))
+
+
+@registered(f"""WITH {_LINES}, n AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM lines)
+SELECT doc_id, pos::INT AS pos, CASE WHEN k > 1 THEN line || ' (' || k || ')' ELSE line END AS title FROM n""")
+def title_dedupe(read):
+    rows = segments.lines(read("documents"), ["doc_id"]).withColumnRenamed("line", "title")
+    return segments.number_repeats(rows, ["doc_id"], "title", "pos")
+
+
+@registered("SELECT page_id, lower(unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1))) AS heading FROM pages")
+def heading_extract(read):
+    return read("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))).alias("heading")).withColumn("heading", F.lower("heading"))
+
+
+@registered("SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(html), 'href=\"([^\"]*)\"', 1)) AS id FROM pages")
+def id_extract(read):
+    return read("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*)"'), F.lit(1)))).alias("id"))
+
+
+@registered("""WITH s AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/')) AS slug FROM pages)
+SELECT page_id, slug, count(*) AS n FROM s WHERE slug <> '' AND NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') GROUP BY 1, 2""")
+def slug_format(read):
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*/?([^?#]*)", 1)
+    rows = read("pages").select("page_id", F.explode(F.split(path, "/")).alias("slug")).filter("slug <> ''")
+    return rows.filter(~F.col("slug").rlike(audits.SLUG)).groupBy("page_id", "slug").agg(F.count("*").alias("n"))
+
+
+# --- registries --------------------------------------------------------------------------------------------
+
+
+@registered(f"""WITH {_ENTRIES} SELECT entry_id, array_to_string(keywords, ',') AS keywords, len(keywords)::INT AS n, len(keywords) NOT BETWEEN 1 AND 5 AS count_bad,
+  len(list_distinct(keywords)) <> len(keywords) AS repeated FROM entries""")
+def keyword_parse(read):
+    rows = entries_of(read).withColumn("keywords", T.bracket_list(F.concat(F.lit("["), F.array_join("keywords", ", "), F.lit("]"))))
+    flags = audits.entry_flags(rows.select("entry_id", "keywords", F.lit("x").alias("activation_setting"), F.lit("y").alias("activation_when"), F.lit("").alias("body")))
+    return flags.select("entry_id", F.array_join("keywords", ",").alias("keywords"), F.size("keywords").alias("n"), F.col("keyword_count_bad").alias("count_bad"), F.col("keyword_repeated").alias("repeated"))
+
+
+@registered(f"WITH {_ENTRIES} SELECT k, count(DISTINCT entry_id) AS n, string_agg(DISTINCT entry_id::VARCHAR, ',' ORDER BY entry_id::VARCHAR) AS owners FROM kw GROUP BY 1 HAVING count(DISTINCT entry_id) > 1")
+def keyword_collision(read):
+    return audits.collisions(entries_of(read)).withColumn("owners", F.array_join("owners", ","))
+
+
+@registered(f"WITH {_ENTRIES} SELECT * FROM (SELECT k, entry_id, lag(entry_id) OVER (PARTITION BY k ORDER BY entry_id) AS previous FROM kw) WHERE previous <> entry_id")
+def keyword_collision_prev(read):
+    return audits.previous_owner(entries_of(read))
+
+
+@registered(f"WITH {_ENTRIES} SELECT DISTINCT a.entry_id AS inner_id, a.k AS inner_k, b.entry_id AS outer_id, b.k AS outer_k FROM kw a JOIN kw b ON contains(b.k, a.k) AND a.k <> b.k")
+def keyword_substring(read):
+    rows = audits.keyword_rows(entries_of(read), ["entry_id"])
+    inner, outer = rows.toDF("inner_id", "inner_k"), rows.toDF("outer_id", "outer_k")
+    return contains_join(outer, inner, "outer_k", "inner_k").filter("inner_k <> outer_k").select("inner_id", "inner_k", "outer_id", "outer_k")
+
+
+@registered("SELECT left(sha256(text), 16) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(read):
+    return audits.repeated(read("documents").select(T.fingerprint(F.col("text")).alias("digest")), "digest")
+
+
+# --- slots -------------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {_HITS} SELECT label, entry_id FROM hits")
+def scene_hits(read):
+    return slots.hits(scenes_of(read), entries_of(read)).select("label", "entry_id")
+
+
+@registered(f"WITH {_HITS} SELECT label, entry_id, slot::BIGINT AS slot, slot <= 3 AS loaded FROM alloc")
+def slot_allocate(read):
+    return allocated_of(read).drop("rank")
+
+
+@registered(f"""WITH {_HITS}, l AS (SELECT s.label, count(entry_id) AS hits, coalesce(string_agg(entry_id::VARCHAR, ',' ORDER BY slot) FILTER (slot <= 3), '') AS loaded,
+  coalesce(string_agg(entry_id::VARCHAR, ',' ORDER BY slot) FILTER (slot > 3), '') AS dropped FROM scenes s LEFT JOIN alloc a USING (label) GROUP BY 1)
+SELECT *, CASE WHEN dropped <> '' THEN 'WARN' ELSE 'PASS' END AS grade FROM l""")
+def scene_load(read):
+    return slots.scene_load(scenes_of(read), allocated_of(read))
+
+
+@registered(f"""WITH {_RATES} SELECT entry_id, matched::BIGINT AS matched, loads::BIGINT AS loads, rate,
+  CASE WHEN matched = 0 THEN 'untested' WHEN loads = 0 THEN 'all dropped' WHEN loads < matched THEN 'partly dropped' ELSE 'ok' END AS class FROM rates""")
+def entry_load_rate(read):
+    return slots.load_rates(entries_of(read), allocated_of(read), scenes_of(read).count()).drop("rank")
+
+
+@registered(f"""WITH {_RATES} SELECT entry_id, rate, CASE WHEN entry_id < (SELECT count(*) FROM entries) * 0.75 THEN 'FAIL' ELSE 'INFO' END AS verdict FROM rates WHERE rate >= 0.02""")
+def always_on(read):
+    rates = slots.load_rates(entries_of(read), allocated_of(read), scenes_of(read).count())
+    return slots.always_on(rates, entries_of(read).count(), threshold=0.02).select("entry_id", "rate", "verdict")
+
+
+@registered("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
+def passage_containment(read):
+    items = read("benchmark").select("item_id", F.col("text").alias("passage"))
+    return contains_join(read("documents").select("doc_id", "text"), items, "text", "passage").select("doc_id", "item_id")
+
+
+_PHRASES = ("license", "released under", "never said here")
+
+
+@registered(f"SELECT doc_id, p AS phrase FROM documents, (SELECT unnest({list(_PHRASES)}) AS p) WHERE contains(lower(text), lower(p))")
+def banned_phrase(read):
+    found = F.filter(F.array(*map(F.lit, _PHRASES)), lambda p: F.contains(F.lower("text"), F.lower(p)))
+    return read("documents").select("doc_id", F.explode(found).alias("phrase"))
+
+
+# --- comparison --------------------------------------------------------------------------------------------
+
+
+@registered("""WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS x FROM conversations WHERE role IN ('user', 'assistant')),
+u AS (SELECT conv_id, x FROM w WHERE role = 'user' AND x <> ''), a AS (SELECT conv_id, x FROM w WHERE role = 'assistant' AND x <> ''),
+c AS (SELECT DISTINCT conv_id FROM w)
+SELECT conv_id, (SELECT count(*) FROM (SELECT x FROM u WHERE u.conv_id = c.conv_id EXCEPT SELECT x FROM a WHERE a.conv_id = c.conv_id)) AS only_left,
+ (SELECT count(*) FROM (SELECT x FROM a WHERE a.conv_id = c.conv_id EXCEPT SELECT x FROM u WHERE u.conv_id = c.conv_id)) AS only_right FROM c""")
+def variant_drift(read):
+    words = F.split(F.lower("text"), "[^a-z]+")
+    rows = read("conversations").filter("role in ('user', 'assistant')").select("conv_id", "role", F.explode(words).alias("x")).distinct()
+    sides = [F.collect_set(F.when((F.col("role") == r) & (F.col("x") != ""), F.col("x"))).alias(r) for r in ("user", "assistant")]
+    left, right = audits.drift(F.col("user"), F.col("assistant"))
+    return rows.groupBy("conv_id").agg(*sides).select("conv_id", F.size(left).cast("long").alias("only_left"), F.size(right).cast("long").alias("only_right"))
+
+
+@registered("""WITH a AS (SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000)
+SELECT nation, 'left' AS side FROM a WHERE nation NOT IN (SELECT nation FROM b) UNION ALL SELECT nation, 'right' FROM b WHERE nation NOT IN (SELECT nation FROM a)""")
+def roster_parity(read):
+    rich = read("customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    return audits.parity(rich, read("supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation")), "nation")
+
+
+_TYPES = ("view", "purchase", "refund-never")
+
+
+@registered(f"""WITH e AS (SELECT unnest({list(_TYPES)}) AS name), f AS (SELECT DISTINCT event_type AS name FROM events)
+SELECT name, 'missing' AS status FROM e WHERE name NOT IN (SELECT name FROM f) UNION ALL SELECT name, 'unknown' FROM f WHERE name NOT IN (SELECT name FROM e)""")
+def artifact_expected(read):
+    found = read("events").select(F.col("event_type").alias("name")).distinct()
+    expected = found.limit(1).select(F.explode(F.array(*map(F.lit, _TYPES))).alias("name"))
+    return audits.against_expected(found, expected, "name")
+
+
+@registered("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS x FROM documents), p AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS word FROM part)
+SELECT word FROM p WHERE word NOT IN (SELECT x FROM w)""")
+def published_anti(read):
+    used = read("documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
+    return read("part").select(F.split(F.lower("p_name"), " ")[0].alias("word")).distinct().join(used, "word", "left_anti")
+
+
+_SNAPSHOT = """o AS (SELECT doc_id AS id, sha256(text) AS d FROM documents),
+n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000 ELSE doc_id END AS id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS d FROM documents WHERE doc_id % 7 <> 0),
+diff AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.d <> n.d THEN 'changed' ELSE 'same' END AS status FROM o FULL JOIN n ON o.id = n.id)"""
+
+
+def _snapshots(read) -> DataFrame:
+    docs = read("documents")
+    old = docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    moved = F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id"))
+    edited = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = docs.filter("doc_id % 7 <> 0").select(moved.alias("id"), F.sha2(edited, 256).alias("digest"))  # the edit of the fixture, not a sample
+    return audits.snapshot_diff(old, new, ["id"])
+
+
+@registered(f"WITH {_SNAPSHOT} SELECT id, status FROM diff")
+def snapshot_diff(read):
+    return _snapshots(read)
+
+
+@registered(f"WITH {_SNAPSHOT} SELECT status, count(*) AS n FROM diff GROUP BY 1")
+def snapshot_counts(read):
+    return _snapshots(read).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_ROUTES = [("brass|steel", "metal"), ("promo|economy", "offer"), ("anodized|polished", "finish")]
+
+
+@registered("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'brass|steel') THEN 'metal' WHEN regexp_matches(lower(p_type), 'promo|economy') THEN 'offer'
+ WHEN regexp_matches(lower(p_type), 'anodized|polished') THEN 'finish' ELSE 'other' END AS target FROM part""")
+def route_titles(read):
+    return read("part").select("p_partkey", audits.route(F.col("p_type"), _ROUTES, "other").alias("target"))
+
+
+# --- inventories -------------------------------------------------------------------------------------------
+
+
+_EXPECTED = "expected AS (SELECT n_name AS axis, n_name || '/' || c_mktsegment AS path, n_nationkey AS k, c_mktsegment AS seg FROM nation, (SELECT DISTINCT c_mktsegment FROM customer))"
+_FOUND = "found AS (SELECT DISTINCT n_name || '/' || c_mktsegment AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000)"
+
+
+def _expected(read) -> DataFrame:
+    segments_ = read("customer").groupBy(F.lit(1).alias("one")).agg(F.collect_set("c_mktsegment").alias("all"))  # a closed list of a few values
+    return read("nation").withColumn("one", F.lit(1)).join(F.broadcast(segments_), "one").select(F.col("n_name").alias("axis"), F.explode("all").alias("seg")).withColumn("path", F.concat_ws("/", "axis", "seg"))
+
+
+def _found(read) -> DataFrame:
+    rich = read("customer").filter("c_acctbal > 9000").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rich.select(F.concat_ws("/", "n_name", "c_mktsegment").alias("path")).distinct()
+
+
+@registered(f"WITH {_EXPECTED} SELECT axis, path FROM expected")
+def axis_expected(read):
+    return _expected(read).select("axis", "path")
+
+
+@registered(f"WITH {_EXPECTED}, {_FOUND} SELECT axis, count(f.path) AS have, count(*) AS total FROM expected e LEFT JOIN found f USING (path) GROUP BY 1")
+def axis_coverage(read):
+    return audits.coverage(_expected(read).select("axis", "path"), _found(read), "path", "axis")
+
+
+@registered(f"WITH {_EXPECTED}, {_FOUND} SELECT path FROM found WHERE path NOT IN (SELECT path FROM expected WHERE seg <> 'BUILDING')")
+def axis_unknown(read):
+    return _found(read).join(_expected(read).filter("seg <> 'BUILDING'"), "path", "left_anti")
+
+
+@registered(f"WITH {_EXPECTED}, {_FOUND} SELECT path FROM found WHERE path IN (SELECT path FROM expected WHERE seg <> 'BUILDING')")
+def axis_publish_set(read):
+    return _found(read).join(_expected(read).filter("seg <> 'BUILDING'"), "path", "left_semi")
+
+
+@registered(f"WITH {_EXPECTED}, {_FOUND} SELECT e.path, coalesce(nullif(seg, ''), axis) AS label, CASE WHEN f.path IS NULL THEN '비어 있음' ELSE '있음' END AS status FROM expected e LEFT JOIN found f USING (path)")
+def placement_table(read):
+    rows = _expected(read).join(_found(read).withColumn("have", F.lit(True)), "path", "left")
+    return rows.select("path", T.display_label(F.col("seg"), F.col("axis")).alias("label"), F.when(F.col("have"), "있음").otherwise("비어 있음").alias("status"))
+
+
+@registered("SELECT o_orderdate, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def seed_dupes(read):
+    return audits.repeated(read("orders"), "o_orderdate")
+
+
+@registered("SELECT lower(array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> '')[1:4], ', ')) AS lead, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def lead_tags(read):
+    return audits.repeated(read("part").select(T.leading_tags(F.col("p_name"), " ").alias("lead")), "lead")
+
+
+@registered("SELECT lower(c_mktsegment) || ', ' || n_name || ', base, x.png' AS prompt FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)")
+def prompt_assembly(read):
+    return _expected(read).select(F.concat_ws(", ", F.lower("seg"), "axis", F.lit("base"), F.lit("x.png")).alias("prompt"))
+
+
+@registered("SELECT lang, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM documents GROUP BY 1")
+def composition_ratio(read):
+    rows = read("documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+# --- symbols -----------------------------------------------------------------------------------------------
+
+
+_KIND = f"CASE WHEN contains('{T.OPERATOR_SYMBOLS}', c) THEN 'operator' WHEN contains('{T.LAYOUT_SYMBOLS}', c) THEN 'layout' END"
+_USE = f"""u AS (SELECT doc_id, c, count(*) AS n, min(p) AS first_pos FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents
+ WHERE regexp_matches(text, '[{T.OPERATOR_SYMBOLS}{T.LAYOUT_SYMBOLS}]')) WHERE c <> '' GROUP BY 1, 2),
+s AS (SELECT doc_id, c AS symbol, {_KIND} AS kind, n, first_pos FROM u WHERE {_KIND} IS NOT NULL)"""
+
+
+@registered(f"WITH {_USE} SELECT doc_id, symbol, kind, n, first_pos::INT AS first_pos FROM s")
+def symbol_usage(read):
+    return audits.symbol_use(read("documents"), ["doc_id"])
+
+
+@registered(f"""WITH {_USE} SELECT s.doc_id, symbol, kind, n, first_pos::INT AS first_pos FROM s JOIN documents d USING (doc_id)
+WHERE NOT list_contains(regexp_extract_all(d.text, '([^ \\t\\n\\x0b\\f\\r])[ \\t\\n\\x0b\\f\\r]*=', 1), symbol)
+ AND len(list_filter(regexp_extract_all(d.text, '`([^`\\n]{{1,40}})`', 1), lambda x: contains(x, symbol))) = 0""")
+def symbol_undefined(read):
+    return audits.undefined_symbols(read("documents").withColumn("legend", F.lit("")), ["doc_id"])
+
+
+@registered(f"""WITH {_USE} SELECT s.doc_id, symbol, (length(substr(text, 1, first_pos - 1)) - length(replace(substr(text, 1, first_pos - 1), chr(10), '')) + 1)::INT AS line
+FROM s JOIN documents d USING (doc_id)""")
+def symbol_first_line(read):
+    use = audits.symbol_use(read("documents"), ["doc_id"]).join(read("documents").select("doc_id", "text"), "doc_id")
+    return use.select("doc_id", "symbol", T.line_of(F.col("text"), F.col("first_pos")).alias("line"))
+
+
+# --- findings, rules, turns --------------------------------------------------------------------------------
+
+
+@registered("""WITH f AS (SELECT 'length' AS c, CASE WHEN n_chars > 7000 THEN 'FAIL' ELSE 'PASS' END AS s, doc_id::VARCHAR AS x FROM documents WHERE n_chars > 6500
+ UNION ALL SELECT 'license', 'WARN', doc_id::VARCHAR FROM documents WHERE contains(lower(text), 'license')
+ UNION ALL SELECT 'copies', 'FAIL', left(sha256(text), 16) FROM documents GROUP BY text HAVING count(*) > 2)
+SELECT c AS "check", bool_and(s <> 'FAIL') AS ok, count(*) AS n, coalesce(string_agg(DISTINCT x, ', ' ORDER BY x) FILTER (s = 'FAIL'), '') AS offenders FROM f GROUP BY 1""")
+def rollup_findings(read):
+    docs = read("documents")
+    copies = audits.repeated(docs.select(T.fingerprint(F.col("text")).alias("digest")), "digest").filter("n > 2")
+    return audits.verdicts(
+        [
+            audits.finding(docs.filter("n_chars > 6500"), "length", F.when(F.col("n_chars") > 7000, "FAIL").otherwise("PASS"), "doc_id"),
+            audits.finding(docs.filter(F.contains(F.lower("text"), F.lit("license"))), "license", "WARN", "doc_id"),
+            audits.finding(copies, "copies", "FAIL", "digest"),
+        ]
+    )
+
+
+_RULES = {"en": ["the", "and", "of"], "fr": ["que", "la", "le"], "mixed": ["the", "que", "license"]}
+_RULE_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS rule, {v} AS ws" for k, v in _RULES.items())
+
+
+@registered(f"""WITH r AS ({_RULE_ROWS}), d AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents),
+m AS (SELECT doc_id, rule, len(list_filter(ws, lambda x: list_contains(w, x))) AS kept, len(ws) AS n FROM d, r)
+SELECT rule, CASE WHEN kept = n THEN 'kept' WHEN kept = 0 THEN 'lost' ELSE 'review' END AS status, count(*) AS n FROM m GROUP BY 1, 2""")
+def rule_fingerprint(read):
+    words = F.split(F.lower("text"), "[^a-z]+")
+    rows = read("documents").select(words.alias("w"), F.explode(F.create_map(*[x for k, v in _RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])).alias("rule", "ws"))
+    kept = F.size(F.array_intersect("ws", "w"))
+    status = F.when(kept == F.size("ws"), "kept").when(kept == 0, "lost").otherwise("review")
+    return rows.groupBy("rule", status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@registered(f"""WITH {_ENTRIES}, t AS (SELECT conv_id, turn, role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS heard FROM conversations),
+s AS (SELECT conv_id, turn, lower(regexp_replace(heard, '\\s+', '', 'g')) AS h FROM t WHERE role = 'assistant' AND heard IS NOT NULL)
+SELECT DISTINCT conv_id, turn, entry_id FROM s JOIN kw ON contains(h, k)""")
+def turn_activation(read):
+    return turns.activated(read("conversations"), entries_of(read)).drop("rank")
+
+
+@registered("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events""")
+def hud_carry(read):
+    rows = read("events").withColumn("v", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return turns.carried(rows, "user_id", ["ts", "event_id"], "v", "carried").select("event_id", "carried")
+
+
+@registered("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 3000 THEN 'low' WHEN c_acctbal < 7000 THEN 'mid' ELSE 'high' END AS stage FROM customer")
+def stage_ladder(read):
+    return read("customer").select("c_custkey", turns.stage_of(F.col("c_acctbal"), [(0, "debt"), (3000, "low"), (7000, "mid")], "high").alias("stage"))
+
+
+@registered("""SELECT doc_id, len(regexp_extract_all(text, '[.]'))::BIGINT AS stops, len(regexp_extract_all(text, ','))::BIGINT AS commas,
+ len(regexp_extract_all(text, ',')) > len(regexp_extract_all(text, '[.]')) AS heavy FROM documents""")
+def mark_balance(read):
+    stops, commas = F.regexp_count("text", F.lit("[.]")).cast("long"), F.regexp_count("text", F.lit(",")).cast("long")
+    return read("documents").select("doc_id", stops.alias("stops"), commas.alias("commas"), (commas > stops).alias("heavy"))
+
+
+@registered("SELECT doc_id FROM documents WHERE regexp_matches(text, 'https?://|TODO|(^|[^a-z])[a-z]+@[a-z]')")
+def residue(read):
+    return read("documents").filter(F.col("text").rlike(r"https?://|TODO|(^|[^a-z])[a-z]+@[a-z]")).select("doc_id")
+
+
+@registered("SELECT p_brand, count(*) AS n, count(*) > 0.045 * sum(count(*)) OVER () AS dominates FROM part GROUP BY 1")
+def axis_clustering(read):
+    rows = read("part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return rows.withColumn("dominates", F.col("n") > F.sum("n").over(Window.partitionBy()) * 0.045)
