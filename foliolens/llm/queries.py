@@ -1,4 +1,4 @@
-"""The operators bound to the driver's tables, and the DuckDB SQL of those that SQL can express."""
+"""The operators bound to the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation
 from foliolens.llm.common import table
+from foliolens.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +79,3 @@ QUERIES = {
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_training_order": op10_training_order,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -79,17 +79,13 @@ def _shrink(groups: DataFrame, prior: str, shrunk: str) -> DataFrame:
         F.sum((F.col("k") - F.col("n") * m) ** 2 - F.col("n") * v).alias("over"),
         F.sum(F.col("n") * (F.col("n") - 1) * v).alias("pairs"),
     ).select(
-        F.lit(1).alias("one"),
         F.least(F.greatest(F.coalesce(F.col("over") / F.nullif(F.col("pairs"), F.lit(0.0)), F.lit(RHO_LIMITS[1])), F.lit(RHO_LIMITS[0])), F.lit(RHO_LIMITS[1])).alias("rho"),
     )
-    s = 1 / F.col("rho") - 1
+    s = 1 / fit.scalar() - 1
     return (
-        groups.withColumn("one", F.lit(1))
-        .join(F.broadcast(fit), "one")  # one row
-        .withColumn("alpha", F.col("k") + s * m)
+        groups.withColumn("alpha", F.col("k") + s * m)
         .withColumn("beta", F.col("n") - F.col("k") + s * (1 - m))
         .withColumn(shrunk, F.col("alpha") / (F.col("alpha") + F.col("beta")))
-        .drop("one", "rho")
     )
 
 
@@ -105,8 +101,8 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     counts = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = hosts.groupBy("domain", "suffix").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)
-    overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m0")).withColumn("one", F.lit(1))
-    suffixes = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(overall), "one").drop("one")  # one row
+    overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m0"))
+    suffixes = suffixes.withColumn("m0", overall.scalar())
     suffixes = _shrink(suffixes, "m0", "m1").select("suffix", "m1")
     domains = _shrink(domains.join(suffixes, "suffix"), "m1", "m2").select("domain", "m2")
     a, b = F.col("alpha"), F.col("beta")
