@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliolens.llm.common import blocks, utf8
 from foliolens.llm.words import mix, runs_hash, spans_hash, split
@@ -108,9 +109,11 @@ def _block_windows(batches: Iterator[pa.RecordBatch], block: int):
 
 
 def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Which document has windows of which bucket: ``known`` if another document of the block has it too.
+    """Which documents have windows of which bucket.
 
-    ``place`` is where to ask: the bucket for one document of the block, a place of its own for known rows.
+    ``place`` is the bucket itself for one document of a block, which has to ask whether others have it; for
+    all documents of a bucket that several of the block have, the answer is known, and ``place`` is negative:
+    -1 less a number of its own with the bucket in its low 32 bits.
     """
     for batch, _, _, _, row, _, _, at, bucket in _block_windows(batches, block):
         key, version = batch["key"].to_numpy(), batch["version"].to_numpy()
@@ -120,11 +123,11 @@ def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
         row, bucket = row[order], bucket[order]
         first = np.ones(len(row), bool)
         first[1:] = bucket[1:] != bucket[:-1]
-        alone = first & np.append(first[1:], True)
-        own = -1 - (mix(bucket.view(np.uint64) ^ mix(key[row].view(np.uint64))) >> np.uint64(1)).view(np.int64)
-        for known, take in ((False, first), (True, ~alone)):
-            columns = np.where(known, own, bucket)[take], bucket[take].astype(np.uint32).view(np.int32), key[row][take], version[row][take], np.full(take.sum(), known)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()))], ["place", "bucket", "key", "version", "known"])
+        known = ~(first & np.append(first[1:], True))
+        own = -1 - ((mix(key[row].view(np.uint64)) >> np.uint64(33)).astype(np.int64) << 32 | bucket)
+        for place, take in ((bucket, first), (own, known)):
+            columns = place[take], key[row][take], version[row][take]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], ["place", "key", "version"])
 
 
 def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,7 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.R
     for batch, raw, starts, ends, row, one, two, at, bucket in _block_windows(batches, block):
         shared = batch["buckets"]
         owner = np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy()).astype(np.uint64)
-        asked = owner << np.uint64(32) | shared.flatten().to_numpy().view(np.uint32)
+        asked = owner << np.uint64(32) | shared.flatten().to_numpy().view(np.uint64)
         travels = np.isin(row[at].astype(np.uint64) << np.uint64(32) | bucket.view(np.uint32), asked)
         one, two, at, bucket = one[travels], two[travels], at[travels], bucket[travels]
         if not len(at):
@@ -206,11 +209,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, flush: int = FLUSH_WINDOWS, block: int = BLOCK) -> DataFrame:
     """key, version, word, upto of ``_keyed`` documents: ranges of words to remove, which may overlap."""
-    held = docs.select("text", "key", "version").mapInArrow(lambda batches: _held(batches, block), "place long, bucket int, key long, version int, known boolean")
-    held = held.repartition("place")
-    asked = held.groupBy("place").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi")
-    shared = held.join(asked, "place", "left").filter("known or lo is not null")
-    shared = shared.groupBy("key", "version").agg(F.collect_set("bucket").alias("buckets"))
+    held = docs.select("text", "key", "version").mapInArrow(lambda batches: _held(batches, block), "place long, key long, version int")
+    w = Window.partitionBy("place")  # a row a block and place
+    held = held.select("place", "key", "version", F.min("key").over(w).alias("lo"), F.max("key").over(w).alias("hi"))
+    bucket = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).bitwiseAND(0xFFFFFFFF)
+    shared = held.filter("place < 0 or lo < hi").groupBy("key", "version").agg(F.collect_set(bucket).alias("buckets"))
     rows = docs.join(shared, ["key", "version"]).mapInArrow(lambda batches: _super_kmers(batches, block), _PACKED)
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _settle(batches, flush), "key long, version int, word int, upto int")
 
