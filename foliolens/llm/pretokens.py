@@ -25,19 +25,43 @@ def chunks(raw: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR)
     return starts, np.append(starts[1:], len(raw)), np.searchsorted(offs, starts, "right") - 1
 
 
-def ids_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: dict[int, np.ndarray], encode: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks' ids in order, and how many each has.  ``known`` keeps ids by a chunk's hash."""
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes, first, inverse = np.unique(spans_hash(raw, starts, ends), return_index=True, return_inverse=True)
-    if len(known) > CACHE:
-        known.clear()
-    hashes, text = hashes.tolist(), raw.tobytes()
-    new = [i for i, h in enumerate(hashes) if h not in known]
-    a, b = starts[first].tolist(), ends[first].tolist()
-    known.update(zip([hashes[i] for i in new], encode([text[a[i] : b[i]] for i in new])))
-    found = [known[h] for h in hashes]
-    return spread(np.concatenate(found), np.array([len(x) for x in found]), inverse)
+class Known:
+    """The ids of the chunks that a worker has met, by the chunks' hashes."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.start = self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        start = len(self.flat) + np.cumsum(lengths) - lengths
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = np.concatenate([self.hashes, hashes])[order]
+        self.start = np.concatenate([self.start, start])[order]
+        self.length = np.concatenate([self.length, lengths])[order]
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[at] != hashes)
+
+    def ids_of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """All chunks' ids in order, and how many each has; ``encode`` gives new chunks' ids and their counts."""
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        hashes, first, inverse = np.unique(spans_hash(raw, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE:
+            self.__init__()
+        new = self.missing(hashes)
+        if len(new):
+            text = raw.tobytes()
+            flat, lengths = encode([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self.add(hashes[new], flat, lengths)
+        at = np.searchsorted(self.hashes, hashes)[inverse]
+        n = self.length[at]
+        return self.flat[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 def spread(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliolens.llm.common import blocks, lists, utf8
-from foliolens.llm.pretokens import chunks, ids_of, per_row, spread
+from foliolens.llm.pretokens import Known, chunks, per_row, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -143,23 +143,27 @@ class Encoder:
             before = word
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of marked words, which hold spaces for marks."""
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of marked words (which hold spaces for marks) and how many each has."""
         texts = [w.decode("utf-8", "replace").replace(" ", MARK) for w in words]
         order = sorted(range(len(texts)), key=texts.__getitem__)
-        out: list = [None] * len(texts)
-        ids, p = self.pieces.ids, self.pieces
-        for i, parts in zip(order, self.segment([texts[i] for i in order])):
-            found: list[int] = []
-            for part in parts:
-                if part in ids:
-                    found.append(ids[part])
-                elif p.byte_ids:
-                    found += [p.byte_ids[b] for b in part.encode("utf-8", "replace")]
+        parts: list = [None] * len(texts)
+        for i, found in zip(order, self.segment([texts[i] for i in order])):
+            parts[i] = found
+        ids, bytes_ = self.pieces.ids, self.pieces.byte_ids
+        flat: list[int] = []
+        ends = []
+        for found in parts:
+            for part in found:
+                number = ids.get(part)
+                if number is not None:
+                    flat.append(number)
+                elif bytes_:
+                    flat += [bytes_[b] for b in part.encode("utf-8", "replace")]
                 else:
-                    found.append(p.unknown)
-            out[i] = np.array(found, np.int32)
-        return out
+                    flat.append(self.pieces.unknown)
+            ends.append(len(flat))
+        return np.array(flat, np.int32), np.diff(np.array([0, *ends]))
 
 
 def marked(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +181,13 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         for batch in batches:
             if not state:
                 p = shared.value
-                state = [Encoder(p), {}, np.frombuffer(b"".join(p.decoded), np.uint8), np.array([len(x) for x in p.decoded])]
+                state = [Encoder(p), Known(), np.frombuffer(b"".join(p.decoded), np.uint8), np.array([len(x) for x in p.decoded])]
             encoder, known, table, sizes = state
             raw_all, offs_all = utf8(batch["text"])
             for lo, hi, raw, offs in blocks(raw_all, offs_all):
                 raw, offs = marked(raw, offs)
                 starts, ends, row = chunks(raw, offs, _SPACE)
-                ids, n = ids_of(raw, starts, ends, known, encoder.encode_words)
+                ids, n = known.ids_of(raw, starts, ends, encoder.encode_words)
                 count = per_row(n, row, hi - lo)
                 back, length = spread(table, sizes, ids)
                 if len(back) == len(raw) and (back == raw).all():

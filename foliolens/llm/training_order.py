@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliolens.llm.common import blocks, cut, utf8
-from foliolens.llm.pretokens import chunks, ids_of, per_row
+from foliolens.llm.pretokens import Known, chunks, per_row
 from foliolens.llm.words import mix
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -74,10 +75,41 @@ def _encoder(ranks: bytes):
     key = hash(ranks)
     if key not in _ENCODERS:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), {}
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), Known()
     return _ENCODERS[key]
 
 
+#: White space beyond the separators of chunks, in UTF-8.
+_ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def encode_chunks(encoder, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of chunks and their counts.
+
+    Chunks that start with at most a space and hold no odd white space are encoded in one call, a line each,
+    as a line feed before them is a token of its own; the others are encoded one by one.
+    """
+    line = encoder.encode_ordinary("\n")
+    plain = np.array([not x[:1].isspace() or (x[:1] == b" " and not x[1:2].isspace() and len(x) > 1) for x in new], bool)
+    if len(line) != 1 or not plain.any() or _ODD_SPACE.search(b"".join(new)):
+        plain[:] = False
+    lengths = np.zeros(len(new), np.int64)
+    many = np.array(encoder.encode_ordinary(b"\n".join([x for x, p in zip(new, plain) if p]).decode("utf-8", "replace")), np.int64)
+    borders = np.flatnonzero(many == line[0]) if plain.any() else np.zeros(0, np.int64)
+    if plain.any() and len(borders) != plain.sum() - 1:
+        plain[:] = False
+    alone = [encoder.encode_ordinary(x.decode("utf-8", "replace")) for x, p in zip(new, plain) if not p]
+    lengths[~plain] = [len(x) for x in alone]
+    if plain.any():
+        lengths[plain] = np.diff(np.concatenate([[-1], borders, [len(many)]])) - 1
+    flat = np.zeros(lengths.sum(), np.int64)
+    own = np.repeat(plain, lengths)
+    if plain.any():
+        flat[own] = np.delete(many, borders)
+    flat[~own] = [i for x in alone for i in x]
+    return flat, lengths
+
+
 def _tokenised(batch: pa.RecordBatch, ranks: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges with their ids and each row's count of them."""
     encoder, known = _encoder(ranks)
@@ -85,7 +117,7 @@ def _tokenised(batch: pa.RecordBatch, ranks: bytes) -> Iterator[tuple[int, int,
     for lo, hi, raw, offs in blocks(raw_all, offs_all):
         # a token never holds a space after something else, so chunks tokenise on their own
         starts, ends, row = chunks(raw, offs)
-        ids, n = ids_of(raw, starts, ends, known, lambda new: [np.array(encoder.encode_ordinary(x.decode("utf-8", "replace")), np.uint16) for x in new])
+        ids, n = known.ids_of(raw, starts, ends, lambda new: encode_chunks(encoder, new))
         yield lo, hi, ids, per_row(n, row, hi - lo)
 
 
