@@ -27,11 +27,15 @@ def sections(docs: DataFrame, file: str = "name") -> DataFrame:
     head = r"(?md)^#{1,3}\s+(.+?)\s*$"
     parts = F.split("text", r"(?md)(?=^#{1,3}\s+\S)")
     found = F.filter(parts, lambda p: p.rlike(r"^#{1,3}\s+\S"))
-    rows = docs.select(F.col(file).alias("file"), F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array("text"))).alias("pos", "part"))
+    found = F.when(F.size(found) > 0, found).otherwise(F.array("text"))
+    rows = docs.select(F.col(file).alias("file"), F.posexplode(found).alias("pos", "part"), (F.size(found) - 1).alias("last"))
     titled = F.col("part").rlike(r"^#{1,3}\s+\S")
+    # the next heading's mark keeps a blank line before it in the body
+    after = F.regexp_replace(F.concat("part", F.when(F.col("pos") < F.col("last"), "#").otherwise("")), r"(?md)\A#{1,3}\s+.+?\s*$", "")
+    after = F.when(F.col("pos") < F.col("last"), F.substring(after, F.lit(1), F.length(after) - 1)).otherwise(after)
     rows = rows.select(
         "file", "pos", F.when(titled, title_key(F.regexp_extract("part", head, 1))).otherwise(WHOLE).alias("title"),
-        fingerprint(F.when(titled, F.regexp_replace("part", r"(?md)\A#{1,3}\s+.+?\s*$", "")).otherwise(F.col("part"))).alias("digest"),
+        fingerprint(F.when(titled, after).otherwise(F.col("part"))).alias("digest"),
     )
     return number_repeats(rows, ["file"], "title", "pos")
 

@@ -470,3 +470,93 @@ def residue(read):
 def axis_clustering(read):
     rows = read("part").groupBy("p_brand").agg(F.count("*").alias("n"))
     return rows.withColumn("dominates", F.col("n") > F.sum("n").over(Window.partitionBy()) * 0.045)
+
+
+# --- further rules -----------------------------------------------------------------------------------------
+
+
+@registered("""WITH n AS (SELECT lower(n_name) AS name FROM nation) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name[1] = b.name[1] AND a.name < b.name
+WHERE levenshtein(a.name, b.name) <= 3""")
+def confusable_names(read):
+    names = read("nation").select(F.lower("n_name").alias("name"))
+    rows = names.withColumn("at", F.substring(F.col("name"), F.lit(1), F.lit(1)))
+    both = rows.withColumnRenamed("name", "a").join(rows.withColumnRenamed("name", "b"), "at")
+    return both.filter("a < b").filter(F.levenshtein("a", "b") <= 3).select("a", "b")
+
+
+@registered("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN 'question' WHEN regexp_matches(text, '^[(]') THEN 'aside' WHEN length(text) < 80 THEN 'short' ELSE 'play' END AS kind
+FROM conversations WHERE role = 'user'""")
+def input_class(read):
+    kind = F.when(F.col("text").rlike("[?]"), "question").when(F.col("text").rlike("^[(]"), "aside").when(F.length("text") < 80, "short").otherwise("play")
+    return read("conversations").filter("role = 'user'").select("conv_id", "turn", kind.alias("kind"))
+
+
+@registered("SELECT doc_id, len(regexp_extract_all(lower(text), '(license|the the)'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(lower(text), '(license|the the)')) > 1")
+def emphasis_repeat(read):
+    return read("documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("(license|the the)")).cast("long").alias("n")).filter("n > 1")
+
+
+@registered(f"WITH {_LINES} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(line, '^[0-9]+[.)] ') OR regexp_matches(line, '^[^ |]+ [|] ') GROUP BY 1")
+def choice_menu(read):
+    rows = segments.lines(read("documents"), ["doc_id"]).filter(F.col("line").rlike(r"^[0-9]+[.)] ") | F.col("line").rlike(r"^[^ |]+ [|] "))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@registered("""WITH q AS (SELECT conv_id, turn, length(text) < 150 AS quiet, lag(length(text) < 150) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn FROM q WHERE quiet AND before""")
+def quiet_runs(read):
+    quiet = F.length("text") < 150
+    rows = read("conversations").withColumn("quiet", quiet).withColumn("before", F.lag("quiet").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return rows.filter("quiet and before").select("conv_id", "turn")
+
+
+@registered("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) AS k FROM events),
+t AS (SELECT event_id, sum(CASE WHEN k = 1 THEN CASE WHEN event_type = 'purchase' THEN 2 ELSE -1 END ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM f)
+SELECT event_id, greatest(-5, least(10, s))::BIGINT AS score FROM t""")
+def stage_steps(read):
+    rows = read("events").withColumn("scene", F.date_trunc("day", "ts")).withColumn("step", F.when(F.col("event_type") == "purchase", 2).otherwise(-1))
+    return turns.capped_steps(rows, "user_id", "scene", "event_id", "step", -5, 10).select("event_id", F.col("score").cast("long").alias("score"))
+
+
+@registered("""SELECT lang, count(*) FILTER (n_chars < 500) AS short, count(*) FILTER (n_chars BETWEEN 500 AND 5000) AS medium, count(*) FILTER (n_chars > 5000) AS long,
+ count(*) FILTER (n_chars < 50) = 0 AS complete FROM documents GROUP BY 1""")
+def completeness_matrix(read):
+    n = F.col("n_chars")
+    return read("documents").groupBy("lang").agg(
+        F.count_if(n < 500).alias("short"), F.count_if(n.between(500, 5000)).alias("medium"), F.count_if(n > 5000).alias("long"), (F.count_if(n < 50) == 0).alias("complete")
+    )
+
+
+@registered(f"""WITH {_ENTRIES}, o AS (SELECT entry_id, entry_id AS rank, array_to_string(keywords, ',') AS ks FROM entries),
+n AS (SELECT entry_id, CASE WHEN entry_id % 2 = 0 THEN entry_id ELSE entry_id + 1 END AS rank, CASE WHEN entry_id % 3 = 0 THEN ks || ',new' ELSE ks END AS ks FROM o WHERE entry_id % 10 <> 9)
+SELECT coalesce(o.entry_id, n.entry_id) AS entry_id, CASE WHEN n.entry_id IS NULL THEN 'removed' ELSE 'changed' END AS status FROM o LEFT JOIN n ON o.entry_id = n.entry_id
+WHERE n.entry_id IS NULL OR o.rank <> n.rank OR o.ks <> n.ks""")
+def reregister_list(read):
+    digest = F.concat_ws("|", "rank", "ks").alias("digest")
+    old = entries_of(read).select("entry_id", "rank", F.array_join("keywords", ",").alias("ks"))
+    rank = F.when(F.col("entry_id") % 2 == 0, F.col("entry_id")).otherwise(F.col("entry_id") + 1).alias("rank")
+    ks = F.when(F.col("entry_id") % 3 == 0, F.concat("ks", F.lit(",new"))).otherwise(F.col("ks")).alias("ks")
+    new = old.filter("entry_id % 10 <> 9").select("entry_id", rank, ks)  # the edit of the fixture, not a sample
+    return audits.snapshot_diff(old.select("entry_id", digest), new.select("entry_id", digest), ["entry_id"]).filter("status <> 'same'")
+
+
+@registered("""WITH d AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents),
+m AS (SELECT doc_id, len(list_filter(['the', 'der', 'le', 'el'], lambda x: list_contains(w, x)))::BIGINT AS n FROM d) SELECT doc_id, n FROM m WHERE n > 1""")
+def synonym_mixing(read):
+    words = F.split(F.lower("text"), "[^a-z]+")
+    n = F.size(F.array_intersect(F.array(*map(F.lit, ("the", "der", "le", "el"))), words)).cast("long")
+    return read("documents").select("doc_id", n.alias("n")).filter("n > 1")
+
+
+@registered("""SELECT conv_id, turn, CASE WHEN n > 900 THEN 'FAIL' WHEN n > 600 THEN 'WARN' ELSE 'PASS' END AS grade
+FROM (SELECT conv_id, turn, length(regexp_replace(text, '```[^`]*```', '', 'g')) AS n FROM conversations WHERE role = 'assistant')""")
+def response_length(read):
+    visible = F.length(F.regexp_replace("text", "```[^`]*```", ""))
+    return read("conversations").filter("role = 'assistant'").select("conv_id", "turn", audits.grade(visible, 600, 900).alias("grade"))
+
+
+@registered("""WITH o AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS w FROM conversations),
+b AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM o) SELECT conv_id, turn FROM b WHERE before > w""")
+def order_inversions(read):
+    wanted = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    return turns.inversions(read("conversations"), "conv_id", "turn", wanted).select("conv_id", "turn")
