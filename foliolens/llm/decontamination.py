@@ -7,7 +7,7 @@ time with the whole item in one integer.
 
 Texts are compared lower-cased with every run of other characters than letters and digits as one space.
 Pieces of all items go to one Aho-Corasick automaton, so a document is read once a block of items; a block
-holds at most ``BLOCK_CHARS`` characters of items, which bounds what is broadcast, and more blocks mean more
+holds about ``BLOCK_CHARS`` characters of items, which bounds what is broadcast, and more blocks mean more
 passes, never fewer items.
 
 Defined cases: a null or empty document has no match; an item without letters or digits is never found, nor
@@ -24,7 +24,6 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Edits allowed in a hundred characters of an item.
 PERCENT = 8
@@ -108,13 +107,12 @@ def automaton_of(items: list[tuple[int, str]], percent: int):
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters (one item at least)."""
+    """The items, dealt by hash into as many blocks as make about BLOCK_CHARS characters each."""
     items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text")
-    # only the benchmark's ids and lengths meet in one task
-    before = Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    items = items.withColumn("block", F.floor(F.sum(F.length(F.coalesce("text", F.lit("")))).over(before) / BLOCK_CHARS))
-    for r in items.select("block").distinct().orderBy("block").collect():
-        yield [(x.item_id, t) for x in items.filter(F.col("block") == r.block).collect() if (t := normal(x.text))]
+    count = (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
+    for i in range(count):
+        yield [(x.item_id, t) for x in items.filter(block == i).toLocalIterator() if (t := normal(x.text))]
 
 
 def _hits(docs: DataFrame, known: list[tuple[int, str]], percent: int) -> Column:
