@@ -41,8 +41,13 @@ _SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def _terms(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, row = split(raw, offs, _SEPARATOR)
-    return spans_hash(raw, starts, ends, lower=True), row
+    """Every term's hash and row; hashed in small blocks, so that a shard's arrays are those of its terms alone."""
+    terms, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for lo, _, part, at in blocks(raw, offs):
+        starts, ends, row = split(part, at, _SEPARATOR)
+        terms.append(spans_hash(part, starts, ends, lower=True))
+        rows.append((row + lo).astype(np.int32))
+    return np.concatenate(terms), np.concatenate(rows)
 
 
 def _pairs(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,9 +5,9 @@ are one class from the start.  Then, by set size:
 
 * light: two small sets link exactly if they share a subset of the overlap that their sizes ask for, so each
   small set enumerates those subsets and equal ones meet.
-* heavy: a large set is found through inverted lists.  A first pass over the lists of a fifth of all tokens
-  (those with the lowest hashes, so the choice is the same in every set) leaves out the sets that share too
-  few tokens with any other.  The rest order their tokens from rare to frequent and put only the prefix
+* heavy: a large set is found through inverted lists.  A first pass over the lists of some tokens (those
+  with the lowest hashes, so the choice is the same in every set) leaves out the sets that share too few of
+  them with any other.  The rest order their tokens from rare to frequent and put only the prefix
   into the lists that a partner must meet; each hit is bounded by the places on both sides, then verified.
 
 The boundary is the size at which the rows to enumerate outweigh those to scan, taken from the size counts.
@@ -40,8 +40,8 @@ from foliolens.llm.words import mix, shingles
 LIGHT_MOST = 24
 #: Sorts and shuffles that a row of each kind goes through, for the boundary.
 LIGHT_COST, HEAVY_COST = 2, 4
-#: Tokens with hashes below this share of the range are in the first lists.
-ZONE = 0.2
+#: Tokens with hashes below this multiple of the share that a prefix takes are in the first lists.
+ZONE = 4 / 3
 #: Ids (8 bytes each) up to which a table of ids is broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -56,6 +56,11 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _zone(percent: int) -> float:
+    """The share of tokens in the first lists: more than any prefix takes, so that common tokens can be left out of it."""
+    return min(ZONE * (100 - percent) / 100, 0.999)
+
+
 def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
 
@@ -66,7 +71,7 @@ def _prefix(percent: int) -> Column:
 
 def token_sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
     """doc_id, n, key, zone and tokens (sorted hashes) of every row; tokens beyond the first lists only if ``whole``."""
-    low = np.uint64(int(ZONE * 2**64))
+    low = np.uint64(int(_zone(percent) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +98,7 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
         return sum(comb(s, need(s, t, percent)) for t in range(1, most + 1) if need(s, t, percent) <= min(s, t))
 
     def cost(most: int) -> float:
-        return sum(c * (LIGHT_COST * light(s, most) if s <= most else HEAVY_COST * (ZONE * s + prefix(s, percent))) for s, c in sizes.items())
+        return sum(c * (LIGHT_COST * light(s, most) if s <= most else HEAVY_COST * (_zone(percent) * s + prefix(s, percent))) for s, c in sizes.items())
 
     return min(range(1, LIGHT_MOST + 1), key=cost)
 
@@ -140,11 +145,12 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def candidates_left(classes: DataFrame, least: int, percent: int) -> DataFrame:
     """doc_id of the heavy classes that share enough tokens of the first lists with others to have a link."""
-    rows = classes.filter(f"n >= {least}").withColumn("p", _prefix(percent).cast("int"))
-    rows = rows.select("rep", "zone", "p", F.posexplode(F.slice("tokens", F.lit(1), F.greatest("zone", "p"))).alias("at", "token"))
+    heavy = classes.filter(f"n >= {least}").withColumn("p", _prefix(percent).cast("int"))
+    rows = heavy.select("rep", F.posexplode(F.slice("tokens", F.lit(1), F.greatest("zone", "p"))).alias("at", "token"), "zone")
+    rows = rows.select("token", "rep", (F.col("at") < F.col("zone")).alias("low"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
-    met = rows.groupBy("rep").agg(F.first("zone").alias("zone"), F.first("p").alias("p"), F.count_if(F.col("at") < F.col("zone")).alias("met"))
-    return met.filter("zone - met < p").select(F.col("rep").alias("doc_id"))
+    met = rows.groupBy("rep").agg(F.count_if("low").alias("met"))
+    return met.join(heavy.select("rep", "zone", "p"), "rep").filter("zone - met < p").select(F.col("rep").alias("doc_id")).distinct()
 
 
 def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -191,18 +197,23 @@ def heavy_links(lists_: DataFrame, sets: DataFrame, light: DataFrame, percent: i
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row."""
     every = cut_wide(token_sets(docs, words, percent, whole=False))
-    classes = every.filter("key is not null and doc_id is not null").groupBy("key")
-    classes = cut_wide(classes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("zone").alias("zone"), F.first("tokens").alias("tokens")))
+    known = every.filter("key is not null and doc_id is not null")
+    reps = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
+    classes = known.join(_sized(reps.select(F.col("rep").alias("doc_id"), F.col("key").alias("own"))), "doc_id").filter("key = own")
+    classes = classes.select("key", F.col("doc_id").alias("rep"), "n", "zone", "tokens")  # a repeated row is there as often; nothing below minds
     sizes = {r.n: r["count"] for r in classes.filter(f"n <= {LIGHT_MOST}").groupBy("n").count().collect()}  # LIGHT_MOST rows at most
     most = boundary(sizes, percent)
     light = light_links(classes, most, percent)
     least = -(-percent * (most + 1) // 100)  # the smallest set that a heavy one can link with
     ids = cut(candidates_left(classes, least, percent))
     sets = token_sets(docs.select("doc_id", "text").join(_sized(ids), "doc_id", "left_semi"), words, percent, whole=True)
-    sets = cut_wide(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    sets = sets.select(F.col("doc_id").alias("rep"), "n", "tokens", "key")
+    if not every.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that share an id: those of the class, once
+        sets = sets.join(reps, ["rep", "key"], "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = cut_wide(sets.select("rep", "n", "tokens"))
     links = heavy_links(cut(prefix_lists(sets, percent)), sets, cut(light), percent)
     linked = components(links).withColumnsRenamed({"node": "rep"})
-    groups = classes.select("key", "rep").join(linked, "rep", "left")
+    groups = reps.join(linked, "rep", "left")
     out = every.select("doc_id", "n", "key").join(groups, "key", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"), alone.alias("component_id"))

@@ -9,7 +9,7 @@ import numpy as np
 from foliolens.llm.words import SEPARATOR, spans_hash
 
 #: Chunks whose ids a worker remembers between blocks.
-CACHE = 400_000
+CACHE = 1_500_000
 
 
 def chunks(raw: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,8 +21,10 @@ the model and comes back as one (``round_trip`` is then false); repeated rows ar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ MARK = "▁"
 _SPACE = np.zeros(256, bool)
 _SPACE[0x20] = True
 #: Pairs of pieces whose standing side by side a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
+#: In place of ids: a character without a piece, and the start of a word.
+NONE, NOTHING = -1, -2
 
 
 @dataclass
@@ -76,7 +80,8 @@ class Encoder:
     pieces: Pieces
     #: Lengths of pieces by their last two characters, longest first.
     tails: dict[str, list[int]] = field(default_factory=dict)
-    beside: dict[tuple[str, str], bool] = field(default_factory=dict)
+    #: Whether merging leaves a piece beside the one before it, by both ids.
+    beside: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self):
         found: dict[str, set[int]] = {}
@@ -97,73 +102,89 @@ class Encoder:
             out[i : i + 2] = [out[i] + out[i + 1]]
         return out
 
-    def _stands(self, before: str, piece: str) -> bool:
-        known = self.beside.get((before, piece))
-        if known is None:
-            if len(self.beside) > PAIRS:
-                self.beside.clear()
-            known = self.merged(before + piece) == [x for x in (before, piece) if x]
-            self.beside[before, piece] = known
-        return known
-
-    def segment(self, words: list[str]) -> list[list[str]]:
-        """The pieces of each word of a sorted list."""
-        out, ids, tails, unigram = [], self.pieces.ids, self.tails, self.pieces.kind == "unigram"
-        last: list[int] = []  # length of the last piece of each prefix of the word at hand
-        best: list[float] = [0.0]
+    def walk(self, words: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """For each word of a sorted list its pieces' ends and ids (NONE for a character without a piece)."""
+        ids, tails, scores, beside, unigram = self.pieces.ids, self.tails, self.pieces.scores, self.beside, self.pieces.kind == "unigram"
+        last: list[int] = []  # of each prefix of the word at hand: the length of its last piece,
+        piece: list[int] = []  # that piece's id,
+        best: list[float] = [0.0]  # and its score
         before = ""
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared:], best[shared + 1 :]
+            del last[shared:], piece[shared:], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 sizes = tails.get(word[end - 2 : end], ()) if end > 1 else ()
                 if unigram:
-                    top, size = best[end - 1] + self.pieces.scores.get(word[end - 1], self.floor), 1
+                    top, size = best[end - 1] + scores.get(word[end - 1], self.floor), 1
                     for n in sizes:
-                        if n <= end and (s := self.pieces.scores.get(word[end - n : end])) is not None and best[end - n] + s > top:
+                        if n <= end and (s := scores.get(word[end - n : end])) is not None and best[end - n] + s > top:
                             top, size = best[end - n] + s, n
                     best.append(top)
                     last.append(size)
+                    piece.append(ids.get(word[end - size : end], NONE))
                     continue
                 for n in sizes:
-                    if n <= end and (piece := word[end - n : end]) in ids:
-                        at = end - n
-                        if self._stands(word[at - last[at - 1] : at] if at else "", piece):
-                            last.append(n)
-                            break
+                    if n > end or (found := ids.get(word[end - n : end])) is None:
+                        continue
+                    at = end - n
+                    key = (piece[at - 1] if at else NOTHING) << 24 | found
+                    stands = beside.get(key)
+                    if stands is None:
+                        if len(beside) > PAIRS:
+                            beside.clear()
+                        pair = [x for x in (word[at - last[at - 1] : at] if at else "", word[at:end]) if x]
+                        stands = beside[key] = self.merged("".join(pair)) == pair
+                    if stands:
+                        last.append(n)
+                        piece.append(found)
+                        break
                 else:
                     last.append(1)
-            parts, end = [], len(word)
+                    piece.append(ids.get(word[end - 1], NONE))
+            ends, out, end = [], [], len(word)
             while end:
-                parts.append(word[end - last[end - 1] : end])
+                ends.append(end)
+                out.append(piece[end - 1])
                 end -= last[end - 1]
-            out.append(parts[::-1])
+            yield ends[::-1], out[::-1]
             before = word
-        return out
+
+    def segment(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word of a sorted list."""
+        return [[w[a:b] for a, b in zip([0, *ends], ends)] for w, (ends, _) in zip(words, self.walk(words))]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of marked words (which hold spaces for marks) and how many each has."""
         texts = [w.decode("utf-8", "replace").replace(" ", MARK) for w in words]
         order = sorted(range(len(texts)), key=texts.__getitem__)
-        parts: list = [None] * len(texts)
-        for i, found in zip(order, self.segment([texts[i] for i in order])):
-            parts[i] = found
-        ids, bytes_ = self.pieces.ids, self.pieces.byte_ids
-        flat: list[int] = []
-        ends = []
-        for found in parts:
-            for part in found:
-                number = ids.get(part)
-                if number is not None:
-                    flat.append(number)
-                elif bytes_:
-                    flat += [bytes_[b] for b in part.encode("utf-8", "replace")]
-                else:
-                    flat.append(self.pieces.unknown)
-            ends.append(len(flat))
-        return np.array(flat, np.int32), np.diff(np.array([0, *ends]))
+        found: list = [None] * len(texts)
+        for i, (ends, ids) in zip(order, self.walk([texts[i] for i in order])):
+            found[i] = self._spelled(texts[i], ends, ids) if NONE in ids else ids
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _spelled(self, word: str, ends: list[int], ids: list[int]) -> list[int]:
+        """The ids with those of bytes in place of NONE."""
+        out: list[int] = []
+        for end, i in zip(ends, ids):
+            if i != NONE:
+                out.append(i)
+            elif self.pieces.byte_ids:
+                out += [self.pieces.byte_ids[b] for b in word[end - 1].encode("utf-8", "replace")]
+            else:
+                out.append(self.pieces.unknown)
+        return out
+
+
+#: Encoders, word caches and decoding tables of this worker by vocabulary; tasks that follow find them filled.
+_WORKER: dict[str, tuple] = {}
+
+
+def _worker(name: str, pieces: Pieces) -> tuple[Encoder, Known, np.ndarray, np.ndarray]:
+    if name not in _WORKER:
+        _WORKER[name] = Encoder(pieces), Known(), np.frombuffer(b"".join(pieces.decoded), np.uint8), np.array([len(x) for x in pieces.decoded])
+    return _WORKER[name]
 
 
 def marked(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,15 +195,13 @@ def marked(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (whether the ids decode to the very text) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces or Pieces.load())
+    pieces = pieces or Pieces.load()
+    name = hashlib.md5(repr((pieces.kind, pieces.scores, pieces.byte_ids)).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list = []
         for batch in batches:
-            if not state:
-                p = shared.value
-                state = [Encoder(p), Known(), np.frombuffer(b"".join(p.decoded), np.uint8), np.array([len(x) for x in p.decoded])]
-            encoder, known, table, sizes = state
+            encoder, known, table, sizes = _worker(name, shared.value)
             raw_all, offs_all = utf8(batch["text"])
             for lo, hi, raw, offs in blocks(raw_all, offs_all):
                 raw, offs = marked(raw, offs)
