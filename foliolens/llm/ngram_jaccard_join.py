@@ -42,7 +42,7 @@ LIGHT_MOST = 24
 LIGHT_COST, HEAVY_COST = 2, 4
 #: Tokens with hashes below this multiple of the share that a prefix takes are in the first lists.
 ZONE = 4 / 3
-#: Ids (8 bytes each) up to which a table of ids is broadcast; larger ones are joined by shuffle.
+#: Rows up to which a table of ids, or of ids and set keys (about 120 bytes a row in memory), is broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
