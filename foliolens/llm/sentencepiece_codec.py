@@ -38,7 +38,7 @@ MARK = "▁"
 _SPACE = np.zeros(256, bool)
 _SPACE[0x20] = True
 #: Pairs of pieces whose standing side by side a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 200_000
 #: In place of ids: a character without a piece, and the start of a word.
 NONE, NOTHING = -1, -2
 
@@ -177,13 +177,14 @@ class Encoder:
         return out
 
 
-#: Encoders, word caches and decoding tables of this worker by vocabulary; tasks that follow find them filled.
+#: The encoder and word cache of this worker by vocabulary; tasks that follow find them filled.
 _WORKER: dict[str, tuple] = {}
 
 
-def _worker(name: str, pieces: Pieces) -> tuple[Encoder, Known, np.ndarray, np.ndarray]:
+def _worker(name: str, pieces: Pieces) -> tuple[Encoder, Known]:
     if name not in _WORKER:
-        _WORKER[name] = Encoder(pieces), Known(), np.frombuffer(b"".join(pieces.decoded), np.uint8), np.array([len(x) for x in pieces.decoded])
+        _WORKER.clear()  # one vocabulary at a time
+        _WORKER[name] = Encoder(pieces), Known(pieces.decoded)
     return _WORKER[name]
 
 
@@ -201,14 +202,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder, known, table, sizes = _worker(name, shared.value)
+            encoder, known = _worker(name, shared.value)
             raw_all, offs_all = utf8(batch["text"])
             for lo, hi, raw, offs in blocks(raw_all, offs_all):
                 raw, offs = marked(raw, offs)
                 starts, ends, row = chunks(raw, offs, _SPACE)
                 ids, n = known.ids_of(raw, starts, ends, encoder.encode_words)
                 count = per_row(n, row, hi - lo)
-                back, length = spread(table, sizes, ids)
+                back, length = spread(known.table, known.sizes, ids)
                 if len(back) == len(raw) and (back == raw).all():
                     same = np.ones(hi - lo, bool)
                 else:

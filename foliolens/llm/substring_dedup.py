@@ -10,10 +10,13 @@ document has windows in; the strings of other buckets need not travel.  In the b
 strings are sorted by a 128-bit hash, and the least id of each run of equal ones decides.  Before the shuffle
 the same is done within each block of input: windows that a smaller document of the block has too are settled
 there and do not travel, so what a bucket gets of one passage is one string a block, however many documents
-repeat it.  A task reads its buckets in order and holds the windows of a few at a time.
+repeat it.  A task reads its buckets by id; a window met before belongs to a smaller document, so of an open
+bucket only the distinct windows are held.  Buckets with many windows are split by the windows' own hashes.
 
 Defined cases: a null text has no words; a null id counts as larger than any other; rows that share an id
-are not held against each other (15 bits of a hash of the text tell them apart); fewer than 13 words are never removed; an empty table gives no rows.
+are not held against each other (a 64-bit hash of the text tells them apart; rows with the same id and text are
+alike); fewer than 13 words are never removed; a text longer than a block is a block of its own; only doc_id and
+text are read, so further columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,22 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliolens.llm.common import blocks, utf8
-from foliolens.llm.words import mix, runs_hash, spans_hash, split
+from foliolens.llm.common import blocks, cut, utf8
+from foliolens.llm.words import mix, runs_hash, spans_hash2, split
 
 WINDOW = 13
 MINIMISER = 3
-#: Windows that a task gathers before it settles the buckets that are complete.
-FLUSH_WINDOWS = 1_000_000
+#: Windows that a task gathers before it settles them.
+FLUSH_WINDOWS = 400_000
+#: Windows beyond which a bucket is split by the windows' own hashes, and how many buckets are at most: the
+#: largest, so any other has less than 1/MOST_HOT of all windows.
+HOT_WINDOWS, MOST_HOT = 1 << 14, 100_000
 BLOCK = 2 << 20
 _LAST_ID = np.iinfo(np.int64).max
 
 
 def _windows(raw, starts, ends, row):
-    """Two hashes of each window and the index of its first word."""
-    one, at = runs_hash(spans_hash(raw, starts, ends), row, WINDOW)
-    two, _ = runs_hash(spans_hash(raw, starts, ends, base=1), row, WINDOW)
-    return one, two, at
+    """Two hashes of each window, the index of its first word, and the hash of each word."""
+    h1, h2 = spans_hash2(raw, starts, ends)
+    one, at = runs_hash(h1, row, WINDOW)
+    two, _ = runs_hash(h2, row, WINDOW)
+    return one, two, at, h1
 
 
 def _least_owner(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -65,9 +72,9 @@ def _least_owner(one: np.ndarray, two: np.ndarray, owner: np.ndarray) -> np.ndar
     return out
 
 
-def _minimisers(raw, starts, ends, row, at) -> np.ndarray:
+def _minimisers(h, starts, ends, row, at) -> np.ndarray:
     """The bucket (32 bits of a hash of the minimiser) of the windows that start at words ``at``."""
-    grams, first = runs_hash(spans_hash(raw, starts, ends), row, MINIMISER)
+    grams, first = runs_hash(h, row, MINIMISER)
     length = np.append(0, np.cumsum(ends - starts))  # of words alone: separators may differ
     size = length[first + MINIMISER] - length[first]
     key = np.full(len(starts) + WINDOW, np.iinfo(np.uint64).max)  # an order of sequences
@@ -91,9 +98,10 @@ def _runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], n) - 1
 
 
-_PACKED = "bucket int, key long, version int, word int, upto int, packed binary"
+_PACKED = "bucket int, key long, version long, word int, upto int, packed binary"
 _NAMES = ["bucket", "key", "version", "word", "upto", "packed"]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_RANGES = "key long, version long, word int, upto int"
 
 
 def _block_windows(batches: Iterator[pa.RecordBatch], block: int):
@@ -102,9 +110,9 @@ def _block_windows(batches: Iterator[pa.RecordBatch], block: int):
         raw_all, offs_all = utf8(batch["text"])
         for lo, hi, raw, offs in blocks(raw_all, offs_all, block):
             starts, ends, row = split(raw, offs)
-            one, two, at = _windows(raw, starts, ends, row)
+            one, two, at, h = _windows(raw, starts, ends, row)
             if len(at):
-                bucket = _minimisers(raw, starts, ends, row, at).view(np.int32)
+                bucket = _minimisers(h, starts, ends, row, at).view(np.int32)
                 yield batch.slice(lo, hi - lo), raw, starts, ends, row, one, two, at, bucket
 
 
@@ -113,11 +121,12 @@ def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
 
     ``place`` is the bucket itself for one document of a block, which has to ask whether others have it; for
     all documents of a bucket that several of the block have, the answer is known, and ``place`` is negative:
-    -1 less a number of its own with the bucket in its low 32 bits.
+    -1 less a number of its own with the bucket in its low 32 bits.  ``n`` is how many windows the block has in
+    the bucket, in the row of its first document.
     """
     for batch, _, _, _, row, _, _, at, bucket in _block_windows(batches, block):
         key, version = batch["key"].to_numpy(), batch["version"].to_numpy()
-        pair = np.unique(row[at].astype(np.uint64) << np.uint64(32) | bucket.view(np.uint32))
+        pair, windows = np.unique(row[at].astype(np.uint64) << np.uint64(32) | bucket.view(np.uint32), return_counts=True)
         row, bucket = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         order = np.lexsort((key[row], bucket))
         row, bucket = row[order], bucket[order]
@@ -125,12 +134,26 @@ def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
         first[1:] = bucket[1:] != bucket[:-1]
         known = ~(first & np.append(first[1:], True))
         own = -1 - ((mix(key[row].view(np.uint64)) >> np.uint64(33)).astype(np.int64) << 32 | bucket)
-        for place, take in ((bucket, first), (own, known)):
-            columns = place[take], key[row][take], version[row][take]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], ["place", "key", "version"])
+        total = np.add.reduceat(windows[order], np.flatnonzero(first))
+        for place, take, n in ((bucket, first, total), (own, known, np.zeros(known.sum(), np.int64))):
+            columns = place[take], key[row][take], version[row][take], n
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "key", "version", "n"])
+
+
+def _dealt(bucket: np.ndarray, one: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bucket of each window; windows of hot buckets are dealt out by their own hash, so equal ones stay together."""
+    names, parts = hot
+    if not len(names):
+        return bucket
+    at = np.minimum(np.searchsorted(names, bucket), len(names) - 1)
+    is_hot = np.flatnonzero(names[at] == bucket)
+    nth = one[is_hot] % parts[at[is_hot]].astype(np.uint64)
+    out = bucket.copy()
+    out[is_hot] = mix(bucket[is_hot].astype(np.uint64) << np.uint64(32) | nth).astype(np.uint32).view(np.int32)
+    return out
 
 
-def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+def _super_kmers(batches: Iterator[pa.RecordBatch], block: int, hot) -> Iterator[pa.RecordBatch]:
     """Packed strings of windows to be settled in their bucket, and ranges (word to upto) already settled."""
     for batch, raw, starts, ends, row, one, two, at, bucket in _block_windows(batches, block):
         shared = batch["buckets"]
@@ -143,7 +166,7 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.R
         key, version = batch["key"].to_numpy()[row[at]], batch["version"].to_numpy()[row[at]]
         word = at - np.searchsorted(row, row[at])
         seen = key > _least_owner(one, two, key)
-        bucket = np.where(seen, key.astype(np.int32), bucket)  # settled ranges go anywhere
+        bucket = np.where(seen, key.astype(np.int32), _dealt(bucket, one, hot.value))  # settled ranges go anywhere
         first, last = _runs(seen, bucket, row[at], np.arange(len(at)) - at)
         text = raw.tobytes()
         packed = [None if s else text[a:b] for s, a, b in zip(seen[first].tolist(), starts[at[first]].tolist(), ends[at[last] + WINDOW - 1].tolist())]
@@ -152,7 +175,7 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.R
 
 
 class _Bucketed:
-    """Windows of a few buckets, until they are settled."""
+    """Windows that arrive by bucket and then by id, so the first of equal ones has the least id."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -161,19 +184,18 @@ class _Bucketed:
     def add(self, bucket, doc, version, word, packed) -> None:
         raw, offs = utf8(packed)
         starts, ends, row = split(raw, offs)
-        one, two, at = _windows(raw, starts, ends, row)
+        one, two, at, _ = _windows(raw, starts, ends, row)
         r = row[at]
         self.parts.append((one, two, doc[r], version[r], word[r] + at - np.searchsorted(row, r), bucket[r]))
         self.count += len(at)
 
-    def settle(self, upto: int | None) -> pa.RecordBatch:
-        """Ranges that repeat a smaller document's windows, of all buckets or those other than ``upto``."""
+    def settle(self) -> pa.RecordBatch:
+        """Ranges that repeat a smaller document's windows; of the last bucket the first of equal windows are kept."""
         one, two, doc, version, word, bucket = (np.concatenate(x) for x in zip(*self.parts))
-        done = np.ones(len(one), bool) if upto is None else bucket != upto
-        self.parts = [tuple(x[~done] for x in (one, two, doc, version, word, bucket))]
-        self.count = int((~done).sum())
-        one, two, doc, version, word, bucket = (x[done] for x in (one, two, doc, version, word, bucket))
-        seen = np.flatnonzero(doc > _least_owner(one, two, doc))
+        least = _least_owner(one, two, doc)
+        again = np.flatnonzero((bucket == bucket[-1]) & (doc == least))
+        self.parts, self.count = [tuple(x[again] for x in (one, two, doc, version, word, bucket))], 0
+        seen = np.flatnonzero(doc > least)
         doc, version, word = doc[seen], version[seen], word[seen]
         first, last = _runs(doc, version, word - np.arange(len(word)))
         return _ranges(doc[first], version[first], word[first], word[last] + WINDOW)
@@ -181,7 +203,7 @@ class _Bucketed:
 
 def _ranges(key, version, word, upto) -> pa.RecordBatch:
     names = ["key", "version", "word", "upto"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, version, word, upto), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, version, word, upto), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
 
 
 def _settle(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
@@ -196,26 +218,37 @@ def _settle(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.Record
         text = batch["packed"].filter(pa.array(open_)).cast(pa.string())
         held.add(bucket[open_], doc[open_], version[open_], word[open_].astype(np.int64), text)
         if held.count >= flush:
-            yield held.settle(int(bucket[open_][-1]))
-    if held.parts:
-        yield held.settle(None)
+            yield held.settle()
+    if held.count:
+        yield held.settle()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key (the id; null as the largest) and version (tells rows of one id apart)."""
-    version = F.coalesce(F.xxhash64("text").bitwiseAND(0x7FFF), F.lit(0)).cast("int")
+    """doc_id, text, key (the id; null as the largest) and version (a hash of the text, which tells rows of one id apart)."""
+    version = F.coalesce(F.xxhash64("text"), F.lit(0))
     return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(_LAST_ID))).alias("key"), version.alias("version"))
 
 
-def repeated_ranges(docs: DataFrame, flush: int = FLUSH_WINDOWS, block: int = BLOCK) -> DataFrame:
+def _hot(shared: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets with more than ``hot`` windows and into how many each is split; the ``MOST_HOT`` largest at most."""
+    rows = shared.filter(F.col("windows") > hot).groupBy("bucket").agg(F.max("windows").alias("windows"))
+    rows = rows.orderBy(F.desc("windows"), "bucket").limit(MOST_HOT).toArrow()
+    name, windows = rows["bucket"].to_numpy().astype(np.uint32).view(np.int32), rows["windows"].to_numpy()
+    order = np.argsort(name)
+    return name[order], windows[order] // hot + 1
+
+
+def repeated_ranges(docs: DataFrame, flush: int = FLUSH_WINDOWS, block: int = BLOCK, hot: int = HOT_WINDOWS) -> DataFrame:
     """key, version, word, upto of ``_keyed`` documents: ranges of words to remove, which may overlap."""
-    held = docs.select("text", "key", "version").mapInArrow(lambda batches: _held(batches, block), "place long, key long, version int")
+    held = docs.select("text", "key", "version").mapInArrow(lambda batches: _held(batches, block), "place long, key long, version long, n long")
     w = Window.partitionBy("place")  # a row a block and place
-    held = held.select("place", "key", "version", F.min("key").over(w).alias("lo"), F.max("key").over(w).alias("hi"))
+    held = held.select("place", "key", "version", F.min("key").over(w).alias("lo"), F.max("key").over(w).alias("hi"), F.sum("n").over(w).alias("windows"))
     bucket = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).bitwiseAND(0xFFFFFFFF)
-    shared = held.filter("place < 0 or lo < hi").groupBy("key", "version").agg(F.collect_set(bucket).alias("buckets"))
-    rows = docs.join(shared, ["key", "version"]).mapInArrow(lambda batches: _super_kmers(batches, block), _PACKED)
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _settle(batches, flush), "key long, version int, word int, upto int")
+    shared = cut(held.filter("place < 0 or lo < hi or windows > %d" % hot).select("key", "version", bucket.alias("bucket"), "windows"))
+    parts = docs.sparkSession.sparkContext.broadcast(_hot(shared, hot))
+    asked = shared.groupBy("key", "version").agg(F.collect_set("bucket").alias("buckets"))
+    rows = docs.join(asked, ["key", "version"]).mapInArrow(lambda batches: _super_kmers(batches, block, parts), _PACKED)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(lambda batches: _settle(batches, flush), _RANGES)
 
 
 def _rewrite(digest: bool):

@@ -75,7 +75,11 @@ def _encoder(ranks: bytes):
     key = hash(ranks)
     if key not in _ENCODERS:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), Known()
+        decoded = [b""] * (max(table.values()) + 1)
+        for piece, i in table.items():
+            decoded[i] = piece
+        _ENCODERS.clear()  # one vocabulary at a time
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), Known(decoded)
     return _ENCODERS[key]
 
 
