@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation
-from foliolens.llm.common import table
+from foliolens.llm.common import new_path, table
 from foliolens.llm.oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join.join_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return ngram_jaccard_join.join_components(table(spark, sf_dir, "documents"), words=4, percent=85).drop("component", "text_hash")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.by_path(docs, secret_scan.scan(docs))
+    store = new_path(spark)
+    secret_scan.update(docs, store)  # the first run of a new ledger: all texts are unseen
+    found = secret_scan.by_path(docs, secret_scan.stored(spark, store))
 
     def count(kind):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -1,23 +1,32 @@
 """Incremental secret scan over content-addressed versions.
 
-Every text version is addressed by its SHA-256.  The ledger holds the (blob, rule, version) pairs that were
-scanned; a run scans only pairs that the ledger lacks, each distinct text once, and joins the findings back
-to every path that carries the blob.  A new rule or a higher version of one makes only that rule run again.
+Every text version is addressed by its SHA-256.  A store holds a ledger of the (blob, rule, version) pairs that
+were scanned, and their findings.  ``update`` scans only pairs that the ledger lacks, each distinct text once, and
+appends to both; ``stored`` gives the findings of the current rules, and ``by_path`` joins them to every path
+that carries the blob, in whichever run it was scanned.  A new rule or a higher version makes only that rule run
+again.  Findings are appended before the pairs, so a run lost in between is simply repeated: reading drops the
+copies.
 
 Spans are code points from 0, end exclusive.  ``split`` and ``regexp_extract_all`` give the texts between
 and of the matches; running sums of their lengths give the places.  Only DataFrame functions are used.
 
 Defined cases: a null text is the empty text (no spans, the digest of the empty string); repeated rows share
-a blob and get a row each; null ids pass through; an empty table gives no rows.
+a blob and get a row each; null ids pass through; a long text is scanned whole; only doc_id and text are read,
+``redact`` passes all other columns through whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliolens.llm.common import cut, exists
+
+LEDGER = "blob string, kind string, version int"
+SPANS = "blob string, kind_no int, kind string, version int, start bigint, end bigint, base boolean"
+
 
 class Rule(NamedTuple):
     kind: str
@@ -82,11 +91,37 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataF
     return spans.select("blob", "kind_no", "rule.kind", "rule.version", (F.col("end") - F.col("hit")).alias("start"), "end", "rule.base")
 
 
-def ledger_after(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """The ledger with every pair that ``scan`` on the same input covers; append-only, so a lost run is simply repeated."""
-    pairs = versions(docs).select("blob").distinct().select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r"))
-    pairs = pairs.select("blob", "r.*")
-    return pairs if ledger is None else ledger.select("blob", "kind", "version").unionByName(pairs).distinct()
+def pairs_of(docs: DataFrame, rules=RULES) -> DataFrame:
+    """blob, kind and version of every distinct text and rule."""
+    table = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    return versions(docs).select("blob").distinct().select("blob", F.explode(table).alias("r")).select("blob", "r.*")
+
+
+def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The ledger and the findings stored under ``path``; both empty where there is none."""
+    out = []
+    for name, schema in (("ledger", LEDGER), ("findings", SPANS)):
+        at = f"{path}/{name}"
+        out.append(spark.read.schema(schema).parquet(at) if exists(spark, at) else spark.createDataFrame([], schema))
+    return out[0], out[1]
+
+
+def update(docs: DataFrame, path: str, rules=RULES) -> None:
+    """One run: scans what the ledger under ``path`` lacks and appends the findings and then the pairs."""
+    ledger, _ = read_store(docs.sparkSession, path)
+    known = ledger if exists(docs.sparkSession, f"{path}/ledger") else None
+    scan(docs, known, rules).write.mode("append").parquet(f"{path}/findings")
+    pairs = pairs_of(docs, rules)
+    new = pairs if known is None else pairs.join(ledger, ["blob", "kind", "version"], "left_anti")
+    new.write.mode("append").parquet(f"{path}/ledger")
+
+
+def stored(spark: SparkSession, path: str, rules=RULES) -> DataFrame:
+    """The stored findings of the given rules in their versions, numbered as in ``rules``."""
+    _, findings = read_store(spark, path)
+    number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(i))])
+    rows = findings.withColumn("kind_no", F.try_element_at(number, F.concat_ws(":", "kind", "version"))).filter("kind_no is not null")
+    return rows.distinct()
 
 
 def findings_by_blob(spans: DataFrame) -> DataFrame:
@@ -97,23 +132,29 @@ def findings_by_blob(spans: DataFrame) -> DataFrame:
 def by_path(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id and ``found`` (array of spans, empty where there are none) of every row."""
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string,base:boolean>>")
-    return versions(docs).join(findings_by_blob(spans), "blob", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
+    found = cut(findings_by_blob(spans))  # cut, so that a blob with very many paths can be split in the join
+    return versions(docs).join(found, "blob", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
 
 
 def redact(docs: DataFrame, spans: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every found span (overlapping ones as one) replaced by ``mark`` and n_chars set to the new length."""
-    keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    found = findings_by_blob(spans).withColumnsRenamed({"blob": "__blob", "found": "__found"})
-    rest = F.lit(2**31 - 1)
+    """``docs`` with every found span (overlapping ones as one) replaced by ``mark`` and n_chars set to the new length.
 
-    def step(acc, s):
-        after = s["start"] >= acc["at"]
-        piece = F.col("text").substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(after, F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    Texts are cut in UTF-32, where a place is found without walking there, so many spans in a long text cost little.
+    """
+    before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = spans.select("blob", "start", "end", F.coalesce(F.max("end").over(before), F.lit(0)).alias("upto"))
+    gaps = gaps.groupBy(F.col("blob").alias("__blob")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("upto"), F.struct("start", "upto")))).alias("__gaps"), F.max("end").alias("__last")
+    )
+
+    def piece(at: Column, size: Column) -> Column:
+        return F.decode(F.substring(F.col("__wide"), (at * 4 + 1).cast("int"), (size * 4).cast("int")), "UTF-32")
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"].cast("int") + 1, rest)))
-    out = keyed.join(found, "__blob", "left").withColumn("text", F.when(F.col("__found").isNotNull(), whole).otherwise(F.col("text")))
+    pieces = F.transform("__gaps", lambda g: F.concat(piece(g["upto"], g["start"] - g["upto"]), F.lit(mark)))
+    whole = F.concat(F.array_join(pieces, ""), piece(F.col("__last"), F.octet_length("__wide") / 4 - F.col("__last")))
+    keyed = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    out = keyed.join(cut(gaps), "__blob", "left").withColumn("__wide", F.when(F.col("__gaps").isNotNull(), F.encode("text", "UTF-32")))
+    out = out.withColumn("text", F.when(F.col("__gaps").isNotNull(), whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__gaps").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -1,9 +1,12 @@
 """Cutting lineage in the shared folder, and walking batches in blocks."""
 
 import os
+import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from foliolens.llm import common
 from foliolens.llm.words import shingles, split
@@ -11,11 +14,41 @@ from foliolens.llm.words import shingles, split
 
 def test_cut_wide_and_release(spark):
     df = common.cut_wide(spark.range(5))
-    path = common._WRITTEN[-1]
+    path = common._WRITTEN[spark.sparkContext.applicationId][-1]
     assert df.count() == 5 and path.startswith(common.shared_dir(spark))
     assert common.cut(spark.range(3)).count() == 3
     common.release(spark)
-    assert not os.path.exists(path.removeprefix("file://")) and not common._WRITTEN
+    assert not os.path.exists(path.removeprefix("file://")) and not common._WRITTEN[spark.sparkContext.applicationId]
+
+
+def test_one_table_is_dropped(spark):
+    one, two = common.cut_wide(spark.range(5)), common.cut_wide(spark.range(6))
+    common.dropped(one)
+    assert two.count() == 6 and len(common._WRITTEN[spark.sparkContext.applicationId]) == 1
+    common.release(spark)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(Session)
+
+
+def test_running_sums(spark):
+    r = random.Random(3)
+    rows = [(r.choice([None, 7, *range(20)]), r.randrange(5)) for _ in range(500)]
+    got = common.running(spark.createDataFrame(rows, "k long, n long").repartition(7), ["k"], F.col("n")).collect()
+    ordered = sorted(got, key=lambda x: x.before + x.n)
+    assert [x.before for x in ordered] == [sum(y.n for y in ordered[:i]) for i in range(len(ordered))] and {x.total for x in got} == {sum(n for _, n in rows)}
+    assert sorted(((x.k, x.n) for x in got), key=str) == sorted(rows, key=str)
+    by_key = sorted((x for x in got if x.n), key=lambda x: x.before)
+    assert [x.k for x in by_key] == sorted((x.k for x in by_key), key=lambda k: (k is not None, k))
+    assert common.running(spark.createDataFrame([], "k long"), ["k"]).count() == 0
 
 
 def test_blocks_cover_every_row():
