@@ -8,7 +8,8 @@ beta-binomial counts.  A host is blocked when the lower posterior bound of its r
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged as the host
 ``''``; hosts without labelled pages get their domain's prior; with no labels at all the prior is the
 Beta(1/2, 1/2) mean of 1/2 at the weakest strength, whose bound lies under the limit, so everything is
-allowed.  Repeated rows are judged and counted each; null ids pass through; further columns are ignored.
+allowed.  Repeated rows are judged and counted each; null ids pass through; a long url is read whole; further
+columns are ignored, whatever their names; an empty table gives no rows.
 Only DataFrame functions are used.
 """
 
@@ -19,6 +20,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliolens.llm.common import cut
+
 #: (verdict, rule): a rule is a host suffix and a path prefix.
 RULES = (
     ("block", "com/en/"),
@@ -33,6 +36,7 @@ BOUND_Z = 1.645
 BLOCK_ABOVE = 0.5
 #: Limits of the fitted correlation between two pages of one group; strength is 1/rho - 1.
 RHO_LIMITS = (1e-4, 0.5)
+#: Rules up to which they are compiled into one expression; more are joined by host suffix.
 MAX_RULES = 500
 
 
@@ -61,8 +65,6 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits: its host or a subdomain of it, and a path that starts with the rule's."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are compiled into one expression")
     fits = []
     for _, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         name, _, tail = rule.partition("/")
@@ -71,6 +73,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
+def with_rule(judged: DataFrame, rules=RULES, most: int = MAX_RULES) -> DataFrame:
+    """``judged`` with the rule that fits host and path, the longest, of equally long ones the first in order."""
+    if len(rules) <= most:
+        return judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    table = [(name, f"/{tail}", rule) for _, rule in rules for name, _, tail in [rule.partition("/")]]
+    table = judged.sparkSession.createDataFrame(table, "suffix string, tail string, rule string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    places = judged.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
+    fits = places.join(table, "suffix").filter(F.col("path").startswith(F.col("tail")))
+    best = fits.groupBy("host", "path").agg(F.min_by("rule", F.struct(-F.length("rule"), "rule")).alias("rule"))
+    return judged.join(best, ["host", "path"], "left")
+
+
 def _shrink(groups: DataFrame, prior: str, shrunk: str) -> DataFrame:
     """Adds the posterior mean (``shrunk``) and both beta parameters for counts n, k and a prior mean."""
     m = F.col(prior)
@@ -98,15 +114,16 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host")))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = cut(hosts)  # what follows reads the counts often, never the pages
     counts = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = hosts.groupBy("domain", "suffix").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)
     overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m0"))
     suffixes = suffixes.withColumn("m0", overall.scalar())
-    suffixes = _shrink(suffixes, "m0", "m1").select("suffix", "m1")
-    domains = _shrink(domains.join(suffixes, "suffix"), "m1", "m2").select("domain", "m2")
+    suffixes = cut(_shrink(cut(suffixes), "m0", "m1").select("suffix", "m1"))
+    domains = cut(_shrink(cut(domains.join(suffixes, "suffix")), "m1", "m2").select("domain", "m2"))
     a, b = F.col("alpha"), F.col("beta")
-    return _shrink(hosts.join(domains, "domain"), "m2", "rate").select(
+    return _shrink(cut(hosts.join(domains, "domain")), "m2", "rate").select(
         "host", "domain", "suffix", "n", "k", "rate",
         (F.col("rate") - BOUND_Z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))).alias("bound"),
     )
@@ -123,7 +140,7 @@ def judge(pages: DataFrame, rules=RULES, outcome: str | None = None) -> DataFram
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
         (F.col(outcome).cast("int") if outcome else F.lit(None).cast("int")).alias("given"),
     )
-    judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = with_rule(judged, rules)
     judged = judged.withColumn("ruled", verdict[F.col("rule")] if rules else F.lit(None).cast("string"))
     bad = F.col("given") if outcome else F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
     hosts = reputation(judged.select("host", bad.alias("bad"))).select("host", "bound")
