@@ -13,10 +13,14 @@ are one class from the start.  Then, by set size:
 The boundary is the size at which the rows to enumerate outweigh those to scan, taken from the size counts.
 
 No list is expanded into all its pairs at once: members are first held against their neighbour by size and
-against the list's smallest id; what that connects is one component, and only pairs across components remain.
+against the smallest of their part of the list (long lists fall into parts of about ``LIST_PART``); what that
+connects is one component, and only pairs across components remain.  A token that many sets of a batch have is
+sent once with all of them, so a frequent token makes as many rows as there are batches.
 
 Defined cases: a null or blank text has an empty set and links with nothing; so does a row with a null id,
-whose component is null.  Repeated rows are one class.  Ties have no bearing: links are symmetric.
+whose component is null.  Repeated rows are one class; rows of one id with different sets are different classes,
+each with its own links.  Ties have no bearing: links are symmetric.  A long text is a set like any other.  Only
+doc_id and text are read, so further columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +46,10 @@ LIGHT_MOST = 24
 LIGHT_COST, HEAVY_COST = 2, 4
 #: Tokens with hashes below this multiple of the share that a prefix takes are in the first lists.
 ZONE = 4 / 3
-#: Rows up to which a table of ids, or of ids and set keys (about 120 bytes a row in memory), is broadcast; larger ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows up to which a table of ids and set keys (about 120 bytes a row in memory) is broadcast; larger ones are joined by shuffle.
+BROADCAST_IDS = 100_000
+#: Members of a list that are held against the same least one.
+LIST_PART = 512
 
 
 def need(a: int, b: int, percent: int) -> int:
@@ -70,8 +76,9 @@ def _prefix(percent: int) -> Column:
 
 
 def token_sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, key, zone and tokens (sorted hashes) of every row; tokens beyond the first lists only if ``whole``."""
+    """Adds n, key, zone and tokens (sorted hashes) to every row in place of its text; tokens beyond the first lists only if ``whole``."""
     low = np.uint64(int(_zone(percent) * 2**64))
+    keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +91,12 @@ def token_sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFr
                 kept = sets if whole else [s if len(s) <= LIGHT_MOST else s[: max(z, prefix(len(s), percent))] for s, z in zip(sets, zone)]
                 tokens = lists(np.concatenate(kept).view(np.int64), [len(s) for s in kept], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(zone, pa.int32()), tokens],
-                    ["doc_id", "n", "key", "zone", "tokens"],
+                    [*(batch[c].slice(lo, hi - lo) for c in keep), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(zone, pa.int32()), tokens],
+                    [*keep, "n", "key", "zone", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, zone int, tokens array<long>")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(run, schema + "n long, key binary, zone int, tokens array<long>")
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -109,7 +117,7 @@ def light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for rep, tokens in zip(batch["rep"].to_pylist(), batch["tokens"].to_pylist()):
+            for rep, tokens in zip(batch["node"].to_pylist(), batch["tokens"].to_pylist()):
                 s = len(tokens)
                 x = np.array(tokens, np.int64).view(np.uint64)
                 one, two = mix(x), mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))
@@ -127,7 +135,7 @@ def light_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
                 ["k1", "k2", "rep", "s", "same"],
             )
 
-    rows = classes.filter(f"n <= {most}").select("rep", "tokens").mapInArrow(run, "k1 long, k2 long, rep long, s long, same boolean")
+    rows = classes.filter(f"n <= {most}").select("node", "tokens").mapInArrow(run, "k1 long, k2 long, rep long, s long, same boolean")
     # a key of two sizes links each of one with each of the other, so all of them are connected
     met = rows.groupBy("k1", "k2").agg(F.min("rep").alias("b"), F.count("*").alias("c"), (F.bool_or("same") | (F.min("s") < F.max("s"))).alias("ok"))
     return rows.join(met.filter("c > 1 and ok"), ["k1", "k2"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
@@ -138,29 +146,52 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the given doc_ids."""
-    return docs.join(_sized(ids), "doc_id", "left_anti")
+def _by_token(sets: DataFrame) -> DataFrame:
+    """token and nodes: the sets of one batch that have the token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch["tokens"]
+            node = np.repeat(batch["node"].to_numpy(), tokens.value_lengths().to_numpy())
+            flat = tokens.flatten().to_numpy()
+            order = np.argsort(flat, kind="stable")
+            flat, node = flat[order], node[order]
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(flat)))
+            rest = np.ones(len(flat), bool)
+            rest[first] = False
+            more = lists(node[rest], size - 1, pa.int64())
+            more = pa.ListArray.from_arrays(more.offsets, more.values, mask=pa.array(size == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[first], pa.int64()), pa.array(node[first], pa.int64()), more], ["token", "node", "more"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "token long, node long, more array<long>")
+
+
+def _frequent(rows: DataFrame) -> DataFrame:
+    """token, node and df of the tokens that several sets have."""
+    df = F.sum(1 + F.coalesce(F.size("more"), F.lit(0))).over(Window.partitionBy("token"))
+    nodes = F.coalesce(F.array_prepend("more", F.col("node")), F.array("node"))
+    return rows.withColumn("df", df).filter("df > 1").select("token", F.explode(nodes).alias("node"), "df")
 
 
 def candidates_left(classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """doc_id of the heavy classes that share enough tokens of the first lists with others to have a link."""
+    """The nodes of the heavy classes that share enough tokens of the first lists with others to have a link."""
     heavy = classes.filter(f"n >= {least}").withColumn("p", _prefix(percent).cast("int"))
-    rows = heavy.select("rep", F.posexplode(F.slice("tokens", F.lit(1), F.greatest("zone", "p"))).alias("at", "token"), "zone")
-    rows = rows.select("token", "rep", (F.col("at") < F.col("zone")).alias("low"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
-    met = rows.groupBy("rep").agg(F.count_if("low").alias("met"))
-    return met.join(heavy.select("rep", "zone", "p"), "rep").filter("zone - met < p").select(F.col("rep").alias("doc_id")).distinct()
+    rows = _frequent(_by_token(heavy.select("node", F.slice("tokens", F.lit(1), F.greatest("zone", "p")).alias("tokens"))))
+    low, most = F.col("token") >= 0, int(_zone(percent) * 2**64)  # hashes as signed numbers: the upper half is negative
+    low = low & (F.col("token") < most) if most < 1 << 63 else low | (F.col("token") < most - (1 << 64))
+    met = rows.groupBy("node").agg(F.count_if(low).alias("met"))
+    return met.join(heavy.select("node", "zone", "p"), "node").filter("zone - met < p").select("node").distinct()
 
 
 def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """token, rep, n, pos: each set's prefix in the order from rare to frequent tokens; tokens of one set left out."""
-    rows = sets.select("rep", "n", F.explode("tokens").alias("token"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
-    w = Window.partitionBy("rep")
+    """token, part, rep, n, pos: each set's prefix in the order from rare to frequent tokens; tokens of one set left out."""
+    w = Window.partitionBy("node")
+    rows = _frequent(_by_token(sets))
     rows = rows.withColumn("nth", F.row_number().over(w.orderBy("df", "token"))).withColumn("met", F.count("*").over(w))
-    rows = rows.withColumn("pos", F.col("n") - F.col("met") + F.col("nth") - 1)
-    return rows.filter(F.col("pos") < _prefix(percent)).select("token", "rep", "n", "pos")
+    rows = rows.join(sets.select("node", "n"), "node").withColumn("pos", F.col("n") - F.col("met") + F.col("nth") - 1)
+    part = F.when(F.col("df") > LIST_PART, F.pmod(F.xxhash64("node"), F.expr(f"df div {LIST_PART} + 1"))).otherwise(0)
+    return rows.filter(F.col("pos") < _prefix(percent)).select("token", part.cast("int").alias("part"), F.col("node").alias("rep"), "n", "pos")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -170,8 +201,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
@@ -179,41 +210,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def heavy_links(lists_: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that, with ``light``, connect all sets which the inverted lists connect."""
     me = F.struct("rep", "n", "pos")
-    w = Window.partitionBy("token")
-    near = lists_.select(me.alias("x"), F.lag(me).over(w.orderBy("n", "rep")).alias("before"), F.min(me).over(w).alias("least"))
-    near = near.select("x", F.explode(F.array("before", "least")).alias("y"))
+    w = Window.partitionBy("token", "part")
+    near = lists_.select("token", me.alias("x"), F.lag(me).over(w.orderBy("n", "rep")).alias("before"), F.min(me).over(w).alias("least"))
+    # what a part has in common with the next: its least member
+    heads = lists_.filter("part > 0").groupBy("token", "part").agg(F.min(me).alias("x"))
+    first = lists_.join(heads.select("token").distinct(), "token", "left_semi").filter("part = 0").groupBy("token", "part").agg(F.min(me).alias("x"))
+    along = heads.unionByName(first).select("x", F.lag("x").over(Window.partitionBy("token").orderBy("part")).alias("y"))
+    near = near.select("x", F.explode(F.array("before", "least")).alias("y")).unionByName(along)
     near = near.filter("y is not null and x.rep <> y.rep").filter(_may_link("x", "y", percent))
     pairs = cut(near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     first = cut(verified(pairs, sets, percent).unionByName(light))
     known = components(first).withColumnsRenamed({"node": "rep", "component": "comp"})
-    rows = lists_.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rows = rows.withColumn("x", F.struct("rep", "n", "pos", "comp")).select("token", "x")
-    rows = rows.withColumn("lo", F.min("x.comp").over(w)).withColumn("hi", F.max("x.comp").over(w)).filter("lo < hi").select("token", "x")
+    rows = lists_.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("token", F.struct("rep", "n", "pos", "comp").alias("x"))
+    split = cut(rows.groupBy("token").agg(F.min("x.comp").alias("lo"), F.max("x.comp").alias("hi")).filter("lo < hi").select("token"))
+    rows = cut(rows.join(split, "token", "left_semi"))
     across = rows.join(rows.withColumnRenamed("x", "y"), "token").filter("x.rep < y.rep and x.comp <> y.comp").filter(_may_link("x", "y", percent))
     rest = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return first.unionByName(verified(rest, sets, percent))
 
 
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row."""
-    every = cut_wide(token_sets(docs, words, percent, whole=False))
+    """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row.
+
+    ``component`` numbers the components (null without a set) and ``text_hash`` tells rows of one id apart.
+    """
+    docs = docs.select("doc_id", "text")
+    every = cut_wide(token_sets(docs.withColumn("text_hash", F.xxhash64("text")), words, percent, whole=False))
     known = every.filter("key is not null and doc_id is not null")
-    reps = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    classes = known.join(_sized(reps.select(F.col("rep").alias("doc_id"), F.col("key").alias("own"))), "doc_id").filter("key = own")
-    classes = classes.select("key", F.col("doc_id").alias("rep"), "n", "zone", "tokens")  # a repeated row is there as often; nothing below minds
+    reps = known.groupBy("key", "doc_id").count().groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("count", "doc_id").alias("rows"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))  # a number a class, kept by the checkpoint
+    owners = reps.select(F.col("rep").alias("doc_id"), F.col("key").alias("own"), "node")
+    classes = known.join(_sized(owners), "doc_id").filter("key = own")
+    classes = classes.select("node", "n", "zone", "tokens")  # a repeated row is there as often; nothing below minds
     sizes = {r.n: r["count"] for r in classes.filter(f"n <= {LIGHT_MOST}").groupBy("n").count().collect()}  # LIGHT_MOST rows at most
     most = boundary(sizes, percent)
     light = light_links(classes, most, percent)
     least = -(-percent * (most + 1) // 100)  # the smallest set that a heavy one can link with
-    ids = cut(candidates_left(classes, least, percent))
-    sets = token_sets(docs.select("doc_id", "text").join(_sized(ids), "doc_id", "left_semi"), words, percent, whole=True)
-    sets = sets.select(F.col("doc_id").alias("rep"), "n", "tokens", "key")
-    if not every.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that share an id: those of the class, once
-        sets = sets.join(reps, ["rep", "key"], "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets = cut_wide(sets.select("rep", "n", "tokens"))
+    ids = cut(owners.join(candidates_left(classes, least, percent), "node"))
+    sets = token_sets(docs.join(_sized(ids), "doc_id"), words, percent, whole=True).filter("key = own").select("node", "n", "tokens")
+    if not reps.filter("rows > 1").isEmpty():
+        sets = sets.dropDuplicates(["node"])
+    sets = cut_wide(sets)
     links = heavy_links(cut(prefix_lists(sets, percent)), sets, cut(light), percent)
-    linked = components(links).withColumnsRenamed({"node": "rep"})
-    groups = reps.join(linked, "rep", "left")
-    out = every.select("doc_id", "n", "key").join(groups, "key", "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"), alone.alias("component_id"))
+    linked = reps.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    smallest = linked.groupBy("root").agg(F.min("rep").alias("smallest"))
+    groups = linked.join(smallest, "root").select("key", "rep", "smallest", "root")
+    out = every.select("doc_id", "text_hash", "n", "key").join(groups, "key", "left")
+    has = F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(has, F.coalesce("rep", "doc_id")).alias("class_id"),
+        F.when(has, F.coalesce("smallest", "doc_id")).alias("component_id"), F.when(has, F.col("root")).alias("component"), "text_hash",
+    )
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``found``: that with the smallest id, of rows that share it the
+    one with the least text hash.  Rows without a set stay; rows with the same id and text are one row."""
+    found = cut(found.select("doc_id", "text_hash", "component_id", "component"))
+    heads = found.filter("component is not null and doc_id = component_id")
+    least = heads.groupBy("component").agg(F.min("text_hash").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    twins = heads.join(least, "component").filter("text_hash <> least")
+    gone = found.filter("component is not null and doc_id <> component_id").unionByName(twins.select(*found.columns))
+    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).count().filter("count > 1")
+    again = cut(again.join(gone, ["__id", "__hash"], "left_anti").select("__id", "__hash"))
+    keyed = docs.withColumn("__id", F.col("doc_id")).withColumn("__hash", F.xxhash64("text"))
+    left = keyed.join(_sized(gone), ["__id", "__hash"], "left_anti")
+    if not again.isEmpty():
+        repeated = left.join(_sized(again), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+        left = left.join(_sized(again), ["__id", "__hash"], "left_anti").unionByName(repeated)
+    return left.select(*docs.columns)

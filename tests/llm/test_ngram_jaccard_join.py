@@ -89,6 +89,41 @@ def test_odd_tables(spark, docs_of):
     assert got == [(4, 4), (4, 4), (9, 4), (None, None)]
 
 
+def test_one_id_with_different_texts(spark, docs_of):
+    """Rows of one id are classes of their own: neither passes its links on to the other, and only copies go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = docs_of([(7, a), (7, b), (9, a + " end"), (12, b), (9, c), (20, c + " end"), (20, c + " end")])
+    found = join.join_components(docs)
+    got = sorted((r.doc_id, r.component_id) for r in found.collect())
+    assert got == [(7, 7), (7, 7), (9, 7), (9, 9), (12, 7), (20, 9), (20, 9)] and len({r.component for r in found.collect()}) == 3
+    left = join.one_of_each(docs, found)
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == [(7, a), (7, b), (9, c)]
+
+
+def test_words_that_look_alike_and_long_texts(spark, docs_of, alike):
+    rows = [(1, alike[0]), (2, alike[1]), (3, " ".join(alike)), (4, " ".join(alike[::-1]))]
+    long = [f"w{i}" for i in range(120_000)]
+    rows += [(5, " ".join(long)), (6, " ".join(long[:-9])), (7, "q" * 2_000_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join.join_components(docs_of(rows)).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+def test_frequent_tokens(spark, docs_of, monkeypatch):
+    """Lists that fall into several parts, tokens that many sets of a batch share, and components that meet late."""
+    monkeypatch.setattr(join, "LIST_PART", 4)
+    r = random.Random(8)
+    pool = [[f"s{i}x{j}" for j in range(12)] for i in range(9)]
+    rows = []
+    for i in range(400):
+        words = sum(r.sample(pool, 6), [])
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = f"m{r.randrange(50)}"
+        rows.append((i * 37 % 401, " ".join(words)))
+    for k, percent in ((3, 75), (4, 85)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in join.join_components(docs_of(rows).repartition(6), k, percent).collect()}
+        assert got == brute(rows, k, percent)
+
+
 def test_query_on_the_table(spark, sf):
     rows = list(zip(*pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard_join(spark, sf).collect()}
