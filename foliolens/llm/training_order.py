@@ -9,10 +9,15 @@ table or sort, and the same key gives the same order on any cluster.
 ``s % SHARD * 2 * LENGTH`` of shard ``s // SHARD`` and reading can go on anywhere.
 
 The first number of each document comes from counts alone (range partitions of ids, and one sum a
-partition); texts are read twice and tokenised twice instead of keeping all tokens.
+partition); texts are read twice and tokenised twice instead of keeping all tokens.  Sequences are dealt by range
+of their slots, whole shards to a task: the slots' number is known by then, so no sampling is needed.  A shard is
+written by one task under a name of that attempt and then renamed, so a task that is repeated, or a whole run,
+leaves the same files.
 
 Defined cases: a null or empty text is one sequence with the end mark only; null ids come first; rows that
-share an id are ordered by a hash of the text, and equal rows take numbers of their own; no rows, no slots.
+share an id are ordered by a hash of the text, and equal rows take numbers of their own; a long text is walked in
+one block and cut like any other; only doc_id and text are read, so further columns of any name are ignored; no
+rows, no slots.
 """
 
 from __future__ import annotations
@@ -26,11 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from foliolens.llm.common import blocks, cut, utf8
+from foliolens.llm.common import blocks, cut, running, utf8
 from foliolens.llm.pretokens import Known, chunks, per_row
 from foliolens.llm.words import mix
 
@@ -41,6 +46,8 @@ END = 50256
 LENGTH = 512
 SHARD = 8192
 KEY = 20_240_229
+#: Shards that one task holds at most.
+TASK_SHARDS = 16
 ROUNDS = 6
 
 _ENCODERS: dict[int, tuple] = {}
@@ -135,23 +142,32 @@ def numbered(docs: DataFrame, ranks, length: int) -> DataFrame:
 
     # cut first: a range partitioning samples its input, which would tokenise once more
     rows = cut(docs.select("id", "version", "text").mapInArrow(count, "id long, version long, n_tokens long"))
-    rows = rows.groupBy("id", "version").agg(F.sum(F.expr(f"n_tokens div {length} + 1")).alias("parts"))
-    rows = rows.repartitionByRange("id", "version").sortWithinPartitions("id", "version")
-    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
-    # one row a partition
-    before = rows.groupBy("part").agg(F.sum("parts").alias("n"))
-    before = before.select("part", F.expr("sum(n) over (order by part) - n").alias("before"), F.expr("sum(n) over ()").alias("total"))
-    rows = rows.withColumn("within", F.expr("sum(parts) over (partition by part order by at) - parts"))
-    return rows.join(F.broadcast(before), "part").select("id", "version", (F.col("before") + F.col("within")).alias("first"), "total")
+    rows = rows.groupBy("id", "version").agg(F.sum(F.expr(f"n_tokens div {length} + 1")).alias("parts"), F.count("*").alias("copies"))
+    return running(rows, ["id", "version"], F.col("parts")).select("id", "version", F.col("before").alias("first"), "total", "copies")
+
+
+def _with_copy(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """Rows that share id and text, each with its number among its like."""
+    ranked = running(rows.join(many, ["id", "version"], "left_semi"), ["id", "version"])
+    least = cut(ranked.groupBy("id", "version").agg(F.min("before").alias("least")))
+    return ranked.join(least, ["id", "version"]).withColumn("copy", F.col("before") - F.col("least")).select(*rows.columns, "copy")
 
 
 def sequences(docs: DataFrame, ranks: bytes | None = None, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """slot, shard, doc_id, part, n_tokens (with the end mark) and tokens of every sequence, dealt and sorted by shard."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks or load_ranks())
+    """slot, shard, offset (bytes within the shard's file), doc_id, part, n_tokens (with the end mark) and tokens of every
+    sequence, dealt by range of slots in whole shards and sorted by slot."""
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(ranks or load_ranks())
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("version"), "text")
-    rows = rows.join(numbered(rows, shared, length), ["id", "version"])
-    nth = F.row_number().over(Window.partitionBy("id", "version").orderBy("id")) - 1  # copies of a row take the next numbers
-    rows = rows.select("doc_id", "text", "first", "total", nth.cast("long").alias("copy"))
+    numbers = cut(numbered(rows, shared, length))
+    some = numbers.first()
+    shards = -(-some.total // shard) if some else 1
+    many = numbers.filter("copies > 1").select("id", "version")
+    if many.isEmpty():
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(many, ["id", "version"], "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(_with_copy(rows, many))
+    rows = rows.join(numbers, ["id", "version"]).select("doc_id", "text", "first", "total", "copy")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +184,13 @@ def sequences(docs: DataFrame, ranks: bytes | None = None, length: int = LENGTH,
                 used = np.minimum(n[row] + 1 - part * length, length)
                 tokens = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(row), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(slot // shard), batch["doc_id"].slice(lo, hi - lo).take(pa.array(row)), pa.array(part, pa.int32()), pa.array(used, pa.int32()), tokens],
-                    ["slot", "shard", "doc_id", "part", "n_tokens", "tokens"],
+                    [pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * 2 * length), batch["doc_id"].slice(lo, hi - lo).take(pa.array(row)), pa.array(part, pa.int32()), pa.array(used, pa.int32()), tokens],
+                    ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "tokens"],
                 )
 
-    made = rows.mapInArrow(cut_up, "slot long, shard long, doc_id long, part int, n_tokens int, tokens binary")
-    return made.repartition("shard").sortWithinPartitions("shard", "slot")
+    made = rows.mapInArrow(cut_up, "slot long, shard long, offset long, doc_id long, part int, n_tokens int, tokens binary")
+    each = max(1, min(TASK_SHARDS, shards // (2 * sc.defaultParallelism)))
+    return made.repartitionById(-(-shards // each), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
 
 
 def write_shards(made: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
@@ -186,6 +203,7 @@ def write_shards(made: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         state, done = None, []
 
         def close():
@@ -199,7 +217,7 @@ def write_shards(made: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
             for number, group in pdf.groupby("shard", sort=True):
                 if not state or state[0] != number:
                     close()
-                    name = f"{root}/.shard-{number:06d}-{hashlib.md5(str(id(group)).encode()).hexdigest()[:8]}.tmp"
+                    name = f"{root}/.shard-{number:06d}-{attempt}.tmp"
                     state = [number, fs.open_output_stream(name), name, 0, 0, hashlib.sha256()]
                 data = b"".join(group.tokens)
                 state[1].write(data)

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from foliolens.llm import queries
 from foliolens.llm import training_order as order
@@ -56,6 +57,30 @@ def test_odd_rows(spark, docs_of, encoder, tmp_path):
     assert again == by_slot
 
 
+def test_files_are_the_same_after_a_repeated_and_a_broken_write(spark, docs_of, tmp_path):
+    rows = order.sequences(docs_of([(i, f"word{i} " * (i % 40)) for i in range(200)]), length=8, shard=16)
+    shards = sorted({r.shard for r in rows.collect()})
+    parts = rows.withColumn("task", F.spark_partition_id()).groupBy("shard").agg(F.countDistinct("task").alias("n")).collect()
+    assert len(shards) > 9 and {p.n for p in parts} == {1}
+    assert all(r.offset == r.slot % 16 * 16 for r in rows.collect())
+    path = tmp_path.as_uri()
+    read = lambda: {p.name: p.read_bytes() for p in tmp_path.glob("shard-*.bin")}
+    manifest = order.write_shards(rows, path, shard=16).collect()
+    first = read()
+    assert sorted(first) == [f"shard-{s:06d}.bin" for s in shards] and {m.bytes for m in manifest[:-1]} <= {16 * 16, *(len(x) for x in first.values())}
+    (tmp_path / "shard-000001.bin").write_bytes(b"cut off")  # a lost attempt leaves its own file, a broken one is replaced
+    (tmp_path / ".shard-000001-99.tmp").write_bytes(b"half")
+    order.write_shards(rows, path, shard=16).collect()
+    assert read() == first
+    by_slot = {r.slot: r.tokens for r in rows.collect()}
+    assert order.read_records(path, 13, 40, length=8, shard=16).tobytes() == b"".join(by_slot[s] for s in range(13, 53))
+
+
+def test_chunks_that_look_alike(spark, docs_of, encoder, alike):
+    texts = {1: alike[0] + " " + alike[1], 2: alike[1], 3: alike[0], 4: "y" * 300_000}
+    check(order.sequences(docs_of(list(texts.items())), length=64).collect(), texts, encoder, 64)
+
+
 def test_repeated_rows_and_no_rows(spark, docs_of, encoder):
     got = order.sequences(docs_of([(1, "a b"), (1, "a b"), (1, "c"), (None, "z"), (None, "z")]), length=2).collect()
     assert sorted(r.slot for r in got) == list(range(len(got))) and len(got) == 2 + 2 + 1 + 1 + 1
