@@ -6,9 +6,10 @@
 4. secret_scan: found secrets are blacked out in the text, and n_chars follows.
 5. sentencepiece: what is left becomes token ids.
 
-All but the last return the columns of documents.  Rows with a null id are classified, cleaned and encoded like
-any other but are near-duplicates of nothing; null and empty texts pass through every stage; of repeated rows
-with one id one stays.
+All but the last return the columns of documents, whatever they are named.  Rows with a null id are classified,
+cleaned and encoded like any other but are near-duplicates of nothing; null and empty texts pass through every
+stage; of repeated rows (same id and same words) one stays, while rows of one id with different texts are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm import decontamination, ngram_jaccard_join, secret_scan, sentencepiece_codec, toxicity
-from foliolens.llm.common import cut, cut_wide, table
+from foliolens.llm.common import cut_wide, dropped, new_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the class with its smallest id stays, and of that class one row."""
     found = ngram_jaccard_join.join_components(docs, words=5, percent=80)
-    gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    repeated = cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    left = ngram_jaccard_join.without_ids(docs, gone)
-    if not repeated.isEmpty():
-        again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = ngram_jaccard_join.without_ids(left, repeated).unionByName(again)
-    return left.select(*docs.columns)
+    return ngram_jaccard_join.one_of_each(docs, found)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def black_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs, secret_scan.scan(docs))
+    store = new_path(spark)
+    secret_scan.update(docs, store)
+    return secret_scan.redact(docs, secret_scan.stored(spark, store))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written before the next reads it."""
+    """All stages over ``documents``; each stage's result is written before the next reads it, and goes once that is written too."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut_wide(docs)
+            if i:
+                dropped(before)
     return docs
