@@ -11,7 +11,8 @@ strings are sorted by a 128-bit hash, and the least id of each run of equal ones
 the same is done within each block of input: windows that a smaller document of the block has too are settled
 there and do not travel, so what a bucket gets of one passage is one string a block, however many documents
 repeat it.  A task reads its buckets by id; a window met before belongs to a smaller document, so of an open
-bucket only the distinct windows are held.  Buckets with many windows are split by the windows' own hashes.
+bucket only the windows that are first of their kind are held.  Buckets with many windows are split by the
+windows' own hashes, and their equal windows by document, so that what meets in the end is one row a group.
 
 Defined cases: a null text has no words; a null id counts as larger than any other; rows that share an id
 are not held against each other (a 64-bit hash of the text tells them apart; rows with the same id and text are
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliolens.llm.common import blocks, cut, utf8
+from foliolens.llm.common import blocks, cut_wide, utf8
 from foliolens.llm.words import mix, runs_hash, spans_hash2, split
 
 WINDOW = 13
@@ -40,6 +41,8 @@ FLUSH_WINDOWS = 400_000
 #: Windows beyond which a bucket is split by the windows' own hashes, and how many buckets are at most: the
 #: largest, so any other has less than 1/MOST_HOT of all windows.
 HOT_WINDOWS, MOST_HOT = 1 << 14, 100_000
+#: Into how many groups of documents the equal windows of a hot bucket are dealt before their least ids meet.
+SALTS = 64
 BLOCK = 2 << 20
 _LAST_ID = np.iinfo(np.int64).max
 
@@ -101,7 +104,6 @@ def _runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PACKED = "bucket int, key long, version long, word int, upto int, packed binary"
 _NAMES = ["bucket", "key", "version", "word", "upto", "packed"]
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-_RANGES = "key long, version long, word int, upto int"
 
 
 def _block_windows(batches: Iterator[pa.RecordBatch], block: int):
@@ -140,21 +142,22 @@ def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "key", "version", "n"])
 
 
-def _dealt(bucket: np.ndarray, one: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The bucket of each window; windows of hot buckets are dealt out by their own hash, so equal ones stay together."""
+def _dealt(bucket: np.ndarray, one: np.ndarray, hot: tuple[np.ndarray, np.ndarray], salt: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each window and whether its bucket is hot; hot ones are dealt out by their windows' own hashes (and the salt)."""
     names, parts = hot
-    if not len(names):
-        return bucket
+    if not len(names) or not len(bucket):
+        return bucket, np.zeros(len(bucket), bool)
     at = np.minimum(np.searchsorted(names, bucket), len(names) - 1)
-    is_hot = np.flatnonzero(names[at] == bucket)
-    nth = one[is_hot] % parts[at[is_hot]].astype(np.uint64)
-    out = bucket.copy()
-    out[is_hot] = mix(bucket[is_hot].astype(np.uint64) << np.uint64(32) | nth).astype(np.uint32).view(np.int32)
-    return out
+    is_hot = names[at] == bucket
+    nth = one % parts[at].astype(np.uint64) * np.uint64(SALTS) + np.asarray(salt, np.uint64)
+    return np.where(is_hot, mix(bucket.view(np.uint32).astype(np.uint64) << np.uint64(32) | nth).astype(np.uint32).view(np.int32), bucket), is_hot
 
 
 def _super_kmers(batches: Iterator[pa.RecordBatch], block: int, hot) -> Iterator[pa.RecordBatch]:
-    """Packed strings of windows to be settled in their bucket, and ranges (word to upto) already settled."""
+    """Packed strings of windows to be settled in their bucket, and ranges (word to upto) already settled.
+
+    Windows of hot buckets travel one by one, with a negative ``upto``.
+    """
     for batch, raw, starts, ends, row, one, two, at, bucket in _block_windows(batches, block):
         shared = batch["buckets"]
         owner = np.repeat(np.arange(len(shared)), shared.value_lengths().to_numpy()).astype(np.uint64)
@@ -166,67 +169,86 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], block: int, hot) -> Iterator
         key, version = batch["key"].to_numpy()[row[at]], batch["version"].to_numpy()[row[at]]
         word = at - np.searchsorted(row, row[at])
         seen = key > _least_owner(one, two, key)
-        bucket = np.where(seen, key.astype(np.int32), _dealt(bucket, one, hot.value))  # settled ranges go anywhere
-        first, last = _runs(seen, bucket, row[at], np.arange(len(at)) - at)
+        bucket, is_hot = _dealt(bucket, one, hot.value, mix(key.view(np.uint64)) % np.uint64(SALTS))
+        is_hot &= ~seen
+        bucket = np.where(seen, key.astype(np.int32), bucket)  # settled ranges go anywhere
+        first, last = _runs(seen, bucket, row[at], np.arange(len(at)) - at, np.where(is_hot, np.arange(len(at)), -1))
         text = raw.tobytes()
         packed = [None if s else text[a:b] for s, a, b in zip(seen[first].tolist(), starts[at[first]].tolist(), ends[at[last] + WINDOW - 1].tolist())]
-        columns = bucket[first], key[first], version[first], word[first], word[last] + WINDOW, packed
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+        upto = np.where(is_hot[first], -1, 1) * (word[last] + WINDOW)
+        yield _rows(bucket[first], key[first], version[first], word[first], upto, packed)
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
 
 class _Bucketed:
-    """Windows that arrive by bucket and then by id, so the first of equal ones has the least id."""
+    """Windows that arrive by bucket and then by id, so no later one has a smaller id than an equal one before."""
 
-    def __init__(self):
+    def __init__(self, hot):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.count = 0
+        self.texts: list[bytes] = []
+        self.count, self.hot = 0, hot
 
-    def add(self, bucket, doc, version, word, packed) -> None:
+    def add(self, bucket, doc, version, word, again, packed) -> None:
+        """``again``: rows of hot buckets, one window each, which meet once more unless they are settled here."""
         raw, offs = utf8(packed)
         starts, ends, row = split(raw, offs)
-        one, two, at, _ = _windows(raw, starts, ends, row)
+        one, two, at, h = _windows(raw, starts, ends, row)
         r = row[at]
-        self.parts.append((one, two, doc[r], version[r], word[r] + at - np.searchsorted(row, r), bucket[r]))
+        source = np.full(len(at), -1)
+        hot = np.flatnonzero(again[r])
+        if len(hot):
+            source[hot] = len(self.texts) + np.arange(len(hot))
+            target, _ = _dealt(_minimisers(h, starts, ends, row, at[hot]).view(np.int32), one[hot], self.hot)
+            self.texts += zip(target.tolist(), (packed[i] for i in r[hot].tolist()))
+        self.parts.append((one, two, doc[r], version[r], word[r] + at - np.searchsorted(row, r), bucket[r], source))
         self.count += len(at)
 
-    def settle(self) -> pa.RecordBatch:
-        """Ranges that repeat a smaller document's windows; of the last bucket the first of equal windows are kept."""
-        one, two, doc, version, word, bucket = (np.concatenate(x) for x in zip(*self.parts))
+    def settle(self) -> Iterator[pa.RecordBatch]:
+        """Ranges that repeat a smaller document's windows, and what meets once more; of the last bucket the windows
+        that are first of their kind are kept."""
+        one, two, doc, version, word, bucket, source = (np.concatenate(x) for x in zip(*self.parts))
         least = _least_owner(one, two, doc)
-        again = np.flatnonzero((bucket == bucket[-1]) & (doc == least))
-        self.parts, self.count = [tuple(x[again] for x in (one, two, doc, version, word, bucket))], 0
+        on = np.flatnonzero((source >= 0) & (doc == least))
+        if len(on):
+            target, text = zip(*(self.texts[i] for i in source[on].tolist()))
+            yield _rows(target, doc[on], version[on], word[on], word[on] + WINDOW, pa.array([t.as_py() for t in text]).cast(pa.binary()))
+        kept = np.flatnonzero((bucket == bucket[-1]) & (doc == least))
+        source[kept] = -1
+        self.parts, self.texts, self.count = [tuple(x[kept] for x in (one, two, doc, version, word, bucket, source))], [], 0
         seen = np.flatnonzero(doc > least)
         doc, version, word = doc[seen], version[seen], word[seen]
         first, last = _runs(doc, version, word - np.arange(len(word)))
-        return _ranges(doc[first], version[first], word[first], word[last] + WINDOW)
+        yield _rows(np.zeros(len(first)), doc[first], version[first], word[first], word[last] + WINDOW, pa.nulls(len(first), pa.binary()))
 
 
-def _ranges(key, version, word, upto) -> pa.RecordBatch:
-    names = ["key", "version", "word", "upto"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, version, word, upto), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
-
-
-def _settle(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
-    held = _Bucketed()
+def _settle(batches: Iterator[pa.RecordBatch], flush: int, hot) -> Iterator[pa.RecordBatch]:
+    held = _Bucketed(hot.value)
     for batch in batches:
         bucket, doc, version, word, upto = (batch[c].to_numpy() for c in _NAMES[:5])
         open_ = batch["packed"].is_valid().to_numpy(zero_copy_only=False)
         if not open_.all():
-            yield _ranges(doc[~open_], version[~open_], word[~open_], upto[~open_])
+            done = ~open_
+            yield _rows(bucket[done], doc[done], version[done], word[done], upto[done], pa.nulls(done.sum(), pa.binary()))
         if not open_.any():
             continue
         text = batch["packed"].filter(pa.array(open_)).cast(pa.string())
-        held.add(bucket[open_], doc[open_], version[open_], word[open_].astype(np.int64), text)
+        held.add(bucket[open_], doc[open_], version[open_], word[open_].astype(np.int64), upto[open_] < 0, text)
         if held.count >= flush:
-            yield held.settle()
+            yield from held.settle()
     if held.count:
-        yield held.settle()
+        yield from held.settle()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key (the id; null as the largest) and version (a hash of the text, which tells rows of one id apart)."""
+    """doc_id, text, key (the id; null as the largest) and version (a hash of the text where rows may share an id, else 0)."""
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
     version = F.coalesce(F.xxhash64("text"), F.lit(0))
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(_LAST_ID))).alias("key"), version.alias("version"))
+    if repeated.isEmpty():
+        version = F.when(F.col("doc_id").isNull(), version).otherwise(F.lit(0))
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(_LAST_ID))).alias("key"), version.cast("long").alias("version"))
 
 
 def _hot(shared: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +266,20 @@ def repeated_ranges(docs: DataFrame, flush: int = FLUSH_WINDOWS, block: int = BL
     w = Window.partitionBy("place")  # a row a block and place
     held = held.select("place", "key", "version", F.min("key").over(w).alias("lo"), F.max("key").over(w).alias("hi"), F.sum("n").over(w).alias("windows"))
     bucket = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).bitwiseAND(0xFFFFFFFF)
-    shared = cut(held.filter("place < 0 or lo < hi or windows > %d" % hot).select("key", "version", bucket.alias("bucket"), "windows"))
+    held = held.filter("place < 0 or lo < hi or windows > %d" % hot)
+    shared = cut_wide(held.select("key", "version", bucket.alias("bucket"), F.greatest("windows", F.lit(hot)).alias("windows")))
     parts = docs.sparkSession.sparkContext.broadcast(_hot(shared, hot))
     asked = shared.groupBy("key", "version").agg(F.collect_set("bucket").alias("buckets"))
     rows = docs.join(asked, ["key", "version"]).mapInArrow(lambda batches: _super_kmers(batches, block, parts), _PACKED)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(lambda batches: _settle(batches, flush), _RANGES)
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(lambda batches: _settle(batches, flush, parts), _PACKED)
+
+    once = settled(rows)
+    if len(parts.value[0]):
+        once = cut_wide(once)
+        once = once.filter("packed is null").unionByName(settled(once.filter("packed is not null")))
+    return once.select("key", "version", "word", "upto")
 
 
 def _rewrite(digest: bool):

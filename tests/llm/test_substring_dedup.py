@@ -32,8 +32,8 @@ def got(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("flush,block", [(1_000_000, 2 << 20), (50, 600)])
-def test_matches_brute_force(spark, docs_of, flush, block):
+@pytest.mark.parametrize("flush,block,hot", [(1_000_000, 2 << 20, 1 << 14), (50, 600, 1 << 14), (50, 600, 6), (1_000_000, 300, 2)])
+def test_matches_brute_force(spark, docs_of, flush, block, hot):
     r = random.Random(2)
     passages = [[f"p{r.randrange(50)}é" for _ in range(r.randrange(8, 90))] for _ in range(12)]
     rows = [(0, None), (1, ""), (None, " ".join(passages[0])), (3, "one " * 40), (4, "one " * 30), (4, "one " * 30), (5, " ".join(passages[0]) + "\x0b\x85x y")]
@@ -43,7 +43,24 @@ def test_matches_brute_force(spark, docs_of, flush, block):
             at = r.randrange(len(words) + 1)
             words[at:at] = r.choice(passages)
         rows.append((i * 7 % 151 + 6, r.choice([" ", "\n", "\t\r "]).join(words)))
-    assert got(substring_dedup.dedup(docs_of(rows).repartition(5), flush=flush, block=block)) == brute(rows)
+    assert got(substring_dedup.dedup(docs_of(rows).repartition(5), flush=flush, block=block, hot=hot)) == brute(rows)
+
+
+def test_rows_without_an_id_are_told_apart(spark, docs_of):
+    """Many null-id rows with different texts, some of which repeat a document: no other row loses a word."""
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, line)] + [(None, f"{line} own{i}" if i % 10 == 0 else " ".join(f"x{i}y{j}" for j in range(20))) for i in range(600)]
+    assert got(substring_dedup.dedup(docs_of(rows))) == brute(rows)
+    twins = [(1, line), (5, line), (5, "z " * 20), (5, line)]
+    assert got(substring_dedup.dedup(docs_of(twins))) == brute(twins)
+
+
+def test_words_that_look_alike_and_long_texts(spark, docs_of, alike):
+    a, b = alike
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words, a])), (2, " ".join([*words, b])), (3, " ".join([b, *words, a]))]
+    rows += [(4, " ".join(f"l{i % 70_000}" for i in range(200_000))), (5, "y" * 3_000_000), (6, " ".join(f"l{i}" for i in range(500)))]
+    assert got(substring_dedup.dedup(docs_of(rows))) == brute(rows)
 
 
 def test_no_rows(spark, docs_of):
