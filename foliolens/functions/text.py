@@ -19,6 +19,12 @@ LAYOUT_SYMBOLS = "━─│┃▸▪▶◆◇○●•…★☆♂♀§¶"
 ID_PREFIXES = ("char", "loc", "faction", "arc", "scene", "event", "goal", "secret", "flag", "state", "ending", "kb")
 
 
+# The forms of entries, and where published images are served from.
+ENTRY_TEXT = r"(?mds)^##[^\S\n]+(?:Entry text|입력 본문)[^\S\n]*$\n?(.*?)(?=^## |\z)"
+LISTED_KEYWORDS = r"(?md)^- keywords:\s*(\[.*?\])\s*$"
+SERVED = "https://cdn.jsdelivr.net/gh/%s@%s"
+
+
 def unix_lines(text: Column) -> Column:
     """Every kind of line end as a line feed."""
     return F.regexp_replace(text, "\r\n?", "\n")
@@ -53,7 +59,7 @@ def field(text: Column, name: str) -> Column:
 
 def body(text: Column) -> Column:
     """What follows the entry-text heading up to the next second-level heading, without comments and outer blanks."""
-    found = F.regexp_extract(text, r"(?mds)^##[^\S\n]+(?:Entry text|입력 본문)[^\S\n]*$\n?(.*?)(?=^## |\z)", 1)
+    found = F.regexp_extract(text, ENTRY_TEXT, 1)
     return trimmed(F.regexp_replace(found, r"(?s)<!--.*?-->", ""))
 
 
@@ -64,6 +70,11 @@ def bracket_list(text: Column) -> Column:
     return F.filter(items, lambda x: x != "")
 
 
+def listed_keywords(block: Column) -> Column:
+    """The lenient form: the bracket list of a block's ``- keywords:`` line, up to the bracket that ends a line; else none."""
+    return bracket_list(F.regexp_extract(block, LISTED_KEYWORDS, 1))
+
+
 def headings(text: Column, without: tuple[str, ...] = ("SAFE", "UNSAFE")) -> Column:
     """Distinct lower-cased titles of levels 1 to 3 that do not start with one of ``without``."""
     titles = F.regexp_extract_all(text, F.lit(r"(?md)^#{1,3}[^\S\n]+(\S.*?)[^\S\n]*$"), F.lit(1))
@@ -120,5 +131,27 @@ def size_label(size: Column) -> Column:
     return F.when(F.size(size) == 2, F.concat_ws("×", size[0].cast("string"), size[1].cast("string"))).otherwise("—")
 
 
+def megabytes(size: Column) -> Column:
+    return size / F.lit(1048576.0)
+
+
+def served_url(repo: Column, path: Column, tag: Column, ref: Column) -> Column:
+    """Where a published file is read from: by tag, else by the configured ref, else from ``main``."""
+    at = F.coalesce(F.nullif(tag, F.lit("")), F.nullif(ref, F.lit("")), F.lit("main"))
+    return F.concat_ws("/", F.format_string(SERVED, repo, at), path)
+
+
+def percent(rate: Column, digits: int = 0, width: int = 0) -> Column:
+    """A rate as per cent, right-aligned to a width."""
+    return F.format_string(f"%{width or ''}.{digits}f%%", rate * 100)
+
+
+def any_lines(text: Column) -> Column:
+    """The lines of a text by every kind of line end; a last line end starts no line."""
+    ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+    parts = F.split(text, ends)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def display_label(name: Column, slug: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), slug)

@@ -11,6 +11,7 @@ from foliolens.operators.audits import keyword_rows
 from foliolens.operators.contains import contains_join
 
 SLOTS = 3
+MOST_ALWAYS = 3
 ALWAYS = 0.7
 BOTTOM = 0.25
 
@@ -52,3 +53,8 @@ def always_on(rates: DataFrame, entries: int, threshold: float = ALWAYS, bottom:
     """Entries that nearly every scene calls up; INFO at the bottom of the order, FAIL above it."""
     rows = rates.filter(F.col("rate") >= threshold)
     return rows.withColumn("verdict", F.when(F.col("rank") < entries * (1 - bottom), "FAIL").otherwise("INFO"))
+
+
+def always_on_count(flagged: DataFrame) -> DataFrame:
+    """One row: how many entries nearly every scene calls up, and FAIL from ``MOST_ALWAYS`` on, as they fill the slots."""
+    return flagged.agg(F.count("*").alias("n")).withColumn("verdict", F.when(F.col("n") >= MOST_ALWAYS, "FAIL").otherwise("PASS"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -37,11 +41,27 @@ def stage_of(value: Column, edges: list[tuple[float, str]], last: str) -> Column
 
 
 def capped_steps(rows: DataFrame, within: str, scene: str, order: str, step: str, least: int, most: int) -> DataFrame:
-    """A running score that moves by the first step of each scene only, held between two limits at the end of each sum."""
+    """``rows`` with ``score``: it starts at 0, moves by the first step of each scene only, and is held between the limits
+    at every step.
+
+    Each step depends on the held score before it, which no window sums up, so a task walks its keys in order and
+    carries one score; nothing of a key is gathered.  Rows without a step move nothing; rows without a key are one key.
+    """
     first = F.row_number().over(Window.partitionBy(within, scene).orderBy(order))
-    moved = rows.withColumn("__n", first).withColumn("__s", F.when(F.col("__n") == 1, F.col(step)).otherwise(0))
-    total = F.sum("__s").over(Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return moved.withColumn("score", F.greatest(F.lit(least), F.least(F.lit(most), total))).drop("__n", "__s")
+    moved = rows.withColumn("__n", first).withColumn("__s", F.when(F.col("__n") == 1, F.coalesce(F.col(step), F.lit(0))).otherwise(0).cast("long"))
+    columns = rows.columns
+    schema = StructType([*rows.schema.fields, StructField("score", LongType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, score = object(), 0
+        for batch in batches:
+            out = []
+            for key, by in zip(batch[within].to_pylist(), batch["__s"].to_pylist()):
+                last, score = key, min(most, max(least, (score if key == last else 0) + by))
+                out.append(score)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out, pa.int64())], [*columns, "score"])
+
+    return moved.drop("__n").repartition(within).sortWithinPartitions(within, order).mapInArrow(walk, schema)
 
 
 def inversions(rows: DataFrame, within: str, order: str, wanted: Column) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliolens.functions import text as T
-from foliolens.operators import audits, segments, slots, turns
-from foliolens.operators.contains import contains_join
+from foliolens.operators import audits, rules, segments, slots, turns
+from foliolens.operators.contains import contained_nowhere, contains_join
 from foliolens.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,19 +86,18 @@ def budget_violations(read):
 
 @registered("SELECT conv_id, length(t)::BIGINT AS measured FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1)")
 def concat_measure(read):
-    return corpus.join_parts(read("conversations"), "conv_id", "turn").select("conv_id", T.measured(F.col("text")).alias("measured"))
+    return corpus.measure_parts(read("conversations"), "conv_id")
 
 
-@registered("""SELECT source, sum(length(l))::BIGINT AS chars, count(*) AS lines, CASE WHEN sum(length(l)) > 200000 THEN 'over' WHEN sum(length(l)) < 20000 THEN 'under' ELSE 'within' END AS band
+@registered("""SELECT source, sum(length(l))::BIGINT AS chars, count(*) AS rows, CASE WHEN sum(length(l)) > 200000 THEN 'over' WHEN sum(length(l)) < 20000 THEN 'under' ELSE 'within' END AS band
 FROM (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1""")
 def section_budget(read):
-    rows = segments.lines(read("documents"), ["source"]).groupBy("source").agg(F.sum(F.length("line")).alias("chars"), F.count("*").alias("lines"))
-    return rows.withColumn("band", F.when(F.col("chars") > 200_000, "over").when(F.col("chars") < 20_000, "under").otherwise("within"))
+    return rules.area_budget(segments.lines(read("documents"), ["source"]), "source", F.length("line"), 20_000, 200_000)
 
 
-@registered("SELECT doc_id, CASE WHEN n_chars > 10000 THEN 'huge' WHEN n_chars > 1000 THEN 'heavy' ELSE 'ok' END AS band FROM documents")
+@registered("""SELECT doc_id, CASE WHEN mb > 20 THEN 'huge' WHEN mb > 2 THEN 'heavy' ELSE 'ok' END AS band FROM (SELECT doc_id, strlen(text) * 1024 / 1048576.0 AS mb FROM documents)""")
 def size_band(read):
-    return read("documents").select("doc_id", audits.size_band(F.when(F.col("n_chars") > 10_000, 21.0).when(F.col("n_chars") > 1000, 3.0).otherwise(1.0)).alias("band"))
+    return read("documents").select("doc_id", audits.size_band(T.megabytes(F.octet_length("text") * 1024)).alias("band"))  # a byte stands for a KB
 
 
 # --- segmentation ------------------------------------------------------------------------------------------
@@ -107,14 +106,11 @@ def size_band(read):
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 
 
-@registered(f"""WITH {_LINES}, kept AS (SELECT doc_id, pos, trim(line) AS line FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#'))
-SELECT doc_id, pos::INT AS pos, trim(split_part(line, '. ', 1)) AS label,
-  CASE WHEN strpos(line, '. ') > 0 AND trim(substr(line, strpos(line, '. ') + 2)) <> '' THEN trim(substr(line, strpos(line, '. ') + 2)) ELSE trim(split_part(line, '. ', 1)) END AS text FROM kept""")
+@registered(f"""WITH {_LINES}, kept AS (SELECT doc_id, trim(line) AS line FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#'))
+SELECT doc_id, trim(split_part(line, ':', 1)) AS label,
+  CASE WHEN strpos(line, ':') > 0 AND trim(substr(line, strpos(line, ':') + 1)) <> '' THEN trim(substr(line, strpos(line, ':') + 1)) ELSE trim(split_part(line, ':', 1)) END AS text FROM kept""")
 def scene_line_parse(read):
-    kept = segments.lines(read("documents"), ["doc_id"]).withColumn("line", T.trimmed(F.col("line"))).filter("line <> '' and not startswith(line, '#')")
-    parts = F.split("line", r"\. ", 2)
-    label, rest = T.trimmed(parts[0]), T.trimmed(F.try_element_at(parts, F.lit(2)))
-    return kept.select("doc_id", "pos", label.alias("label"), F.coalesce(F.nullif(rest, F.lit("")), label).alias("text"))
+    return corpus.parse_scenes(segments.lines(read("documents"), ["doc_id"]), ("doc_id",))
 
 
 @registered(f"""WITH {_LINES}, placed AS (SELECT doc_id, pos, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start FROM lines)
@@ -138,14 +134,15 @@ def title_dedupe(read):
     return segments.number_repeats(rows, ["doc_id"], "title", "pos")
 
 
-@registered("SELECT page_id, lower(unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1))) AS heading FROM pages")
+@registered(r"""SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '<h1>([^<]*)</h1>', chr(10) || '# \1' || chr(10), 'g'), '(?m)^#{1,3}[^\S\n]+(\S.*?)[^\S\n]*$', 1))) AS heading FROM pages""")
 def heading_extract(read):
-    return read("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))).alias("heading")).withColumn("heading", F.lower("heading"))
+    marked = F.regexp_replace("html", "<h1>([^<]*)</h1>", "\n# $1\n")
+    return read("pages").select("page_id", F.explode(T.headings(marked)).alias("heading"))
 
 
-@registered("SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(html), 'href=\"([^\"]*)\"', 1)) AS id FROM pages")
+@registered(f"SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(replace(html, '<a href=\"/', ' scene.')), '\\b((?:{'|'.join(T.ID_PREFIXES)})\\.[a-z0-9-]+)(?:[^\\p{{L}}\\p{{N}}_-]|$)', 1)) AS id FROM pages")
 def id_extract(read):
-    return read("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit('href="([^"]*)"'), F.lit(1)))).alias("id"))
+    return read("pages").select("page_id", F.explode(T.stable_ids(F.replace(F.col("html"), F.lit('<a href="/'), F.lit(" scene.")))).alias("id"))
 
 
 @registered("""WITH s AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/')) AS slug FROM pages)
@@ -232,8 +229,7 @@ _PHRASES = ("license", "released under", "never said here")
 
 @registered(f"SELECT doc_id, p AS phrase FROM documents, (SELECT unnest({list(_PHRASES)}) AS p) WHERE contains(lower(text), lower(p))")
 def banned_phrase(read):
-    found = F.filter(F.array(*map(F.lit, _PHRASES)), lambda p: F.contains(F.lower("text"), F.lower(p)))
-    return read("documents").select("doc_id", F.explode(found).alias("phrase"))
+    return audits.banned(read("documents"), ["doc_id"], _PHRASES)
 
 
 # --- comparison --------------------------------------------------------------------------------------------
@@ -266,15 +262,13 @@ _TYPES = ("view", "purchase", "refund-never")
 SELECT name, 'missing' AS status FROM e WHERE name NOT IN (SELECT name FROM f) UNION ALL SELECT name, 'unknown' FROM f WHERE name NOT IN (SELECT name FROM e)""")
 def artifact_expected(read):
     found = read("events").select(F.col("event_type").alias("name")).distinct()
-    expected = found.limit(1).select(F.explode(F.array(*map(F.lit, _TYPES))).alias("name"))
-    return audits.against_expected(found, expected, "name")
+    one = read("events").agg(F.count("*"))  # a row even for an empty table
+    return audits.against_expected(found, one.select(F.explode(F.array(*map(F.lit, _TYPES))).alias("name")), "name")
 
 
-@registered("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS x FROM documents), p AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS word FROM part)
-SELECT word FROM p WHERE word NOT IN (SELECT x FROM w)""")
+@registered("SELECT DISTINCT p_name FROM part WHERE p_name <> '' AND NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, p_name))")
 def published_anti(read):
-    used = read("documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
-    return read("part").select(F.split(F.lower("p_name"), " ")[0].alias("word")).distinct().join(used, "word", "left_anti")
+    return contained_nowhere(read("part").select("p_name").distinct(), read("documents"), "p_name", "text")
 
 
 _SNAPSHOT = """o AS (SELECT doc_id AS id, sha256(text) AS d FROM documents),
@@ -313,6 +307,13 @@ def route_titles(read):
 # --- inventories -------------------------------------------------------------------------------------------
 
 
+def _axes(read) -> DataFrame:
+    """Nations as people, market segments as situations, regions as scenes."""
+    parts = (("nation", "n_name", "characters"), ("customer", "c_mktsegment", "situations"), ("region", "r_name", "scenes"))
+    rows = [read(t).select(F.lit(axis).alias("axis"), F.col(c).alias("slug")).distinct() for t, c, axis in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 _EXPECTED = "expected AS (SELECT n_name AS axis, n_name || '/' || c_mktsegment AS path, n_nationkey AS k, c_mktsegment AS seg FROM nation, (SELECT DISTINCT c_mktsegment FROM customer))"
 _FOUND = "found AS (SELECT DISTINCT n_name || '/' || c_mktsegment AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000)"
 
@@ -327,9 +328,10 @@ def _found(read) -> DataFrame:
     return rich.select(F.concat_ws("/", "n_name", "c_mktsegment").alias("path")).distinct()
 
 
-@registered(f"WITH {_EXPECTED} SELECT axis, path FROM expected")
+@registered("""SELECT 'characters' AS axis, n_name || '/' || seg || '.png' AS rel_path FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer)
+UNION ALL SELECT 'scenes', 'scene/' || r_name || '.png' FROM region""")
 def axis_expected(read):
-    return _expected(read).select("axis", "path")
+    return audits.asset_paths(_axes(read))
 
 
 @registered(f"WITH {_EXPECTED}, {_FOUND} SELECT axis, count(f.path) AS have, count(*) AS total FROM expected e LEFT JOIN found f USING (path) GROUP BY 1")
@@ -363,15 +365,15 @@ def lead_tags(read):
     return audits.repeated(read("part").select(T.leading_tags(F.col("p_name"), " ").alias("lead")), "lead")
 
 
-@registered("SELECT lower(c_mktsegment) || ', ' || n_name || ', base, x.png' AS prompt FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)")
+@registered("SELECT lower(c_mktsegment) || ', ' || n_name || ', base, x.png' AS prompt, 'blurred, ' || lower(c_mktsegment) AS negative FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)")
 def prompt_assembly(read):
-    return _expected(read).select(F.concat_ws(", ", F.lower("seg"), "axis", F.lit("base"), F.lit("x.png")).alias("prompt"))
+    rows = _expected(read).withColumn("kind", F.lower("seg"))
+    return rules.assembled(rows, ["kind", "axis", F.lit("base"), F.lit("  "), F.lit("x.png")], [F.lit("blurred"), "kind"]).select("prompt", "negative")
 
 
 @registered("SELECT lang, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM documents GROUP BY 1")
 def composition_ratio(read):
-    rows = read("documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return rules.shares(read("documents"), "lang")
 
 
 # --- symbols -----------------------------------------------------------------------------------------------
@@ -398,27 +400,45 @@ def symbol_undefined(read):
 @registered(f"""WITH {_USE} SELECT s.doc_id, symbol, (length(substr(text, 1, first_pos - 1)) - length(replace(substr(text, 1, first_pos - 1), chr(10), '')) + 1)::INT AS line
 FROM s JOIN documents d USING (doc_id)""")
 def symbol_first_line(read):
-    use = audits.symbol_use(read("documents"), ["doc_id"]).join(read("documents").select("doc_id", "text"), "doc_id")
+    use = audits.symbol_rows(read("documents").select("doc_id", "text"))
     return use.select("doc_id", "symbol", T.line_of(F.col("text"), F.col("first_pos")).alias("line"))
 
 
 # --- findings, rules, turns --------------------------------------------------------------------------------
 
 
-@registered("""WITH f AS (SELECT 'length' AS c, CASE WHEN n_chars > 7000 THEN 'FAIL' ELSE 'PASS' END AS s, doc_id::VARCHAR AS x FROM documents WHERE n_chars > 6500
+_FINDINGS = """f AS (SELECT 'length' AS c, CASE WHEN n_chars > 7000 THEN 'FAIL' ELSE 'PASS' END AS s, doc_id::VARCHAR AS x FROM documents WHERE n_chars > 6500
  UNION ALL SELECT 'license', 'WARN', doc_id::VARCHAR FROM documents WHERE contains(lower(text), 'license')
- UNION ALL SELECT 'copies', 'FAIL', left(sha256(text), 16) FROM documents GROUP BY text HAVING count(*) > 2)
-SELECT c AS "check", bool_and(s <> 'FAIL') AS ok, count(*) AS n, coalesce(string_agg(DISTINCT x, ', ' ORDER BY x) FILTER (s = 'FAIL'), '') AS offenders FROM f GROUP BY 1""")
-def rollup_findings(read):
+ UNION ALL SELECT 'copies', 'FAIL', left(sha256(text), 16) FROM documents GROUP BY text HAVING count(*) > 2)"""
+
+
+def _findings(read) -> list[DataFrame]:
     docs = read("documents")
     copies = audits.repeated(docs.select(T.fingerprint(F.col("text")).alias("digest")), "digest").filter("n > 2")
-    return audits.verdicts(
-        [
-            audits.finding(docs.filter("n_chars > 6500"), "length", F.when(F.col("n_chars") > 7000, "FAIL").otherwise("PASS"), "doc_id"),
-            audits.finding(docs.filter(F.contains(F.lower("text"), F.lit("license"))), "license", "WARN", "doc_id"),
-            audits.finding(copies, "copies", "FAIL", "digest"),
-        ]
-    )
+    return [
+        audits.finding(docs.filter("n_chars > 6500"), "length", F.when(F.col("n_chars") > 7000, "FAIL").otherwise("PASS"), "doc_id"),
+        audits.finding(docs.filter(F.contains(F.lower("text"), F.lit("license"))), "license", "WARN", "doc_id"),
+        audits.finding(copies, "copies", "FAIL", "digest"),
+    ]
+
+
+@registered(f"""WITH {_FINDINGS} SELECT c AS "check", bool_and(s <> 'FAIL') AS ok, count(*) AS n, count(*) FILTER (s = 'FAIL') AS fails, count(*) FILTER (s = 'WARN') AS warns,
+ count(*) FILTER (s = 'INFO') AS infos FROM f GROUP BY 1""")
+def rollup_findings(read):
+    return audits.verdicts(_findings(read))
+
+
+@registered(f"""WITH {_FINDINGS} SELECT bool_and(s <> 'FAIL') AS ok, count(DISTINCT c) AS checks, count(*) FILTER (s = 'FAIL') AS fails, count(*) FILTER (s = 'WARN') AS warns,
+ count(*) FILTER (s = 'INFO') AS infos FROM f""")
+def overall_verdict(read):
+    return audits.overall(_findings(read))
+
+
+@registered(f"""WITH {_FINDINGS}, o AS (SELECT DISTINCT c AS "check", x AS subject FROM f WHERE s = 'FAIL'),
+r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY subject) AS k, count(*) OVER (PARTITION BY "check") AS total FROM o)
+SELECT "check", subject, greatest(total - 20, 0) AS more FROM r WHERE k <= 20""")
+def first_offenders(read):
+    return audits.offenders(_findings(read))
 
 
 _RULES = {"en": ["the", "and", "of"], "fr": ["que", "la", "le"], "mixed": ["the", "que", "license"]}
@@ -429,11 +449,8 @@ _RULE_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS rule, {v} AS ws" for k, v in _
 m AS (SELECT doc_id, rule, len(list_filter(ws, lambda x: list_contains(w, x))) AS kept, len(ws) AS n FROM d, r)
 SELECT rule, CASE WHEN kept = n THEN 'kept' WHEN kept = 0 THEN 'lost' ELSE 'review' END AS status, count(*) AS n FROM m GROUP BY 1, 2""")
 def rule_fingerprint(read):
-    words = F.split(F.lower("text"), "[^a-z]+")
-    rows = read("documents").select(words.alias("w"), F.explode(F.create_map(*[x for k, v in _RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])).alias("rule", "ws"))
-    kept = F.size(F.array_intersect("ws", "w"))
-    status = F.when(kept == F.size("ws"), "kept").when(kept == 0, "lost").otherwise("review")
-    return rows.groupBy("rule", status.alias("status")).agg(F.count("*").alias("n"))
+    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
+    return rules.rule_words(read("documents").select("text"), _RULES, words).groupBy("rule", "status").agg(F.count("*").alias("n"))
 
 
 @registered(f"""WITH {_ENTRIES}, t AS (SELECT conv_id, turn, role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS heard FROM conversations),
@@ -457,19 +474,18 @@ def stage_ladder(read):
 @registered("""SELECT doc_id, len(regexp_extract_all(text, '[.]'))::BIGINT AS stops, len(regexp_extract_all(text, ','))::BIGINT AS commas,
  len(regexp_extract_all(text, ',')) > len(regexp_extract_all(text, '[.]')) AS heavy FROM documents""")
 def mark_balance(read):
-    stops, commas = F.regexp_count("text", F.lit("[.]")).cast("long"), F.regexp_count("text", F.lit(",")).cast("long")
+    stops, commas = rules.mark_counts(F.col("text"), "[.]", ",")
     return read("documents").select("doc_id", stops.alias("stops"), commas.alias("commas"), (commas > stops).alias("heavy"))
 
 
-@registered("SELECT doc_id FROM documents WHERE regexp_matches(text, 'https?://|TODO|(^|[^a-z])[a-z]+@[a-z]')")
+@registered("SELECT doc_id FROM documents WHERE regexp_matches(text, 'https?://|TODO|@')")
 def residue(read):
-    return read("documents").filter(F.col("text").rlike(r"https?://|TODO|(^|[^a-z])[a-z]+@[a-z]")).select("doc_id")
+    return rules.with_residue(read("documents"), ["doc_id"], r"https?://|TODO|@")
 
 
 @registered("SELECT p_brand, count(*) AS n, count(*) > 0.045 * sum(count(*)) OVER () AS dominates FROM part GROUP BY 1")
 def axis_clustering(read):
-    rows = read("part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return rows.withColumn("dominates", F.col("n") > F.sum("n").over(Window.partitionBy()) * 0.045)
+    return rules.shares(read("part"), "p_brand").select("p_brand", "n", (F.col("share") > 0.045).alias("dominates"))
 
 
 # --- further rules -----------------------------------------------------------------------------------------
@@ -478,44 +494,38 @@ def axis_clustering(read):
 @registered("""WITH n AS (SELECT lower(n_name) AS name FROM nation) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name[1] = b.name[1] AND a.name < b.name
 WHERE levenshtein(a.name, b.name) <= 3""")
 def confusable_names(read):
-    names = read("nation").select(F.lower("n_name").alias("name"))
-    rows = names.withColumn("at", F.substring(F.col("name"), F.lit(1), F.lit(1)))
-    both = rows.withColumnRenamed("name", "a").join(rows.withColumnRenamed("name", "b"), "at")
-    return both.filter("a < b").filter(F.levenshtein("a", "b") <= 3).select("a", "b")
+    return rules.confusable(read("nation").select(F.lower("n_name").alias("name")), "name")
 
 
 @registered("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN 'question' WHEN regexp_matches(text, '^[(]') THEN 'aside' WHEN length(text) < 80 THEN 'short' ELSE 'play' END AS kind
 FROM conversations WHERE role = 'user'""")
 def input_class(read):
-    kind = F.when(F.col("text").rlike("[?]"), "question").when(F.col("text").rlike("^[(]"), "aside").when(F.length("text") < 80, "short").otherwise("play")
-    return read("conversations").filter("role = 'user'").select("conv_id", "turn", kind.alias("kind"))
+    return read("conversations").filter("role = 'user'").select("conv_id", "turn", rules.input_kind(F.col("text")).alias("kind"))
 
 
 @registered("SELECT doc_id, len(regexp_extract_all(lower(text), '(license|the the)'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(lower(text), '(license|the the)')) > 1")
 def emphasis_repeat(read):
-    return read("documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("(license|the the)")).cast("long").alias("n")).filter("n > 1")
+    return rules.repeated_slogans(read("documents"), ["doc_id"], ("License", "the the"))
 
 
 @registered(f"WITH {_LINES} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(line, '^[0-9]+[.)] ') OR regexp_matches(line, '^[^ |]+ [|] ') GROUP BY 1")
 def choice_menu(read):
-    rows = segments.lines(read("documents"), ["doc_id"]).filter(F.col("line").rlike(r"^[0-9]+[.)] ") | F.col("line").rlike(r"^[^ |]+ [|] "))
+    rows = rules.form_lines(segments.lines(read("documents"), ["doc_id"])).filter("form = 'menu'")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @registered("""WITH q AS (SELECT conv_id, turn, length(text) < 150 AS quiet, lag(length(text) < 150) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
 SELECT conv_id, turn FROM q WHERE quiet AND before""")
 def quiet_runs(read):
-    quiet = F.length("text") < 150
-    rows = read("conversations").withColumn("quiet", quiet).withColumn("before", F.lag("quiet").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return rows.filter("quiet and before").select("conv_id", "turn")
+    return rules.runs(read("conversations"), "conv_id", "turn", F.length("text") < 150).select("conv_id", "turn")
 
 
 @registered("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) AS k FROM events),
-t AS (SELECT event_id, sum(CASE WHEN k = 1 THEN CASE WHEN event_type = 'purchase' THEN 2 ELSE -1 END ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM f)
-SELECT event_id, greatest(-5, least(10, s))::BIGINT AS score FROM t""")
+t AS (SELECT event_id, list(CASE WHEN k = 1 THEN CASE WHEN event_type = 'purchase' THEN 2 ELSE -1 END ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM f)
+SELECT event_id, list_reduce(s, lambda a, x: greatest(-5, least(10, a + x)), 0)::BIGINT AS score FROM t""")
 def stage_steps(read):
     rows = read("events").withColumn("scene", F.date_trunc("day", "ts")).withColumn("step", F.when(F.col("event_type") == "purchase", 2).otherwise(-1))
-    return turns.capped_steps(rows, "user_id", "scene", "event_id", "step", -5, 10).select("event_id", F.col("score").cast("long").alias("score"))
+    return turns.capped_steps(rows, "user_id", "scene", "event_id", "step", -5, 10).select("event_id", "score")
 
 
 @registered("""SELECT lang, count(*) FILTER (n_chars < 500) AS short, count(*) FILTER (n_chars BETWEEN 500 AND 5000) AS medium, count(*) FILTER (n_chars > 5000) AS long,
@@ -544,15 +554,14 @@ def reregister_list(read):
 m AS (SELECT doc_id, len(list_filter(['the', 'der', 'le', 'el'], lambda x: list_contains(w, x)))::BIGINT AS n FROM d) SELECT doc_id, n FROM m WHERE n > 1""")
 def synonym_mixing(read):
     words = F.split(F.lower("text"), "[^a-z]+")
-    n = F.size(F.array_intersect(F.array(*map(F.lit, ("the", "der", "le", "el"))), words)).cast("long")
-    return read("documents").select("doc_id", n.alias("n")).filter("n > 1")
+    return rules.mixed_terms(read("documents"), ["doc_id"], ["the", "der", "le", "el"], words)
 
 
 @registered("""SELECT conv_id, turn, CASE WHEN n > 900 THEN 'FAIL' WHEN n > 600 THEN 'WARN' ELSE 'PASS' END AS grade
 FROM (SELECT conv_id, turn, length(regexp_replace(text, '```[^`]*```', '', 'g')) AS n FROM conversations WHERE role = 'assistant')""")
 def response_length(read):
-    visible = F.length(F.regexp_replace("text", "```[^`]*```", ""))
-    return read("conversations").filter("role = 'assistant'").select("conv_id", "turn", audits.grade(visible, 600, 900).alias("grade"))
+    size = F.length(rules.without_fences(F.col("text")))
+    return read("conversations").filter("role = 'assistant'").select("conv_id", "turn", audits.grade(size, 600, 900).alias("grade"))
 
 
 @registered("""WITH o AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS w FROM conversations),
@@ -560,3 +569,278 @@ b AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM
 def order_inversions(read):
     wanted = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
     return turns.inversions(read("conversations"), "conv_id", "turn", wanted).select("conv_id", "turn")
+
+
+# --- legends, projects and inventories ---------------------------------------------------------------------
+
+
+_LEGENDS = f"""g AS (SELECT doc_id, text, string_split(text, chr(10))[2] AS legend FROM documents WHERE regexp_matches(text, '[{T.OPERATOR_SYMBOLS}{T.LAYOUT_SYMBOLS}]')),
+ls AS (SELECT DISTINCT doc_id, text, legend, unnest(string_split(legend, '')) AS c FROM g WHERE legend <> ''),
+lm AS (SELECT doc_id, c AS symbol, {_KIND} AS kind, CASE WHEN strpos(text, c) < strpos(text, legend) THEN 'before'
+ WHEN NOT contains(substr(text, 1, strpos(text, legend) - 1) || substr(text, strpos(text, legend) + length(legend)), c) THEN 'unused' ELSE 'ok' END AS status FROM ls WHERE c <> '' AND {_KIND} IS NOT NULL)"""
+
+
+def _legends(read) -> DataFrame:
+    """A text's second line stands for its legend."""
+    return audits.legend_symbols(read("documents").select("doc_id", "text", F.try_element_at(F.split("text", "\n"), F.lit(2)).alias("legend")), ["doc_id"])
+
+
+@registered(f"WITH {_LEGENDS} SELECT * FROM lm")
+def legend_symbols(read):
+    return _legends(read)
+
+
+@registered(f"""WITH {_LEGENDS} SELECT doc_id, count(*) AS symbols, count(*) FILTER (status = 'unused') AS unused, count(*) FILTER (status = 'before') AS before,
+ CASE WHEN count(*) FILTER (status = 'before') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'unused') > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM lm GROUP BY 1""")
+def legend_counts(read):
+    return audits.legend_counts(_legends(read), ["doc_id"])
+
+
+_PROJECT = """p AS (SELECT conv_id::VARCHAR AS project, CASE WHEN turn = 0 THEN 'story.md' WHEN turn = 1 THEN 'characters.md' WHEN turn = 2 THEN 'build' WHEN turn = 3 THEN '.hidden' ELSE 'notes-' || turn END AS name,
+ turn = 2 AND conv_id % 3 <> 0 AS is_dir FROM conversations)"""
+
+
+def _projects(read) -> DataFrame:
+    turn = F.col("turn")
+    name = F.when(turn == 0, "story.md").when(turn == 1, "characters.md").when(turn == 2, "build").when(turn == 3, ".hidden").otherwise(F.concat(F.lit("notes-"), turn.cast("string")))
+    return read("conversations").select(F.col("conv_id").cast("string").alias("project"), name.alias("name"), ((turn == 2) & (F.col("conv_id") % 3 != 0)).alias("is_dir"))
+
+
+@registered(f"""WITH {_PROJECT}, j AS (SELECT DISTINCT project FROM p)
+SELECT project, 'source missing' AS "check", 'FAIL' AS severity, s AS subject FROM j, (SELECT unnest(['story.md', 'characters.md']) AS s) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = j.project AND p.name = s AND NOT is_dir)
+UNION ALL SELECT project, 'unexpected', 'FAIL', name FROM p WHERE name LIKE 'notes-%'
+UNION ALL SELECT project, CASE WHEN is_dir IS NULL THEN 'build missing' ELSE 'build is no folder' END, 'FAIL', 'build' FROM j LEFT JOIN (SELECT project, is_dir FROM p WHERE name = 'build') USING (project) WHERE is_dir IS NULL OR NOT is_dir""")
+def project_layout(read):
+    return audits.project_layout(_projects(read))
+
+
+@registered(f"""WITH {_PROJECT} SELECT DISTINCT project, 'unknown' AS status, name FROM p WHERE NOT starts_with(name, '.') AND name NOT IN ('story.md', 'characters.md', 'extra.md')
+UNION ALL SELECT project, 'missing', f FROM (SELECT DISTINCT project FROM p), (SELECT unnest(['story.md', 'characters.md', 'extra.md']) AS f) WHERE (project, f) NOT IN (SELECT project, name FROM p)""")
+def derived_files(read):
+    return audits.expected_files(_projects(read), ("story.md", "characters.md", "extra.md"))
+
+
+@registered("""SELECT axis, slug, CASE axis WHEN 'characters' THEN 'INFO' ELSE 'FAIL' END AS severity FROM (SELECT DISTINCT 'characters' AS axis, split_part(p_name, ' ', 1) AS slug FROM part UNION SELECT 'scenes', lower(c_mktsegment) FROM customer) a
+WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, slug))""")
+def unreachable_slugs(read):
+    people = read("part").select(F.lit("characters").alias("axis"), F.split("p_name", " ")[0].alias("slug")).distinct()
+    scenes = read("customer").select(F.lit("scenes").alias("axis"), F.lower("c_mktsegment").alias("slug")).distinct()
+    return audits.unreachable(people.unionByName(scenes), read("documents"))
+
+
+@registered("SELECT (SELECT count(*) FROM nation) AS people, (SELECT count(*) FROM nation) * (SELECT count(DISTINCT c_mktsegment) FROM customer) AS combos, (SELECT count(*) FROM region) AS fixed")
+def image_totals(read):
+    return audits.totals(_axes(read))
+
+
+@registered(f"""WITH {_EXPECTED}, {_FOUND}, fl AS (SELECT path AS rel_path, (length(path) * 524288)::BIGINT AS bytes FROM found UNION ALL SELECT 'stray/' || r_name, 1 FROM region),
+ex AS (SELECT path AS rel_path, axis FROM expected)
+SELECT 'unknown' AS "check", 'FAIL' AS severity, rel_path AS subject, '' AS detail FROM fl WHERE rel_path NOT IN (SELECT rel_path FROM ex)
+UNION ALL SELECT 'huge', 'FAIL', rel_path, '' FROM fl WHERE rel_path IN (SELECT rel_path FROM ex) AND bytes / 1048576 > 20
+UNION ALL SELECT 'heavy', 'INFO', rel_path, '' FROM fl WHERE rel_path IN (SELECT rel_path FROM ex) AND bytes / 1048576 > 2 AND bytes / 1048576 <= 20
+UNION ALL SELECT 'missing', 'INFO', rel_path, axis FROM ex WHERE rel_path NOT IN (SELECT rel_path FROM fl)""")
+def image_inventory(read):
+    files = _found(read).select(F.col("path").alias("rel_path"), (F.length("path") * 524288).cast("long").alias("bytes"))  # half a MB a character
+    stray = read("region").select(F.concat(F.lit("stray/"), "r_name").alias("rel_path"), F.lit(1).cast("long").alias("bytes"))
+    return audits.inventory(_expected(read).select("axis", F.col("path").alias("rel_path")), files.unionByName(stray))
+
+
+@registered("SELECT p_partkey FROM part WHERE regexp_replace(replace(p_name, 'widget', ''), '[a-z]*r[a-z]*', '', 'g') NOT SIMILAR TO '.*[^ ].*'")
+def empty_tags(read):
+    rest = F.regexp_replace(F.replace(F.col("p_name"), F.lit("widget"), F.lit("")), "[a-z]*r[a-z]*", "")
+    return audits.empty_tags(read("part").withColumn("tags", rest), separator=" ").select("p_partkey")
+
+
+@registered("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS k FROM orders) WHERE k > 1")
+def repeats_after_first(read):
+    return audits.repeats_after_first(read("orders"), "o_orderkey", "o_custkey", "o_orderdate").select("o_orderkey")
+
+
+@registered(f"""WITH {_SNAPSHOT} SELECT id % 4 AS file, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed,
+ count(*) FILTER (status = 'same') AS same FROM diff GROUP BY 1""")
+def snapshot_by_file(read):
+    return audits.snapshot_counts(_snapshots(read).withColumn("file", F.col("id") % 4), "file")
+
+
+@registered("""WITH w AS (SELECT conv_id, list_distinct(list(lower(role)) FILTER (turn % 2 = 0)) AS l, list_distinct(list(lower(role)) FILTER (turn % 2 = 1)) AS r FROM conversations GROUP BY 1),
+x AS (SELECT conv_id, coalesce(l, []) AS l, coalesce(r, []) AS r FROM w)
+SELECT conv_id, array_to_string(list_sort(list_filter(l, lambda x: NOT list_contains(r, x))), ',') AS only_left, array_to_string(list_sort(list_filter(r, lambda x: NOT list_contains(l, x))), ',') AS only_right,
+ list_sort(l) = list_sort(r) AS equal, len(l) + len(r) > 0 AS "any" FROM x""")
+def drift_flags(read):
+    side = lambda n: F.collect_set(F.when(F.col("turn") % 2 == n, F.lower("role")))  # noqa: E731  # a closed list of roles
+    rows = read("conversations").groupBy("conv_id").agg(side(0).alias("l"), side(1).alias("r"))
+    out = audits.drift_report(rows, ["conv_id"], "l", "r")
+    return out.withColumn("only_left", F.array_join("only_left", ",")).withColumn("only_right", F.array_join("only_right", ","))
+
+
+@registered("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY lang) AS total FROM documents WHERE n_chars > 7000)
+SELECT lang, doc_id, greatest(total - 5, 0) AS more FROM r WHERE k <= 5""")
+def first_long_texts(read):
+    return audits.first_of(read("documents").filter(F.col("n_chars") > audits.PROMPT).select("lang", "doc_id"), "doc_id", 5, "lang")
+
+
+@registered("SELECT array_to_string(list_sort(list(n_name))[1:6], ', ') || CASE WHEN count(*) > 6 THEN ' …' ELSE '' END AS listed FROM nation")
+def first_names(read):
+    return audits.first_list(read("nation"), "n_name")
+
+
+@registered(f"""WITH {_RATES}, a AS (SELECT count(*) AS n FROM rates WHERE rate >= 0.02) SELECT n, CASE WHEN n >= 3 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM a""")
+def always_on_count(read):
+    rates = slots.load_rates(entries_of(read), allocated_of(read), scenes_of(read).count())
+    return slots.always_on_count(slots.always_on(rates, entries_of(read).count(), threshold=0.02))
+
+
+@registered(f"WITH {_RATES} SELECT entry_id, format('{{:6.1f}}%', rate * 100) AS shown FROM rates")
+def rate_shown(read):
+    rates = slots.load_rates(entries_of(read), allocated_of(read), scenes_of(read).count())
+    return rates.select("entry_id", T.percent(F.col("rate"), 1, 6).alias("shown"))
+
+
+@registered("""SELECT page_id, 'https://cdn.jsdelivr.net/gh/me/x@' || CASE WHEN page_id % 3 = 0 THEN 'v' || page_id WHEN page_id % 3 = 1 THEN 'next' ELSE 'main' END || '/' || page_id || '.png' AS url FROM pages""")
+def served_urls(read):
+    key = F.col("page_id").cast("string")
+    tag, ref = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("v"), key)), F.when(F.col("page_id") % 3 == 1, "next").otherwise("")
+    return read("pages").select("page_id", T.served_url(F.lit("me/x"), F.concat(key, F.lit(".png")), tag, ref).alias("url"))
+
+
+@registered("SELECT conv_id, turn, len(string_split(text, chr(10)))::INT AS n FROM conversations")
+def any_line_counts(read):
+    ends = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
+    return read("conversations").select("conv_id", "turn", F.size(T.any_lines(F.concat(ends, F.lit(" ")))).alias("n"))
+
+
+# --- documented rules ----------------------------------------------------------------------------------------
+
+
+@registered("SELECT doc_id, len(regexp_extract_all(replace(text, '.' || chr(10), chr(10) || '### '), '(?m)^#{3,}'))::BIGINT AS n FROM documents WHERE contains(text, '.' || chr(10)) OR regexp_matches(text, '(?m)^#{3,}')")
+def heading_depth(read):
+    docs = read("documents").select("doc_id", F.replace(F.col("text"), F.lit(".\n"), F.lit("\n### ")).alias("text"))  # a sentence at a line's end stands for a deep heading
+    return rules.deep_headings(docs, ["doc_id"])
+
+
+@registered("SELECT conv_id, turn, p AS phrase FROM conversations, (SELECT unnest(['tion', 'wher', 'OOC']) AS p) WHERE role = 'assistant' AND contains(lower(text), lower(p))")
+def leaking_words(read):
+    return audits.banned(read("conversations"), ["conv_id", "turn"], ("tion", "wher", "OOC"), variant="role", only="assistant")
+
+
+@registered(f"""WITH {_ENTRIES}, e AS (SELECT entry_id % 3 AS project, 'name-' || entry_id || repeat('x', (entry_id % 20)::INT) AS name, keywords FROM entries),
+c AS (SELECT project, count(*) AS entries, sum(len(list_filter(keywords, lambda k: length(k) > 10))) AS keywords, count(*) FILTER (length(name) > 20) AS names FROM e GROUP BY 1)
+SELECT project, cap, n::BIGINT AS n FROM (SELECT project, unnest(['entries', 'keyword length', 'name length']) AS cap, unnest([CASE WHEN entries > 20 THEN entries END, nullif(keywords, 0), nullif(names, 0)]) AS n FROM c) WHERE n IS NOT NULL""")
+def registry_caps(read):
+    name = F.concat(F.lit("name-"), F.col("entry_id").cast("string"), F.expr("repeat('x', cast(entry_id % 20 as int))"))
+    return rules.over_caps(entries_of(read).withColumn("project", F.col("entry_id") % 3).withColumn("name", name))
+
+
+@registered("""WITH s AS (SELECT doc_id, split_part(text, ' ', 1) AS name, split_part(text, '.', 1) AS description, split_part(text, chr(10), 1) AS prompt FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN length(trim(name)) NOT BETWEEN 1 AND 10 THEN 'name' END, CASE WHEN length(trim(description)) NOT BETWEEN 1 AND 30 THEN 'description' END, CASE WHEN length(trim(prompt)) NOT BETWEEN 1 AND 400 THEN 'prompt' END) AS over
+FROM s WHERE NOT contains(description, chr(10)) AND NOT contains(name, chr(10))""")
+def shortcut_caps(read):
+    parts = (("name", " "), ("description", "."), ("prompt", "\n"))
+    rows = read("documents").select("doc_id", *[F.substring_index("text", by, 1).alias(c) for c, by in parts]).filter("not contains(description, '\\n') and not contains(name, '\\n')")
+    text = F.format_string("# Shortcut `s`\n- name: %s\n- description: %s\n\n## Shortcut prompt\n%s", "name", "description", "prompt")
+    return rules.shortcut_flags(rules.shortcut_blocks(rows.select("doc_id", text.alias("text")), ["doc_id"])).select("doc_id", F.array_join("over", ",").alias("over"))
+
+
+@registered("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) NOT BETWEEN 4 AND 8")
+def counts_outside(read):
+    return rules.counts_outside(read("orders"), "o_custkey", 4, 8)
+
+
+@registered("SELECT doc_id, CASE WHEN doc_id BETWEEN 0 AND 99 THEN 'person' WHEN doc_id BETWEEN 90 AND 199 THEN 'scene' WHEN doc_id BETWEEN 500 AND 700 THEN 'place' END AS kind FROM documents")
+def slot_kinds(read):
+    ranges = [(0, 99, "person"), (90, 199, "scene"), (500, 700, "place")]
+    return read("documents").select("doc_id", rules.kind_in_ranges(F.col("doc_id"), ranges).alias("kind"))
+
+
+@registered("""WITH a AS (SELECT DISTINCT lang, source FROM documents WHERE doc_id % 2 = 0) SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.lang = d.lang AND a.source = d.source)""")
+def cast_gate(read):
+    docs = read("documents")
+    return rules.not_allowed(docs.select("doc_id", "lang", "source"), docs.filter("doc_id % 2 = 0"), ["lang", "source"]).select("doc_id")
+
+
+@registered(f"""WITH {_HITS} SELECT label, entry_id FROM hits WHERE entry_id % 4 = 0 OR (entry_id % 4 = 1 AND split_part(label, ':', 1)::INT % 2 = 1) OR (entry_id % 4 = 2 AND split_part(label, ':', 1)::INT % 2 = 0)""")
+def applicable_entries(read):
+    start = F.when(F.split("label", ":")[0].cast("int") % 2 == 0, "even").otherwise("odd")
+    which = F.col("entry_id") % 4
+    settings = F.when(which == 1, F.array(F.lit("odd"))).when(which == 2, F.array(F.lit("even"))).when(which == 3, F.array(F.lit("never")))
+    found = slots.hits(scenes_of(read), entries_of(read)).withColumn("start", start)
+    return rules.applicable(found, entries_of(read).select("entry_id", settings.alias("settings")), "start").select("label", "entry_id")
+
+
+@registered("SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE' OR (c_mktsegment = 'MACHINERY' AND c_nationkey IN (1, 2)) OR (c_mktsegment = 'BUILDING' AND c_nationkey = 3)")
+def knowledge_scope(read):
+    scope = F.when(F.col("c_mktsegment") == "FURNITURE", "public").when(F.col("c_mktsegment") == "MACHINERY", "organization").when(F.col("c_mktsegment") == "BUILDING", "character").otherwise("author")
+    rows = read("customer").select("c_custkey", scope.alias("scope"), F.col("c_nationkey").cast("string").alias("holder"))
+    return rules.visible(rows, ["1", "2"], ["3"]).select("c_custkey")
+
+
+@registered("""SELECT DISTINCT p_name FROM part WHERE p_name <> '' AND NOT EXISTS (SELECT 1 FROM conversations WHERE role = 'assistant' AND contains(text, p_name))""")
+def reachability(read):
+    return rules.unreachable_names(read("part").select("p_name").distinct(), read("conversations").filter("role = 'assistant'"), "p_name", "text")
+
+
+@registered("""SELECT o_orderkey, unnest(list_filter(['o_orderpriority', 'status'], lambda c: CASE c WHEN 'status' THEN o_orderstatus = 'F' ELSE o_custkey % 5 = 0 END)) AS "column" FROM orders""")
+def blank_cells(read):
+    rows = read("orders").withColumn("o_orderpriority", F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderpriority"))).withColumn("status", F.when(F.col("o_orderstatus") == "F", "  ").otherwise("x"))
+    return rules.blank_cells(rows, ["o_orderkey"], ["o_orderpriority", "status"])
+
+
+@registered("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'holder' END, CASE WHEN len(string_split(p_type, 'A')) NOT BETWEEN 2 AND 3 THEN 'clues' END) AS missing FROM part
+WHERE p_size % 2 = 0 OR len(string_split(p_type, 'A')) NOT BETWEEN 2 AND 3""")
+def secret_records(read):
+    rows = read("part").select("p_partkey", F.when(F.col("p_size") % 2 == 1, "someone").alias("holder"), F.col("p_brand").alias("reveal"), F.split("p_type", "A").alias("clues"))
+    return rules.incomplete(rows, ["holder", "reveal"], "clues").select("p_partkey", F.array_join("missing", ",").alias("missing"))
+
+
+@registered("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'name,goal' WHEN p_size % 3 = 1 THEN 'goal' ELSE 'name' END AS missing FROM part")
+def profile_intake(read):
+    which = F.col("p_size") % 3
+    text = F.when(which == 0, "Color: red\nname:  ").when(which == 1, " Name : Ann\ncolor: b\ngoal:").otherwise("goal: to win: all\ncolor: c")
+    out = rules.intake(read("part").select("p_partkey", text.alias("text")), ["p_partkey"], ["name", "color", "goal"])
+    return out.select("p_partkey", F.array_join("missing", ",").alias("missing"))
+
+
+@registered("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN 'fixed' END, CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END, 'base') AS value, CASE WHEN o_orderstatus = 'P' THEN 'a' WHEN o_custkey % 2 = 0 THEN 'b' ELSE 'c' END AS layer FROM orders")
+def layer_precedence(read):
+    rows = read("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "fixed").alias("a"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("b"), F.lit("base").alias("c"))
+    value, layer = rules.first_given(["a", "b", "c"])
+    return rows.select("o_orderkey", value.alias("value"), layer.alias("layer"))
+
+
+@registered("""WITH r AS (SELECT user_id, event_id, coalesce(nullif(list_position(['view', 'click', 'purchase'], event_type), 0), 4) AS w FROM events),
+b AS (SELECT *, lag(w) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM r) SELECT user_id, event_id FROM b WHERE before > w""")
+def type_order(read):
+    return turns.inversions(read("events"), "user_id", "event_id", rules.type_rank(F.col("event_type"), ("view", "click", "purchase"))).select("user_id", "event_id")
+
+
+@registered(f"""WITH {_USE} SELECT symbol, sum(n)::BIGINT AS n, (sum(n) * 6 - 12)::BIGINT AS gain, sum(n) >= 4 AS pays FROM s GROUP BY 1""")
+def symbol_payback(read):
+    return rules.payback(audits.symbol_use(read("documents"), ["doc_id"]), 6, 12)
+
+
+@registered(f"""WITH {_RATES}, t AS (SELECT entry_id, k FROM kw UNION ALL SELECT entry_id, left(k, 1) FROM kw)
+SELECT entry_id, k, CASE WHEN length(k) <= 1 THEN 'generic' ELSE 'over-specific' END AS flag FROM t JOIN rates USING (entry_id) WHERE length(k) <= 1 OR matched = 0""")
+def trigger_flags(read):
+    rows = audits.keyword_rows(entries_of(read), ["entry_id"])
+    both = rows.unionByName(rows.withColumn("k", F.substring("k", 1, 1)))
+    return rules.trigger_flags(both, slots.load_rates(entries_of(read), allocated_of(read), scenes_of(read).count()))
+
+
+@registered("""WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n FROM l WHERE regexp_matches(line, '^[^\\s:"*][^:"*\\n]{0,40}: "[^"\\n]*"$') GROUP BY 1
+UNION ALL SELECT -1, count(*) FROM conversations WHERE turn = 0""")
+def speech_lines(read):
+    first = read("conversations").filter("turn = 0").select(F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit("Ann "), F.col("conv_id").cast("string"), F.lit(': "Yes."')).alias("line"))
+    rows = segments.lines(read("documents"), ["doc_id"]).select("doc_id", "line").distinct().unionByName(first)
+    return rules.form_lines(rows).filter("form = 'speech'").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@registered("""WITH x AS (SELECT s_suppkey AS k, s_nationkey AS a, (s_acctbal / 1000)::INT AS b, s_suppkey % 3 AS c FROM supplier)
+SELECT x.k AS a, y.k AS b, ((x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.c <> y.c)::INT)::INT AS differs FROM x JOIN x y ON x.k < y.k WHERE (x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.c <> y.c)::INT < 2""")
+def close_pairs(read):
+    rows = read("supplier").select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") / 1000).cast("int").alias("worth"), (F.col("s_suppkey") % 3).alias("third"))
+    return rules.too_close(rows, "s_suppkey", ["s_nationkey", "worth", "third"])
+
+
+@registered("SELECT o_custkey, count(*) AS choices, count(DISTINCT o_orderpriority) AS outcomes FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) < count(*)")
+def same_outcomes(read):
+    return rules.same_outcomes(read("orders"), "o_custkey", "o_orderpriority")

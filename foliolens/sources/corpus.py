@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.functions.text import trimmed, unix_lines
+from foliolens.functions.text import trimmed, unix_lines, utf16_units
 
 AXES = "map<string,map<string,struct<ko:string,size:array<int>,tags:string,seed:bigint>>>"
 STAMP = "map<string,map<string,string>>"
@@ -22,12 +22,37 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     return parse_scenes(spark.read.text(path).select(F.col("value").alias("line")))
 
 
-def parse_scenes(lines: DataFrame) -> DataFrame:
-    """Blank lines and those from ``#`` on are skipped; without text the label is the text."""
-    kept = lines.select(trimmed(F.col("line")).alias("line")).filter("line <> '' and not startswith(line, '#')")
+def parse_scenes(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, label and text; blank lines and those from ``#`` on are skipped; without text the label is the text."""
+    kept = lines.select(*keep, trimmed(F.col("line")).alias("line")).filter("line <> '' and not startswith(line, '#')")
     parts = F.split("line", ":", 2)
     label, text = trimmed(parts[0]), trimmed(F.try_element_at(parts, F.lit(2)))
-    return kept.select(label.alias("label"), F.coalesce(F.nullif(text, F.lit("")), label).alias("text"))
+    return kept.select(*keep, label.alias("label"), F.coalesce(F.nullif(text, F.lit("")), label).alias("text"))
+
+
+def inline_scenes(spark: SparkSession, scenes: list[tuple[str, str | None]]) -> DataFrame:
+    """label, text of scenes given in place; without a text it is empty."""
+    return spark.createDataFrame([(label, text or "") for label, text in scenes], "label string, text string")
+
+
+def first_source(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first of the given paths that is there (an argument, a configured one, a default)."""
+    for path in paths:
+        if path and _on(spark, path)[0].exists(_on(spark, path)[1]):
+            return path
+    return None
+
+
+def _on(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def list_folder(spark: SparkSession, path: str) -> DataFrame:
+    """name, is_dir, bytes of what lies directly in a folder and is not hidden; the listing is one call on the driver."""
+    system, at = _on(spark, path)
+    found = [(s.getPath().getName(), s.isDirectory(), s.getLen()) for s in system.listStatus(at)]
+    return spark.createDataFrame([f for f in found if not f[0].startswith(".")], "name string, is_dir boolean, bytes long")
 
 
 def read_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -50,10 +75,38 @@ def stamp(documents: DataFrame, column: str = "text") -> DataFrame:
     return parsed.select("file", F.explode("titles").alias("title", "digest"))
 
 
+def stamps(sections: DataFrame) -> DataFrame:
+    """text: a JSON document for each file, which ``stamp`` reads back; a file's sections make one document."""
+    titles = F.map_from_entries(F.array_sort(F.collect_list(F.struct("title", "digest"))))
+    return sections.groupBy("file").agg(titles.alias("titles")).select(F.to_json(F.create_map("file", "titles")).alias("text"))
+
+
+def write_stamp(sections: DataFrame, path: str) -> None:
+    """Writes ``stamps`` as a folder of text files, a document a line; ``read_stamp`` reads it."""
+    stamps(sections).write.mode("overwrite").text(path)
+
+
+def read_stamp(spark: SparkSession, path: str) -> DataFrame:
+    """file, title, digest of a stamp, be it one document over many lines or one a line; none is an empty snapshot."""
+    if first_source(spark, path) is None:
+        return spark.createDataFrame([], "file string, title string, digest string")
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    lines = whole.select(F.explode(F.split("text", "\n")).alias("text")).filter("text <> ''")
+    single = stamp(whole).dropna(subset=["file"])
+    return single.unionByName(stamp(lines).dropna(subset=["file"])).distinct()
+
+
 def write_snapshot(sections: DataFrame, path: str) -> None:
     sections.select("file", "title", "digest").write.mode("overwrite").parquet(path)
 
 
+def measure_parts(parts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key and measured: the length of each key's texts joined by line feeds, from sums alone; nulls are left out."""
+    between = F.count(text) - 1
+    cp, units = F.sum(F.length(text)) + between, F.sum(utf16_units(F.col(text))) + between
+    return parts.groupBy(key).agg(F.greatest(cp, units, F.lit(0)).alias("measured"))
+
+
 def join_parts(parts: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """Each key's texts in order, joined by line feeds."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
