@@ -1,7 +1,8 @@
 """Exact BM25 top-k with block-max pruning, a shard at a time.
 
 A task cuts its documents into shards and builds an inverted index of each: postings by term, and for every
-block of ``BLOCK_DOCS`` documents the highest impact of each term in it.  A query sums its terms' block
+block of ``BLOCK_DOCS`` documents the highest impact of each term in it.  Within a shard documents are ordered by
+their least term hash, which brings texts with the same words together, so that the bounds of blocks are closer.  A query sums its terms' block
 maxima into an upper bound of each block, scores the most promising blocks first, and then only those whose
 bound still reaches its k-th best score, which carries over from shard to shard.  Scores use the whole
 corpus's document frequencies and mean length, so the shards' results merge exactly.
@@ -14,7 +15,8 @@ Terms are runs of ASCII letters and digits and of all characters beyond ASCII, A
 
 Defined cases: a null or empty text finds nothing and is never found; rows with a null id are neither
 queries nor found, though they count in the statistics; of several query rows with one id the least text
-counts; repeated documents are found each.  Equal scores go by the smaller id.
+counts; repeated documents are found each.  Equal scores go by the smaller id.  A long text is indexed whole, as a
+shard of its own if need be; only doc_id and text are read, so further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from foliolens.llm.common import blocks, cut, utf8
 from foliolens.llm.words import spans_hash, split
 
 K1, B = 1.2, 0.75
-BLOCK_DOCS = 32
+BLOCK_DOCS = 8
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD_BYTES = 16 << 20
 QUERY_TERMS = 2_000_000
@@ -100,6 +102,14 @@ class Index:
 
     def __init__(self, raw, offs, ids: np.ndarray, wanted: np.ndarray, mean: float):
         term, row = _terms(raw, offs)
+        least = np.full(len(ids), np.iinfo(np.uint64).max)
+        if len(row):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            least[row[first]] = np.minimum.reduceat(term, first)
+        order = np.argsort(least, kind="stable")
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids), dtype=np.int32)
+        ids, row = ids[order], place[row]
         length = np.bincount(row, minlength=len(ids))
         if len(wanted) and len(term):
             at = np.minimum(np.searchsorted(wanted, term), len(wanted) - 1)

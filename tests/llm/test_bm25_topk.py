@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from foliolens.llm import bm25_topk, queries
+from foliolens.llm.common import utf8
 
 
 def brute(docs, asked, k):
@@ -51,6 +54,37 @@ def test_matches_brute_force(spark, docs_of, monkeypatch):
     same(bm25_topk.top_k(df, df.filter("doc_id % 100 = 0"), 7).collect(), brute(docs, asked, 7))
 
 
+def test_blocks_are_pruned_without_loss(monkeypatch):
+    """Of the blocks of a shard whose documents come in any order, most are never scored, and the best are the same."""
+    r = random.Random(3)
+    topics = [[f"t{t}w{i}" for i in range(40)] for t in range(60)]
+    texts = [" ".join(r.choice(topics[i % 60] if r.random() < 0.8 else r.choice(topics)) for _ in range(r.randrange(20, 90))) for i in range(3000)]
+    raw, offs = utf8(pa.array(texts))
+    ids = np.arange(3000)
+    term, row, _ = bm25_topk._pairs(*bm25_topk._terms(raw, offs))
+    wanted, df = np.unique(term, return_counts=True)
+    index = bm25_topk.Index(raw, offs, ids, wanted, 50.0)
+    scored, score = [], bm25_topk.Index._score
+    monkeypatch.setattr(bm25_topk.Index, "_score", lambda self, chosen, *a: (scored.append(len(chosen)), score(self, chosen, *a))[1])
+    for q in range(0, 3000, 100):
+        own = term[row == q]
+        weight = np.log(1 + (3000 - df[np.searchsorted(wanted, own)] + 0.5) / (df[np.searchsorted(wanted, own)] + 0.5))
+        pruned, whole = bm25_topk.Top(10), bm25_topk.Top(10)
+        index.search(index.rows(own), weight, pruned)
+        entry = np.concatenate([np.arange(index.offset[i], index.offset[i + 1]) for i in index.rows(own)])
+        size = np.repeat(weight, [index.offset[i + 1] - index.offset[i] for i in index.rows(own)])
+        score(index, np.arange(index.blocks), entry, index.block[entry], size, whole)
+        assert np.array_equal(pruned.ids, whole.ids) and np.allclose(pruned.scores, whole.scores)
+    assert sum(scored) < 0.4 * 30 * index.blocks
+
+
+def test_words_that_look_alike_and_long_texts(spark, docs_of, alike):
+    long = " ".join(f"w{i % 9000}" for i in range(150_000))
+    docs = [(100, f"{alike[0]} x"), (101, f"{alike[1]} x"), (102, alike[0]), (200, long), (201, "w5 w6"), (300, "z" * 2_000_000)]
+    asked = [d for d in docs if d[0] % 100 == 0]
+    same(bm25_topk.top_k(docs_of(docs), docs_of(asked), 5).collect(), brute(docs, asked, 5))
+
+
 def test_nothing_to_find(spark, docs_of):
     none, some = docs_of([]), docs_of([(0, "a")])
     assert bm25_topk.top_k(none, none).count() == bm25_topk.top_k(some, none).count() == bm25_topk.top_k(none, some).count() == 0
