@@ -11,7 +11,8 @@ holds about ``BLOCK_CHARS`` characters of items, which bounds what is broadcast,
 passes, never fewer items.
 
 Defined cases: a null or empty document has no match; an item without letters or digits is never found, nor
-one with a null id; repeated documents and items are matched each; further columns are ignored.
+one with a null id; repeated documents and items are matched each; a long text is read whole; ``matches`` ignores
+further columns and ``clean`` passes them through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ What the forward pass keeps for a prefix is its last piece:
 Characters without a piece become their bytes' pieces, or the unknown id if the model has none.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; U+2581 in a text is a space to
-the model and comes back as one (``round_trip`` is then false); repeated rows are encoded each.
+the model and comes back as one (``round_trip`` is then false); repeated rows are encoded each; a long text is a
+block of its own; only doc_id and text (or ids) are read, so further columns of any name are ignored.
 """
 
 from __future__ import annotations

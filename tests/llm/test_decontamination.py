@@ -70,3 +70,13 @@ def test_query_finds_all_exact_passages(spark, sf):
     exact = {(d["doc_id"], i["item_id"]) for d in docs for i in items if dec.normal(i["text"]) in dec.normal(d["text"])}
     got = {(r.doc_id, r.item_id): r.distance for r in queries.op7_decontamination(spark, sf).collect()}
     assert exact and exact == {k for k, d in got.items() if d == 0}
+
+
+def test_long_texts_and_items(spark, docs_of):
+    r = random.Random(2)
+    item = " ".join(f"w{r.randrange(10**6)}" for _ in range(400))
+    body = " ".join(f"b{i % 977}" for i in range(250_000))
+    edits = item[:900].replace("w", "v", 30) + item[900:]
+    docs = docs_of([(1, f"{body} {item} {body}"), (2, f"{body} {edits}"), (3, body), (4, "q" * 2_000_000)])
+    got = {(x.doc_id, x.item_id): x.distance for x in dec.matches(docs, spark.createDataFrame([(1, item), (2, "zz" * 60)], "item_id long, text string")).collect()}
+    assert got == {(1, 1): 0, (2, 1): 30}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -62,3 +63,36 @@ def test_query_on_the_table(spark, sf, library):
     texts = dict(zip(*pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
     for r in queries.op9_sentencepiece_codec(spark, sf).collect():
         assert r.round_trip and r.ids == library.encode(texts[r.doc_id])
+
+
+def test_words_that_look_alike(spark, docs_of, library, alike):
+    texts = {1: f"{alike[0]} {alike[1]}", 2: alike[1], 3: alike[0]}
+    for r in codec.encode(docs_of(list(texts.items()))).collect():
+        assert r.ids == library.encode(texts[r.doc_id]) and r.round_trip
+
+
+def test_chunks_with_one_hash_are_told_apart(monkeypatch, library):
+    """Even if every hash were the same, what the ids decode to shows which chunks are wrong."""
+    from foliolens.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "spans_hash", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    pieces = codec.Pieces.load()
+    encoder, known = codec.Encoder(pieces), pretokens.Known(pieces.decoded)
+    for text in ("one two six the", "the ten two one", "six six né ten"):
+        raw = np.frombuffer((" " + text).encode(), np.uint8)
+        starts, ends, _ = pretokens.chunks(raw, np.array([0, len(raw)]), codec._SPACE)
+        ids, n = known.ids_of(raw, starts, ends, encoder.encode_words)
+        assert ids.tolist() == library.encode(text) and n.sum() == len(ids)
+
+
+def test_the_cache_stays_within_its_bytes(monkeypatch):
+    from foliolens.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHE_BYTES", 4000)
+    known = pretokens.Known([bytes([i]) for i in range(256)])
+    encode = lambda new: (np.frombuffer(b"".join(new), np.uint8).astype(np.int64), np.array([len(x) for x in new]))
+    r = random.Random(5)
+    for _ in range(60):
+        raw = np.frombuffer(" ".join(f"w{r.randrange(5000)}" for _ in range(50)).encode(), np.uint8)
+        ids, _ = known.ids_of(raw, *pretokens.chunks(raw, np.array([0, len(raw)]))[:2], encode)
+        assert ids.tolist() == raw.tolist() and sum(x.nbytes for p in known.parts for x in p) <= 4000 + 50 * 60
