@@ -14,8 +14,11 @@ The boundary is the size at which the rows to enumerate outweigh those to scan,
 
 No list is expanded into all its pairs at once: members are first held against their neighbour by size and
 against the smallest of their part of the list (long lists fall into parts of about ``LIST_PART``); what that
-connects is one component, and only pairs across components remain.  A token that many sets of a batch have is
-sent once with all of them, so a frequent token makes as many rows as there are batches.
+connects is one component.  Lists that then hold several components are gone through once more, in an order of
+each list's own.  Only pairs across components remain, and of these only those whose signatures (bits of which each
+token turns one, so that they differ in no more bits than the sets do in tokens) leave room for a link.  A token
+that many sets of a batch have is sent once with all of them, so a frequent token makes as many rows as there are
+batches.
 
 Defined cases: a null or blank text has an empty set and links with nothing; so does a row with a null id,
 whose component is null.  Repeated rows are one class; rows of one id with different sets are different classes,
@@ -50,6 +53,8 @@ ZONE = 4 / 3
 BROADCAST_IDS = 100_000
 #: Members of a list that are held against the same least one.
 LIST_PART = 512
+#: Longs of a set's signature.
+SIGNATURE = 8
 
 
 def need(a: int, b: int, percent: int) -> int:
@@ -99,6 +104,26 @@ def token_sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFr
     return docs.mapInArrow(run, schema + "n long, key binary, zone int, tokens array<long>")
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Bits of which every token turns one: two signatures differ in no more bits than their sets do in tokens."""
+    at, count = np.unique(tokens & np.uint64(64 * SIGNATURE - 1), return_counts=True)
+    odd = np.zeros(64 * SIGNATURE, np.uint8)
+    odd[at[count % 2 == 1].astype(np.int64)] = 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def signed(sets: DataFrame) -> DataFrame:
+    """node and the signature ``s`` of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t.values.to_numpy().view(np.uint64)) for t in batch["tokens"]]
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch["node"], lists(flat, [SIGNATURE] * len(found), pa.int64())], ["node", "s"])
+
+    return sets.select("node", "tokens").mapInArrow(run, "node long, s array<long>")
+
+
 def boundary(sizes: dict[int, int], percent: int) -> int:
     """The size up to which sets are light: the cheapest split of the given counts of small sizes."""
 
@@ -199,6 +224,13 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) >= _need(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
 
 
+def _may_agree(a: str, b: str, percent: int) -> Column:
+    """Whether the signatures differ in no more bits than the sets may in tokens."""
+    differ = sum((F.bit_count(F.col(f"{a}.s")[i].bitwiseXOR(F.col(f"{b}.s")[i])) for i in range(SIGNATURE)), F.lit(0))
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return differ <= n - 2 * _need(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -220,15 +252,39 @@ def heavy_links(lists_: DataFrame, sets: DataFrame, light: DataFrame, percent: i
     near = near.filter("y is not null and x.rep <> y.rep").filter(_may_link("x", "y", percent))
     pairs = cut(near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     first = cut(verified(pairs, sets, percent).unionByName(light))
-    known = components(first).withColumnsRenamed({"node": "rep", "component": "comp"})
-    rows = lists_.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("token", F.struct("rep", "n", "pos", "comp").alias("x"))
-    split = cut(rows.groupBy("token").agg(F.min("x.comp").alias("lo"), F.max("x.comp").alias("hi")).filter("lo < hi").select("token"))
-    rows = cut(rows.join(split, "token", "left_semi"))
-    across = rows.join(rows.withColumnRenamed("x", "y"), "token").filter("x.rep < y.rep and x.comp <> y.comp").filter(_may_link("x", "y", percent))
-    rest = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # what is left over several components: neighbours in an order of each list's own, then all pairs that may agree
+    rows = _across(lists_, first, sets)
+    more = cut(verified(_other_neighbours(rows, percent), sets, percent))
+    if not more.isEmpty():
+        first = first.unionByName(more)
+        rows = _across(lists_, first, sets)
+    meet = rows.select("token", "x").join(rows.select("token", F.col("x").alias("y")), "token").filter("x.rep < y.rep and x.comp <> y.comp").filter(_may_link("x", "y", percent) & _may_agree("x", "y", percent))
+    rest = meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return first.unionByName(verified(rest, sets, percent))
 
 
+def _across(lists_: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, members and x (rep, n, pos, comp, signature) of the lists that hold sets of several components."""
+    known = components(links).withColumnsRenamed({"node": "rep", "component": "comp"})
+    rows = lists_.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("token", "rep", "n", "pos", "comp")
+    split = cut(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("token", "members"))
+    rows = cut(rows.join(split, "token"))
+    wanted = sets.join(rows.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    rows = rows.join(signed(wanted).withColumnRenamed("node", "rep"), "rep")
+    return cut(rows.select("token", "members", F.struct("rep", "n", "pos", "comp", "s").alias("x")))
+
+
+def _other_neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that stand side by side in lists ordered, and cut into parts, by hashes of
+    token and set: a set has other neighbours in each of its lists."""
+    dealt = rows.withColumn("h", F.xxhash64("token", F.col("x.rep"))).withColumn("part", F.expr(f"pmod(h, members div {LIST_PART} + 1)"))
+    w = Window.partitionBy("token", "part").orderBy("h")
+    near = dealt.select("x", F.lag("x", 1).over(w).alias("y1"), F.lag("x", 2).over(w).alias("y2"))
+    near = near.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter("y is not null and x.comp <> y.comp")
+    near = near.filter(_may_link("x", "y", percent) & _may_agree("x", "y", percent))
+    return near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row.
 

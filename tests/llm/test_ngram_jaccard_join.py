@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -108,6 +109,15 @@ def test_words_that_look_alike_and_long_texts(spark, docs_of, alike):
     assert got == brute(rows, 5, 80)
 
 
+def test_signatures_never_rule_out_a_link():
+    r = np.random.RandomState(4)
+    for _ in range(300):
+        pool = r.randint(0, 2**63, 60).astype(np.uint64)
+        a, b = (np.unique(r.choice(pool, r.randint(1, 50))) for _ in range(2))
+        bits = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in (join.signature(a) ^ join.signature(b)).tolist())
+        assert bits <= len(np.setxor1d(a, b)) and (bits - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_frequent_tokens(spark, docs_of, monkeypatch):
     """Lists that fall into several parts, tokens that many sets of a batch share, and components that meet late."""
     monkeypatch.setattr(join, "LIST_PART", 4)
