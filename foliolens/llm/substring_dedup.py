@@ -12,7 +12,7 @@ the same is done within each block of input: windows that a smaller document of
 there and do not travel, so what a bucket gets of one passage is one string a block, however many documents
 repeat it.  A task reads its buckets by id; a window met before belongs to a smaller document, so of an open
 bucket only the windows that are first of their kind are held.  Buckets with many windows are split by the
-windows' own hashes, and their equal windows by document, so that what meets in the end is one row a group.
+windows' own hashes and by document; what is first of its kind there meets once more, dealt by the window alone.
 
 Defined cases: a null text has no words; a null id counts as larger than any other; rows that share an id
 are not held against each other (a 64-bit hash of the text tells them apart; rows with the same id and text are
@@ -186,22 +186,22 @@ def _rows(*columns) -> pa.RecordBatch:
 class _Bucketed:
     """Windows that arrive by bucket and then by id, so no later one has a smaller id than an equal one before."""
 
-    def __init__(self, hot):
+    def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.texts: list[bytes] = []
-        self.count, self.hot = 0, hot
+        self.texts: list[tuple] = []
+        self.count = 0
 
     def add(self, bucket, doc, version, word, again, packed) -> None:
         """``again``: rows of hot buckets, one window each, which meet once more unless they are settled here."""
         raw, offs = utf8(packed)
         starts, ends, row = split(raw, offs)
-        one, two, at, h = _windows(raw, starts, ends, row)
+        one, two, at, _ = _windows(raw, starts, ends, row)
         r = row[at]
         source = np.full(len(at), -1)
         hot = np.flatnonzero(again[r])
         if len(hot):
             source[hot] = len(self.texts) + np.arange(len(hot))
-            target, _ = _dealt(_minimisers(h, starts, ends, row, at[hot]).view(np.int32), one[hot], self.hot)
+            target = mix(one[hot]).astype(np.uint32).view(np.int32)  # by the window alone: SALTS rows of a kind at most
             self.texts += zip(target.tolist(), (packed[i] for i in r[hot].tolist()))
         self.parts.append((one, two, doc[r], version[r], word[r] + at - np.searchsorted(row, r), bucket[r], source))
         self.count += len(at)
@@ -224,8 +224,8 @@ class _Bucketed:
         yield _rows(np.zeros(len(first)), doc[first], version[first], word[first], word[last] + WINDOW, pa.nulls(len(first), pa.binary()))
 
 
-def _settle(batches: Iterator[pa.RecordBatch], flush: int, hot) -> Iterator[pa.RecordBatch]:
-    held = _Bucketed(hot.value)
+def _settle(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
+    held = _Bucketed()
     for batch in batches:
         bucket, doc, version, word, upto = (batch[c].to_numpy() for c in _NAMES[:5])
         open_ = batch["packed"].is_valid().to_numpy(zero_copy_only=False)
@@ -273,7 +273,7 @@ def repeated_ranges(docs: DataFrame, flush: int = FLUSH_WINDOWS, block: int = BL
     rows = docs.join(asked, ["key", "version"]).mapInArrow(lambda batches: _super_kmers(batches, block, parts), _PACKED)
 
     def settled(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(lambda batches: _settle(batches, flush, parts), _PACKED)
+        return rows.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(lambda batches: _settle(batches, flush), _PACKED)
 
     once = settled(rows)
     if len(parts.value[0]):
