@@ -79,4 +79,25 @@ b AS (SELECT host, rate - {url_reputation.BOUND_Z} * sqrt(alpha * beta / ((alpha
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bound > {url_reputation.BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN b USING (host)"""
 
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op2_substring_dedup": OP2, "op3_secret_scan": _op3(), "op5_url_reputation": _op5()}
+def _op11() -> str:
+    """Parts as rows; two rounds of nearest entry and floored mean, and a last assignment."""
+    each = range(1, 5)
+
+    def nearest(book: str) -> str:
+        far = " + ".join(f"(x[{i}] - y[{i}]) * (x[{i}] - y[{i}])" for i in each)
+        return f"SELECT vec_id, p, d, k FROM (SELECT vec_id, p, k, {far} AS d, row_number() OVER (PARTITION BY vec_id, p ORDER BY {far}, k) AS nth FROM q JOIN {book} USING (p)) WHERE nth = 1"
+
+    def moved(book: str, given: str) -> str:
+        mean = ", ".join(f"floor(sum(x[{i}])::DOUBLE / count(*))::BIGINT" for i in each)
+        return f"SELECT p, k, coalesce(m, y) AS y FROM {book} LEFT JOIN (SELECT p, k, [{mean}] AS m FROM q JOIN {given} USING (vec_id, p) GROUP BY p, k) USING (p, k)"
+
+    return f"""WITH e AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT vec_id, p, list_transform(v[4 * p + 1:4 * p + 4], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM e, (SELECT unnest(generate_series(0, 15)) AS p)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e), b0 AS (SELECT p, k, x AS y FROM q JOIN s USING (vec_id) WHERE k < 64),
+a0 AS ({nearest("b0")}), b1 AS ({moved("b0", "a0")}), a1 AS ({nearest("b1")}), b2 AS ({moved("b1", "a1")}), a2 AS ({nearest("b2")}),
+c AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(y[1] || ',' || y[2] || ',' || y[3] || ',' || y[4], ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN e USING (vec_id), h"""
+
+
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op2_substring_dedup": OP2, "op3_secret_scan": _op3(), "op5_url_reputation": _op5(), "op11_vector_codes": _op11()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation
+from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, toxicity, training_order, url_reputation, vector_codes
 from foliolens.llm.common import new_path, table
 from foliolens.llm.oracles import ORACLE_SQL
 
@@ -69,6 +69,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.sequences(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -80,4 +85,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_training_order": op10_training_order,
+    "op11_vector_codes": op11_vector_codes,
 }
