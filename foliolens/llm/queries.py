@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, secret_scan, sentencepiece_codec, substring_dedup, token_alignment, toxicity, training_order, url_reputation, vector_codes
+from foliolens.llm import bm25_topk, decontamination, hilbert_sharding, ngram_jaccard_join, run_length_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_alignment, toxicity, training_order, url_reputation, vector_codes
 from foliolens.llm.common import new_path, table
 from foliolens.llm.oracles import ORACLE_SQL
 
@@ -74,6 +74,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).alias("codebooks_sha256"))
 
 
+def op12_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_dedup.dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
@@ -90,5 +94,6 @@ QUERIES = {
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_training_order": op10_training_order,
     "op11_vector_codes": op11_vector_codes,
+    "op12_run_length_dedup": op12_run_length_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
