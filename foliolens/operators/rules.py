@@ -249,13 +249,46 @@ def too_close(rows: DataFrame, key: str, axes: list[str], least: int = 2) -> Dat
     return one.join(two, "at").filter("a < b").select("a", "b", n.alias("differs")).filter(F.col("differs") < least).distinct()
 
 
+# A Hangul syllable is its place after U+AC00: 588 for each first letter, 28 for each vowel, and the last letter.
+_FIRST, _VOWEL, _LAST = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def letters(name: Column) -> Column:
+    """The name with Hangul syllables split into their letters."""
+
+    def split(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        of = lambda these, at: F.substring(F.lit(these), at + 1, F.lit(1))
+        last = F.when(n % 28 == 0, "").otherwise(of(_LAST, n % 28 - 1))
+        return F.when(n.between(0, 11171), F.concat(of(_FIRST, F.floor(n / 588).cast("int")), of(_VOWEL, F.floor(n % 588 / 28).cast("int")), last)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(name, ""), split), "")
+
+
+def left_out(name: Column, most: int) -> Column:
+    """The distinct strings that are left of a name with up to ``most`` characters left out."""
+
+    def fewer(s: Column) -> Column:
+        cut_at = lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+        return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), cut_at)).otherwise(F.array().cast("array<string>"))
+
+    found = last = F.array(name)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, fewer)))
+        found = F.array_union(found, last)
+    return found
+
+
 def confusable(names: DataFrame, name: str, edits: int = 3) -> DataFrame:
-    """Pairs (a, b) of names with the same first character within so many edits; they meet by that and by lengths that allow it."""
-    rows = names.select(F.col(name).alias("a")).filter("a <> ''").distinct()
-    one = rows.withColumn("at", F.substring("a", 1, 1)).withColumn("n", F.length("a"))
-    two = one.withColumnRenamed("a", "b")
-    one = one.withColumn("n", F.explode(F.sequence(F.col("n") - edits, F.col("n") + edits)))
-    return one.join(two, ["at", "n"]).filter("a < b").filter(F.levenshtein("a", "b") <= edits).select("a", "b")
+    """Pairs (a, b) of names within so many edits, counted in letters of split Hangul syllables.
+
+    Two such names have a string in common that is left of either with up to so many letters left out; names meet by
+    those strings, wherever they differ, and are then compared.  Empty and null names are left out, repeated ones are one.
+    """
+    rows = names.select(F.col(name).alias("a")).filter("a <> ''").distinct().withColumn("x", letters(F.col("a")))
+    one = rows.withColumn("at", F.explode(left_out(F.col("x"), edits)))
+    two = one.withColumnsRenamed({"a": "b", "x": "y"})
+    return one.join(two, "at").filter("a < b").select("a", "b", "x", "y").distinct().filter(F.levenshtein("x", "y") <= edits).select("a", "b")
 
 
 def same_outcomes(choices: DataFrame, group: str, outcome: str) -> DataFrame:
