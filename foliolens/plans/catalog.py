@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliolens.functions import text as T
-from foliolens.operators import audits, rules, segments, slots, turns
+from foliolens.operators import audits, events, intervals, overlap, rules, segments, slots, turns
 from foliolens.operators.contains import contained_nowhere, contains_join
 from foliolens.sources import corpus
 
@@ -22,12 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def registered(sql: str):
-    """Registers a function of (read) under its name, with its SQL."""
+def registered(sql: str | None):
+    """Registers a function of (read) under its name, with its SQL (None: the tests have a plain version)."""
 
     def take(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        ORACLE_SQL[f.__name__] = sql
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return take
@@ -127,13 +128,38 @@ def section_fingerprint(read):
     return segments.lines(read("documents"), ["doc_id"]).select("doc_id", "pos", T.fingerprint(F.col("line")).alias("digest"))
 
 
-@registered(f"""WITH {_LINES}, n AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM lines)
-SELECT doc_id, pos::INT AS pos, CASE WHEN k > 1 THEN line || ' (' || k || ')' ELSE line END AS title FROM n""")
+# a line's length stands for its title; every fifth line says a number itself
+@registered(f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, pos, length(line) % 9 || CASE WHEN pos % 5 = 1 THEN ' (' || (2 + pos % 3) || ')' ELSE '' END AS t FROM lines),
+step AS (SELECT doc_id, 0 AS pos, t AS title, [t] AS taken FROM t WHERE pos = 0 UNION ALL
+SELECT doc_id, pos, title, list_append(taken, title) FROM (SELECT t.doc_id, t.pos, taken, CASE WHEN NOT list_contains(taken, t.t) THEN t.t ELSE
+ list_filter(list_transform(generate_series(2, len(taken) + 2), lambda n: t.t || ' (' || n || ')'), lambda x: NOT list_contains(taken, x))[1] END AS title FROM step JOIN t ON t.doc_id = step.doc_id AND t.pos = step.pos + 1))
+SELECT doc_id, pos::INT AS pos, title FROM step""")
 def title_dedupe(read):
-    rows = segments.lines(read("documents"), ["doc_id"]).withColumnRenamed("line", "title")
+    said = F.when(F.col("pos") % 5 == 1, F.concat(F.lit(" ("), (2 + F.col("pos") % 3).cast("string"), F.lit(")"))).otherwise("")
+    rows = segments.lines(read("documents"), ["doc_id"]).select("doc_id", "pos", F.concat((F.length("line") % 9).cast("string"), said).alias("title"))
     return segments.number_repeats(rows, ["doc_id"], "title", "pos")
 
 
+_HEADED = "(SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || '## ') AS t FROM documents)"
+
+
+def _headed(read) -> DataFrame:
+    """Texts in which what follows a sentence at a line's end is a heading."""
+    return read("documents").select(F.col("doc_id").cast("string").alias("name"), F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n## ")).alias("text"))
+
+
+@registered(rf"""SELECT doc_id::VARCHAR AS file, greatest(len(regexp_extract_all(t, '(?m)^#{{1,3}}\s+\S')), 1)::BIGINT AS sections, greatest(len(regexp_extract_all(t, '(?m)^#{{1,3}}\s+\S')), 1)::BIGINT AS titles FROM {_HEADED}""")
+def section_titles(read):
+    return segments.sections(_headed(read)).groupBy("file").agg(F.count("*").alias("sections"), F.countDistinct("title").alias("titles"))
+
+
+# a stamp of all sections, read back and held against the sections: none differs
+@registered(rf"""SELECT doc_id::VARCHAR AS file, 0::BIGINT AS added, 0::BIGINT AS removed, 0::BIGINT AS changed, greatest(len(regexp_extract_all(t, '(?m)^#{{1,3}}\s+\S')), 1)::BIGINT AS same FROM {_HEADED}""")
+def stamp_round_trip(read):
+    rows = segments.sections(_headed(read))
+    return audits.snapshot_counts(audits.snapshot_diff(corpus.stamp(corpus.stamps(rows)), rows, ["file", "title"]), "file")
+
+
 @registered(r"""SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '<h1>([^<]*)</h1>', chr(10) || '# \1' || chr(10), 'g'), '(?m)^#{1,3}[^\S\n]+(\S.*?)[^\S\n]*$', 1))) AS heading FROM pages""")
 def heading_extract(read):
     marked = F.regexp_replace("html", "<h1>([^<]*)</h1>", "\n# $1\n")
@@ -471,6 +497,17 @@ def stage_ladder(read):
     return read("customer").select("c_custkey", turns.stage_of(F.col("c_acctbal"), [(0, "debt"), (3000, "low"), (7000, "mid")], "high").alias("stage"))
 
 
+# a stage table of as many ranges as there are parts, which overlap; of several the first part's counts
+@registered("""WITH r AS (SELECT p_partkey AS nth, (p_retailprice * 100)::BIGINT - 90000 AS lo, p_size AS w, p_brand AS stage FROM part),
+v AS (SELECT DISTINCT (c_acctbal * 10)::BIGINT AS v FROM customer), f AS (SELECT v, arg_min(stage, nth) AS stage FROM v JOIN r ON v BETWEEN lo AND lo + w * 20 - 200 GROUP BY v)
+SELECT c_custkey, stage FROM customer LEFT JOIN f ON (c_acctbal * 10)::BIGINT = v""")
+def stage_table(read):
+    lo = F.round(F.col("p_retailprice") * 100).cast("long") - 90_000
+    ranges = read("part").select(F.col("p_partkey").alias("nth"), lo.alias("lo"), (lo + F.col("p_size") * 20 - 200).alias("hi"), F.col("p_brand").alias("stage"))
+    rows = read("customer").select("c_custkey", F.round(F.col("c_acctbal") * 10).cast("long").alias("v"))
+    return intervals.located(rows, "v", ranges, "lo", "hi", "nth", "stage", "stage").drop("v")
+
+
 @registered("""SELECT doc_id, len(regexp_extract_all(text, '[.]'))::BIGINT AS stops, len(regexp_extract_all(text, ','))::BIGINT AS commas,
  len(regexp_extract_all(text, ',')) > len(regexp_extract_all(text, '[.]')) AS heavy FROM documents""")
 def mark_balance(read):
@@ -491,10 +528,11 @@ def axis_clustering(read):
 # --- further rules -----------------------------------------------------------------------------------------
 
 
-@registered("""WITH n AS (SELECT lower(n_name) AS name FROM nation) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name[1] = b.name[1] AND a.name < b.name
-WHERE levenshtein(a.name, b.name) <= 3""")
+@registered("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS name FROM benchmark UNION SELECT lower(n_name) FROM nation)
+SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) <= 2""")
 def confusable_names(read):
-    return rules.confusable(read("nation").select(F.lower("n_name").alias("name")), "name")
+    words = read("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("name"))
+    return rules.confusable(words.unionByName(read("nation").select(F.lower("n_name").alias("name"))), "name", edits=2)
 
 
 @registered("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN 'question' WHEN regexp_matches(text, '^[(]') THEN 'aside' WHEN length(text) < 80 THEN 'short' ELSE 'play' END AS kind
@@ -746,10 +784,12 @@ def counts_outside(read):
     return rules.counts_outside(read("orders"), "o_custkey", 4, 8)
 
 
-@registered("SELECT doc_id, CASE WHEN doc_id BETWEEN 0 AND 99 THEN 'person' WHEN doc_id BETWEEN 90 AND 199 THEN 'scene' WHEN doc_id BETWEEN 500 AND 700 THEN 'place' END AS kind FROM documents")
+@registered("""WITH r AS (SELECT item_id AS nth, length(text) * 3 - 400 AS lo, length(text) * 5 - 300 AS hi, 'kind' || item_id % 7 AS kind FROM benchmark),
+f AS (SELECT n, arg_min(kind, nth) AS kind FROM (SELECT DISTINCT length(text) AS n FROM documents) JOIN r ON n BETWEEN lo AND hi GROUP BY n) SELECT doc_id, kind FROM documents LEFT JOIN f ON length(text) = n""")
 def slot_kinds(read):
-    ranges = [(0, 99, "person"), (90, 199, "scene"), (500, 700, "place")]
-    return read("documents").select("doc_id", rules.kind_in_ranges(F.col("doc_id"), ranges).alias("kind"))
+    n = F.length("text")
+    ranges = read("benchmark").select(F.col("item_id").alias("nth"), (n * 3 - 400).alias("lo"), (n * 5 - 300).alias("hi"), F.concat(F.lit("kind"), (F.col("item_id") % 7).cast("string")).alias("kind"))
+    return intervals.located(read("documents").select("doc_id", n.alias("n")), "n", ranges, "lo", "hi", "nth", "kind", "kind").drop("n")
 
 
 @registered("""WITH a AS (SELECT DISTINCT lang, source FROM documents WHERE doc_id % 2 = 0) SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.lang = d.lang AND a.source = d.source)""")
@@ -844,3 +884,48 @@ def close_pairs(read):
 @registered("SELECT o_custkey, count(*) AS choices, count(DISTINCT o_orderpriority) AS outcomes FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) < count(*)")
 def same_outcomes(read):
     return rules.same_outcomes(read("orders"), "o_custkey", "o_orderpriority")
+
+
+# --- event rules and bodies in prompts ------------------------------------------------------------------------------
+
+
+#: What follows from which kinds of events a user has had; no SQL: the tests hold it against a plain loop.
+_EVENT_RULES = [
+    ("event.welcome", "critical", events.ONCE, True, False), ("event.first-order", "high", events.ONCE, True, False), ("event.trouble", "normal", events.ONCE_PER_ARC, True, False),
+    ("event.return", "high", events.ONCE, False, True), ("event.loyal", "ambient", events.ONCE, True, False), ("event.offer", "normal", events.REPEATABLE, True, False),
+]
+_EVENT_TRIGGERS = [("event.welcome", "signup"), ("event.first-order", "purchase"), ("event.first-order", "welcomed"), ("event.trouble", "error"), ("event.return", "calmed"), ("event.return", "view"), ("event.loyal", "ordered"), ("event.loyal", "returned"), ("event.offer", "click")]
+_EVENT_BLOCKERS = [("event.trouble", "ordered"), ("event.loyal", "error"), ("event.offer", "returned")]
+_EVENT_EFFECTS = [
+    ("event.welcome", "welcomed", True), ("event.first-order", "ordered", True), ("event.trouble", "calmed", True), ("event.trouble", "error", False), ("event.return", "returned", True), ("event.return", "click", False),
+    ("event.offer", "view", True),
+]
+_EVENT_FOLLOW_UPS = [("event.first-order", "event.return", True), ("event.offer", "event.return", True), ("event.loyal", "event.offer", False)]
+EVENT_RULES = (_EVENT_RULES, _EVENT_TRIGGERS, _EVENT_BLOCKERS, _EVENT_EFFECTS, _EVENT_FOLLOW_UPS)
+
+
+@registered(None)
+def story_events(read):
+    flags = read("events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("flag"))
+    t = flags.sparkSession.createDataFrame
+    rule, condition = "rule_id string, priority string, repeat string, enabled boolean, new_arc boolean", "rule_id string, flag string"
+    tables = (t(_EVENT_RULES, rule), t(_EVENT_TRIGGERS, condition), t(_EVENT_BLOCKERS, condition), t(_EVENT_EFFECTS, f"{condition}, sets boolean"), t(_EVENT_FOLLOW_UPS, "rule_id string, other_id string, enables boolean"))
+    return events.fired(flags, *tables)
+
+
+_SHINGLES = r"""w AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT which, id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+c AS (SELECT which, g, min(id) AS class_id FROM s GROUP BY 1, 2), x AS (SELECT which, class_id, len(g) AS n, unnest(g) AS k FROM c),
+p AS (SELECT a.class_id AS body_class, b.class_id AS prompt_class, count(*)::INT AS shared, a.n::INT AS n FROM x a JOIN x b ON a.k = b.k AND a.which = 'a' AND b.which = 'b' GROUP BY 1, 2, a.n),
+l AS (SELECT * FROM p WHERE 100 * shared >= 80 * n)"""
+_BODIES = f"WITH t AS (SELECT 'a' AS which, item_id AS id, text FROM benchmark UNION ALL SELECT 'b', doc_id, text FROM documents), {_SHINGLES}"
+
+
+@registered(f"{_BODIES} SELECT * FROM l")
+def bodies_in_prompts(read):
+    return overlap.contained(read("benchmark"), read("documents"), "item_id", "doc_id")[0]
+
+
+@registered(f"""{_BODIES} SELECT s.id AS item_id, class_id, len(g)::INT AS n_shingles, (SELECT count(*) FROM l WHERE body_class = class_id) AS n_links FROM s JOIN c USING (which, g) WHERE which = 'a'""")
+def body_links(read):
+    return overlap.contained(read("benchmark"), read("documents"), "item_id", "doc_id")[1]

@@ -31,10 +31,11 @@ def rows_of(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert catalog.QUERIES.keys() == catalog.ORACLE_SQL.keys()
+    # event rules are a fixpoint with priorities: test_mechanisms.py holds the query against a loop
+    assert catalog.QUERIES.keys() - catalog.ORACLE_SQL.keys() == {"story_events"} and catalog.ORACLE_SQL.keys() <= catalog.QUERIES.keys()
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF_ORACLE)
     want = duck.execute(catalog.ORACLE_SQL[name])

@@ -92,6 +92,14 @@ def test_events_that_block_themselves_go_round_or_never_begin(spark):
     assert spark_events(spark, [], [rule("x")], [("x", "a")], [], [], [], 3) == []
 
 
+def test_events_on_the_table(spark, sf):
+    from foliolens.plans import catalog
+
+    flags = sorted({(r.user_id, r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()})
+    got = sorted(map(tuple, catalog.QUERIES["story_events"](spark, sf).collect()))
+    assert got == plain_events(flags, *catalog.EVENT_RULES, 100) and got
+
+
 # --- held scores -------------------------------------------------------------------------------------------
 
 
@@ -197,3 +205,27 @@ def test_confusable_names_against_all_pairs(spark):
         got = {tuple(x) for x in rules.confusable(spark.createDataFrame([(n,) for n in names], "n string"), "n", edits).collect()}
         assert got == {(a, b) for a in split for b in split if a < b and plain_distance(split[a], split[b]) <= edits}
     assert ("anna", "hanna") in got
+
+
+# --- titles --------------------------------------------------------------------------------------------------
+
+
+def test_titles_are_made_unique_as_by_a_loop(spark):
+    from foliolens.operators import audits, segments
+    from foliolens.sources import corpus
+
+    r = random.Random(3)
+    rows = [(g, i, r.choice(["a", "b", "a (2)", "a (3)", "a (2) (2)", "b (2)", "c", None] if g % 2 else ["a", "b", "c"])) for g in range(12) for i in range(r.randrange(1, 14))]
+    want = {}
+    for g, i, t in rows:
+        taken, key, n = want.setdefault(g, {}), t, 2
+        while t is not None and key in taken:
+            key, n = f"{t} ({n})", n + 1
+        taken[key if t is not None else (i,)] = (i, key)
+    got = segments.number_repeats(spark.createDataFrame(rows, "g int, pos int, title string").repartition(5), ["g"], "title", "pos")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((g, *x) for g, t in want.items() for x in t.values()), key=str)
+    docs = spark.createDataFrame([("f", "# a\nx\n# a (2)\ny\n# a\nz\n")], "name string, text string")
+    found = segments.sections(docs)
+    assert sorted(x.title for x in found.collect()) == ["a", "a (2)", "a (3)"]
+    same = audits.snapshot_counts(audits.snapshot_diff(corpus.stamp(corpus.stamps(found)), found, ["file", "title"]), "file").collect()
+    assert [tuple(x) for x in same] == [("f", 0, 0, 0, 3)]
