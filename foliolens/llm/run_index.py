@@ -23,52 +23,62 @@ BORDER = 0xFF
 _U = np.uint64
 
 
-def _ranked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks by position, and positions in order, of sorted numbers whose low 21 bits are the position."""
-    at = (packed & _U(MOST_BYTES)).astype(np.int32)
-    new = np.ones(len(packed), bool)
-    key = packed >> _U(21)
-    new[1:] = key[1:] != key[:-1]
-    rank = np.empty(len(packed), np.int32)
-    rank[at] = np.cumsum(new, dtype=np.int32) - 1
-    return rank, at
-
-
 def sort_contexts(text: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
-    """Positions by their next ``context`` bytes (ties by position), and for each whether its context differs from the one before."""
+    """Positions by their next ``context`` bytes (ties by position), and for each whether its context differs from the one before.
+
+    Sorted by five bytes first, then by twice as many each time; a position's rank is the first row of those alike so far, and
+    only positions that are not alone in theirs are sorted on.
+    """
     n = len(text)
     padded = np.full(n + 8, BORDER, np.uint8)
     padded[:n] = text
-    own = np.arange(n, dtype=_U)
-    five = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(_U) >> _U(24)
-    packed = five << _U(21) | own
+    packed = (np.ndarray((n,), ">u8", padded, strides=(1,)).astype(_U) >> _U(24)).view(np.int64)
+    packed <<= 21
+    packed |= np.arange(n)
     packed.sort()
-    rank, at = _ranked(packed)
+    at, new = packed & MOST_BYTES, np.ones(n, bool)
+    packed >>= 21
+    new[1:] = packed[1:] != packed[:-1]
+    rank = np.full(n + context, n, np.int32)  # beyond the end is as a row of borders
+    rank[at] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     done = 5
     while done < context:
         step = min(done, context - done)
-        after = np.full(n, n, np.int32)  # beyond the end is as a row of borders
-        after[: n - step] = rank[step:]
-        packed = rank.astype(_U) << _U(43) | after.astype(_U) << _U(21) | own
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        rows = np.flatnonzero(~alone)
+        if not len(rows):
+            break
+        open_ = np.zeros(n, bool)
+        open_[at[rows]] = True
+        own = np.flatnonzero(open_)  # by position, so ranks are read in order
+        packed = rank[own].astype(np.int64)
+        packed <<= 21
+        packed |= rank[step : step + n][open_]
+        packed <<= 21
+        packed |= own
         packed.sort()
-        rank, at = _ranked(packed)
+        own = packed & MOST_BYTES
+        packed >>= 21
+        at[rows], new[rows[1:]] = own, packed[1:] != packed[:-1]
+        rank[own] = np.maximum.accumulate(np.where(new[rows], rows, 0))
         done += step
-    ranks = rank[at]
-    return at, np.append(True, ranks[1:] != ranks[:-1])
+    return at.astype(np.int32), new
 
 
 class RunIndex:
     """Runs, their sampled ends, and the earliest position of every context that occurs again."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray | None = None):
-        """``ends``: places of the text whose rows are kept, for streams of the text itself to begin at."""
+        """``ends``: ends of pieces of the text, in order; their rows are kept, for streams of the text itself to begin at, and
+        whether a context in the piece occurs again: others need not be streamed."""
         if len(text) >= MOST_BYTES:
             raise ValueError(f"an index holds less than {MOST_BYTES} bytes")
         text = np.append(text, np.uint8(BORDER))  # so what is before the first byte is the last one
         self.text = np.concatenate([text, np.full(CONTEXT, BORDER, np.uint8)])
         at, new = sort_contexts(text)
         before = text[at - 1]
-        self.end_rows = None
+        self.end_rows, self.live = None, None
         if ends is not None:
             rows = np.empty(len(text), np.int32)
             rows[at] = np.arange(len(text), dtype=np.int32)
@@ -98,6 +108,12 @@ class RunIndex:
         group = np.flatnonzero(new)
         length = np.diff(np.append(group, len(text)))
         again = length > 1
+        if ends is not None:  # which stretches up to these ends hold a context that occurs again
+            inner = np.ones(len(text), bool)
+            inner[group[~again]] = False
+            flag = np.zeros(len(text), bool)
+            flag[at[inner]] = True
+            self.live = np.logical_or.reduceat(flag, np.maximum(np.append(0, ends[:-1] - CONTEXT + 1), 0)) if len(ends) else flag[:0]
         self.group, self.group_end, self.earliest = group[again].astype(np.int32), (group + length)[again].astype(np.int32), at[group[again]]
 
     def __len__(self) -> int:
@@ -176,7 +192,10 @@ class RunIndex:
         out = np.zeros(len(self.text), bool)
         if not len(self.group):
             return out
-        for _, place, match, row in self.stream(self.text, starts, ends, self.end_rows):
+        rows = self.end_rows
+        if rows is not None:
+            starts, ends, rows = starts[self.live], ends[self.live], rows[self.live]
+        for _, place, match, row in self.stream(self.text, starts, ends, rows):
             full = np.flatnonzero(match == CONTEXT)
             at = np.maximum(np.searchsorted(self.group, row[full].astype(np.int32), "right") - 1, 0)
             inside = (self.group[at] <= row[full]) & (row[full] < self.group_end[at]) & (self.earliest[at] < place[full])

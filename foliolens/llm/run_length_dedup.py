@@ -106,17 +106,21 @@ def _bucket(least: np.ndarray) -> np.ndarray:
     return mix(least.astype(_U)).astype(np.uint32)
 
 
+def _chosen(key: np.ndarray, least: np.ndarray, is_window: np.ndarray) -> np.ndarray:
+    """Places whose key is the least of some window; a window's bucket is that of such a place within it."""
+    width = CONTEXT - MINIMISER + 1
+    least = np.concatenate([np.zeros(width - 1, np.uint32), np.where(is_window, least, np.uint32(0))])
+    return np.flatnonzero(key == _sliding(least, width, np.maximum)[: len(key)])
+
+
 def _held(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Which texts have a minimiser in which bucket."""
-    width = CONTEXT - MINIMISER + 1
     for batch in batches:
         for lo, hi, raw, offs, _ in _blocks(batch["text"], block):
             if len(raw) < CONTEXT:
                 continue
             key, least = _minimisers(raw, offs, ORDERS[0])
-            least[~_is_window(offs)] = 0
-            most = _sliding(np.concatenate([np.zeros(width - 1, np.uint32), least]), width, np.maximum)[: len(raw)]
-            at = np.flatnonzero(key == most)  # the least of some window
+            at = _chosen(key, least, _is_window(offs))
             pair, n = np.unique(np.searchsorted(offs, at, "right").astype(_U) - _U(1) << _U(32) | _bucket(key[at]), return_counts=True)
             row = (pair >> _U(32)).astype(np.int64)
             keys, versions = batch["key"].slice(lo, hi - lo).to_numpy()[row], batch["version"].slice(lo, hi - lo).to_numpy()[row]
@@ -162,8 +166,9 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], block: int, hot) -> Iterator
             some = asked_of.slice(lo, hi - lo)
             owner = np.repeat(np.arange(hi - lo), some.value_lengths().to_numpy()).astype(_U)
             asked = owner << _U(32) | some.flatten().to_numpy().astype(_U)
-            _, least = _minimisers(raw, offs, ORDERS[0])
-            place = np.flatnonzero(_is_window(offs))
+            keys, least = _minimisers(raw, offs, ORDERS[0])
+            is_window = _is_window(offs)
+            place = np.flatnonzero(is_window)
             row = (np.searchsorted(offs, place, "right") - 1).astype(np.int32)
             first, last = _runs(row, least[place])
             travels = np.isin(row[first].astype(_U) << _U(32) | _bucket(least[place[first]]), asked)
@@ -172,7 +177,11 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], block: int, hot) -> Iterator
             if not len(place):
                 continue
             key, version = (batch[c].slice(lo, hi - lo).to_numpy() for c in ("key", "version"))
-            first, last = _runs(row, place - np.arange(len(place)))
+            # windows around the one place of their bucket in the block differ from each other and from all others in it
+            names, n = np.unique(_bucket(keys[_chosen(keys, least, is_window)]), return_counts=True)
+            some = np.flatnonzero(np.isin(_bucket(least[place]), names[n > 1]))
+            first, last = _runs(row[some], place[some] - np.arange(len(some)))
+            first, last = some[first], some[last]
             order = np.lexsort((place[first], version[row[first]], key[row[first]]))
             seen = _repeated(raw, place[first][order], place[last][order] + CONTEXT, block)[place]
             bucket = np.where(seen, np.uint32(0), _bucket(least[place]))
@@ -211,6 +220,11 @@ class _Chunk:
 
     def settle(self) -> Iterator[pa.RecordBatch]:
         bucket, key, version, start = (np.concatenate(x) for x in zip(*self.columns))
+        # a string alone in its bucket meets nothing: what it holds twice its block has settled; the last one may go on
+        alone = np.append(True, bucket[1:] != bucket[:-1]) & np.append(bucket[1:] != bucket[:-1], False) & (bucket != self.bucket if self.bucket is not None else True)
+        if alone.any():
+            bucket, key, version, start = (x[~alone] for x in (bucket, key, version, start))
+            self.texts = [t for t, one in zip(self.texts, alone.tolist()) if not one]
         size = np.array([len(t) for t in self.texts])
         begin = np.cumsum(size + 1) - size - 1
         raw = np.frombuffer(bytes([BORDER]).join(self.texts) + bytes([BORDER]), np.uint8)
