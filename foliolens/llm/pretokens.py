@@ -29,11 +29,13 @@ class Known:
     """The ids of the chunks that a worker has met, by the chunks' hashes.
 
     Chunks lie in sorted parts, each at least twice as long as the next, so that adding copies little; beyond
-    ``CACHE_BYTES`` all but the newest part are forgotten.  What the ids decode to is held against the text:
+    ``limit`` bytes the oldest part is forgotten.  What the ids decode to is held against the text:
     chunks for which that differs (a hash met twice, or bytes that no id gives back) are encoded by themselves.
     """
 
-    def __init__(self, decoded: list[bytes]):
+    def __init__(self, decoded: list[bytes], limit: int = CACHE_BYTES):
+        self.limit = limit
+        self.exact = True  # whether the ids of the last call decode to the very text
         self.table = np.frombuffer(b"".join(decoded), np.uint8)
         self.sizes = np.array([len(x) for x in decoded], np.int64)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, ids, how many ids each has
@@ -45,7 +47,7 @@ class Known:
             h, f, n = np.concatenate([h1, h2]), np.concatenate([f1, f2]), np.concatenate([n1, n2])
             order = np.argsort(h, kind="stable")
             self.parts[-2:] = [(h[order], spread(f, n, order)[0], n[order])]
-        if sum(x.nbytes for p in self.parts for x in p) > CACHE_BYTES:
+        if sum(x.nbytes for p in self.parts for x in p) > self.limit:
             self.parts = self.parts[1:]
 
     def _lookup(self, hashes, raw, starts, ends, encode) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +77,7 @@ class Known:
 
         The chunks cover ``raw`` without gaps.
         """
+        self.exact = True
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         hashes, first, inverse = np.unique(spans_hash(raw, starts, ends), return_index=True, return_inverse=True)
@@ -82,6 +85,7 @@ class Known:
         back, length = spread(self.table, self.sizes, flat)
         if len(back) == len(raw) and (back == raw).all():
             return flat, n
+        self.exact = False
         size = per_row(length, np.repeat(np.arange(len(n)), n), len(n))
         wrong = size != ends - starts
         fits = np.flatnonzero(~wrong)

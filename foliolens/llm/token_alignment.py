@@ -38,6 +38,8 @@ from foliolens.llm.words import SEPARATOR
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Id pairs (16 bytes each and their place in a hash table) up to which their counts are broadcast.
 BROADCAST_PAIRS = 4_000_000
+#: Bytes that a worker's remembered chunks of either side may take.
+CACHE_BYTES = 20 << 20
 #: Bits of an id in a packed pair.
 ID_BITS = 24
 
@@ -71,24 +73,27 @@ class _Worker:
     """Both encoders and their remembered chunks."""
 
     def __init__(self, names: Vocabularies):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(names.a)
-        self.tokenizer.encode_special_tokens = True
-        to_byte = _byte_alphabet()
-        decoded = [b""] * self.tokenizer.get_vocab_size()
-        for piece, i in self.tokenizer.get_vocab().items():
+        model, to_byte = json.loads(names.a)["model"], _byte_alphabet()
+        decoded = [b""] * (max(model["vocab"].values()) + 1)
+        for piece, i in model["vocab"].items():
             decoded[i] = bytes(to_byte[c] for c in piece) if all(c in to_byte for c in piece) else piece.encode()
-        self.a, self.bulk = Known(decoded), _ranked(json.loads(names.a)["model"], decoded)
+        self.names, self.tokenizer = names, None
+        self.a, self.bulk = Known(decoded, CACHE_BYTES), _ranked(model, decoded)
         self.pieces = sp = sentencepiece.SentencePieceProcessor(model_proto=names.b)
-        self.b = Known([bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())])
-        self.mark = sp.piece_to_id(MARK)
+        spelled = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())]
+        self.b, self.mark = Known(spelled, CACHE_BYTES), sp.piece_to_id(MARK)
 
     def encode_a(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.bulk is not None and not _ODD_SPACE.search(b"".join(new)):
             return encode_chunks(self.bulk, new)
+        if self.tokenizer is None:  # the library itself takes memory, and few texts need it
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.names.a)
+            self.tokenizer.encode_special_tokens = True
         found = [self.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in new]
         return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
 
@@ -131,15 +136,14 @@ def _ranked(model: dict, decoded: list[bytes]):
 
 
 def _ends(known: Known, ids: np.ndarray, count: np.ndarray, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    back, length = spread(known.table, known.sizes, ids)
-    upto = np.append(0, np.cumsum(length))
+    upto = np.cumsum(known.sizes[ids])
     at = np.append(0, np.cumsum(count))
-    ends = upto[1:] - np.repeat(upto[at[:-1]], count)
-    if len(back) == len(raw) and (back == raw).all():
-        same = np.ones(len(count), bool)
-    else:
-        same = np.array([np.array_equal(back[upto[at[i]] : upto[at[i + 1]]], raw[offs[i] : offs[i + 1]]) for i in range(len(count))], bool)
-    return ends, count, same
+    begin = np.append(0, upto)[at]
+    same = np.ones(len(count), bool)
+    if not known.exact:
+        back, _ = spread(known.table, known.sizes, ids)
+        same = np.array([np.array_equal(back[begin[i] : begin[i + 1]], raw[offs[i] : offs[i + 1]]) for i in range(len(count))], bool)
+    return upto - np.repeat(begin[:-1], count), count, same
 
 
 _WORKERS: dict[str, _Worker] = {}
@@ -180,31 +184,34 @@ def _with(value: Column, use) -> Column:
 
 
 def _places(ends: str, borders: str) -> Column:
-    """How many tokens end at or before each border: a border and its like among the ends stand side by side once sorted."""
+    """0, and how many tokens end at or before each border: a border and its like among the ends stand side by side once sorted."""
     both = F.sort_array(F.concat(ends, borders))
     twins = lambda s: F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) == F.get(s, i - 1))
-    return F.when(F.size(borders) > 0, F.transform(_with(both, twins), lambda i, k: i - k)).otherwise(F.array().cast("array<int>"))
+    found = F.when(F.size(borders) > 0, F.transform(_with(both, twins), lambda i, k: i - k)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.lit(0)), found)
 
 
 def _group(k: Column) -> Column:
     """The text of a group: mostly one token of each side."""
 
     def side(ids: str, places: str) -> Column:
-        upto, before = F.get(places, k), F.coalesce(F.get(places, k - 1), F.lit(0))
-        return F.when(upto - before == 1, F.get(ids, upto - 1).cast("string")).otherwise(F.array_join(F.slice(ids, before + 1, upto - before).cast("array<string>"), ","))
+        return F.array_join(F.slice(ids, F.get(places, k) + 1, F.get(places, k + 1) - F.get(places, k)).cast("array<string>"), ",")
+
+    def one(ids: str, places: str) -> Column:
+        return F.get(ids, F.get(places, k)).cast("string")
 
-    return F.concat(side("a", "a_at"), F.lit("|"), side("b", "b_at"))
+    single = (F.get("a_at", k + 1) - F.get("a_at", k) == 1) & (F.get("b_at", k + 1) - F.get("b_at", k) == 1)
+    return F.when(single, F.concat(one("a", "a_at"), F.lit("|"), one("b", "b_at"))).otherwise(F.concat(side("a", "a_at"), F.lit("|"), side("b", "b_at")))
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """``tokenise``'s rows with borders (byte offsets), a_at and b_at (tokens up to each border), groups (as text) and links (packed id pairs)."""
+    """``tokenise``'s rows with borders (byte offsets), a_at and b_at (0, and tokens up to each border), groups (as text) and
+    links (packed id pairs)."""
     rows = tokens.withColumn("borders", F.array_intersect("a_ends", "b_ends"))
     rows = rows.withColumn("a_at", _places("a_ends", "borders")).withColumn("b_at", _places("b_ends", "borders"))
-    pair = lambda i, j: F.shiftleft(F.get("a", i - 1).cast("long"), ID_BITS).bitwiseOR(F.get("b", j - 1).cast("long"))
-    each = F.sequence(F.lit(0), F.size("borders") - 1)
-    return rows.withColumn("links", F.zip_with("a_at", "b_at", pair)).withColumn(
-        "groups", F.when(F.size("borders") > 0, F.array_join(F.transform(each, _group), ";")).otherwise("")
-    )
+    pair = lambda k: F.shiftleft(F.get("a", F.get("a_at", k) - 1).cast("long"), ID_BITS).bitwiseOR(F.get("b", F.get("b_at", k) - 1).cast("long"))
+    each = lambda first, last, use, none: F.when(F.size("borders") > 0, F.transform(F.sequence(F.lit(first), F.size("borders") + last), use)).otherwise(F.array().cast(none))
+    return rows.withColumn("links", each(1, 0, pair, "array<long>")).withColumn("groups", F.array_join(each(0, -1, _group, "array<string>"), ";"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
