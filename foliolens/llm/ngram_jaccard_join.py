@@ -16,7 +16,9 @@ No list is expanded into all its pairs at once: members are first held against t
 against the smallest of their part of the list (long lists fall into parts of about ``LIST_PART``); what that
 connects is one component.  Lists that then hold several components are gone through once more, in an order of
 each list's own.  Only pairs across components remain, and of these only those whose signatures (bits of which each
-token turns one, so that they differ in no more bits than the sets do in tokens) leave room for a link.  A token
+token turns one, so that they differ in no more bits than the sets do in tokens) leave room for a link.  Short lists are
+joined for that; members of long ones meet in blocks of two parts, where numpy compares them and only pairs that pass
+become rows.  The comparisons within a list of sets that are much alike but not linked still grow with its square.  A token
 that many sets of a batch have is sent once with all of them, so a frequent token makes as many rows as there are
 batches.
 
@@ -53,6 +55,8 @@ ZONE = 4 / 3
 BROADCAST_IDS = 100_000
 #: Members of a list that are held against the same least one.
 LIST_PART = 512
+#: Members up to which what is left of a list is joined with itself; longer ones are compared in blocks.
+SHORT_LIST = 48
 #: Longs of a set's signature.
 SIGNATURE = 8
 
@@ -258,8 +262,10 @@ def heavy_links(lists_: DataFrame, sets: DataFrame, light: DataFrame, percent: i
     if not more.isEmpty():
         first = first.unionByName(more)
         rows = _across(lists_, first, sets)
-    meet = rows.select("token", "x").join(rows.select("token", F.col("x").alias("y")), "token").filter("x.rep < y.rep and x.comp <> y.comp").filter(_may_link("x", "y", percent) & _may_agree("x", "y", percent))
-    rest = meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    few = rows.filter(f"members <= {SHORT_LIST}")
+    meet = few.select("token", "x").join(few.select("token", F.col("x").alias("y")), "token").filter("x.rep < y.rep and x.comp <> y.comp").filter(_may_link("x", "y", percent) & _may_agree("x", "y", percent))
+    meet = meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).unionByName(_in_blocks(rows.filter(f"members > {SHORT_LIST}"), percent))
+    rest = meet.distinct().join(pairs, ["a", "b"], "left_anti")
     return first.unionByName(verified(rest, sets, percent))
 
 
@@ -285,6 +291,35 @@ def _other_neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
+def _in_blocks(rows: DataFrame, percent: int, part: int = LIST_PART) -> DataFrame:
+    """Pairs (a, b) of long lists' members that may link: lists fall into parts, and every two parts meet in one block.
+
+    A block holds about two parts, whose places and signatures are compared in numpy a row of the block at a time; only
+    pairs that pass are rows.  A member is sent once for each part of its list.
+    """
+    parts = F.expr(f"members div {part} + 1").cast("int")
+    dealt = rows.withColumn("p", F.pmod(F.xxhash64(F.col("x.rep")), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("token", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", *(F.col(f"x.{c}").alias(c) for c in ("rep", "n", "pos", "comp", "s")))
+
+    def compare(block: pa.Table) -> pa.Table:
+        p, i, j, rep, n, pos, comp = (block[c].to_numpy() for c in ("p", "i", "j", "rep", "n", "pos", "comp"))
+        s = block["s"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE)
+        same, a, b = i[0] == j[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        right = np.arange(len(p)) if same else np.flatnonzero(p == j[0])
+        for x in range(len(p)) if same else np.flatnonzero(p == i[0]):
+            y = right[right > x] if same else right
+            y = y[comp[y] != comp[x]]
+            least = np.ceil((n[x] + n[y]) * percent / (100.0 + percent) - 1e-9)
+            y = y[(np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least)]
+            least = np.ceil((n[x] + n[y]) * percent / (100.0 + percent) - 1e-9)
+            y = y[np.bitwise_count(s[x] ^ s[y]).sum(1, dtype=np.int64) <= n[x] + n[y] - 2 * least]
+            a.append(np.minimum(rep[x], rep[y]))
+            b.append(np.maximum(rep[x], rep[y]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return dealt.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row.
 

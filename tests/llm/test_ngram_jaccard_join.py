@@ -65,7 +65,10 @@ def test_matches_all_pairs(spark, docs_of, k, percent):
     assert got == brute(rows, k, percent)
 
 
-def test_one_large_group_and_a_common_passage(spark, docs_of):
+@pytest.mark.parametrize("short,part", [(join.SHORT_LIST, join.LIST_PART), (2, 30)])
+def test_one_large_group_and_a_common_passage(spark, docs_of, monkeypatch, short, part):
+    monkeypatch.setattr(join, "SHORT_LIST", short)
+    monkeypatch.setattr(join, "LIST_PART", part)
     r = random.Random(5)
     base = [f"w{r.randrange(10**6)}" for _ in range(150)]
     common = [f"c{i}" for i in range(40)]
@@ -149,3 +152,24 @@ def test_components_of_a_long_path(spark):
     for part in (ids[1:101], ids[101:201], ids[201:]):
         want |= dict.fromkeys(part, min(part))
     assert got == want
+
+
+@pytest.mark.parametrize("many", [200, 400])
+def test_long_lists_make_rows_of_members_and_not_of_pairs(spark, many):
+    """Sets of one list, much alike and not linked: blocks give none but the pairs that may link, each once."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(many)
+    base = [r.getrandbits(63) for _ in range(200)]
+    sets = []
+    for i in range(many):
+        own = sorted(r.sample(base, 140) + [r.getrandbits(63) for _ in range(10)])
+        sets.append((i, own))
+    sets += [(many + i, sorted(sets[i][1][:-2] + [1 + i])) for i in range(5)]
+    df = spark.createDataFrame(sets, "node long, tokens array<long>")
+    rows = join.signed(df).select(F.lit(7).cast("long").alias("token"), F.lit(len(sets)).cast("long").alias("members"), F.struct(F.col("node").alias("rep"), F.lit(150).cast("long").alias("n"), F.lit(3).cast("long").alias("pos"), F.col("node").alias("comp"), "s").alias("x"))
+    got = {(x.a, x.b) for x in join._in_blocks(rows, 85, part=64).collect()}
+    signature = {i: join.signature(np.array(t, np.uint64)) for i, t in sets}
+    allowed = 300 - 2 * join.need(150, 150, 85)
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if int(np.bitwise_count(signature[a].view(np.uint64) ^ signature[b].view(np.uint64)).sum()) <= allowed}
+    assert got == want and {(i, many + i) for i in range(5)} <= got and len(got) < len(sets)
