@@ -221,8 +221,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "doc_id", "score"])
 
         part = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long, score double")
+        part = cut(_best(part, k))  # a query is in one pass, so its k best are final, and the pass's queries can go
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    return _best(spark.createDataFrame([], "query_id long, doc_id long, score double"), k) if found is None else found
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over all shards' own k best."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

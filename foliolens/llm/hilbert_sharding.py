@@ -58,18 +58,19 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def _borders(df: DataFrame, dimensions, bits: int) -> list[list]:
-    """The values at which the bins after the first begin, for each dimension."""
+    """For each dimension the values at which bins begin, and the bins' numbers: how many 2**bits-th parts of the rows lie
+    below, so that a frequent value takes up as much of the axis as it has rows."""
     shares = [i / 2**bits for i in range(1, 2**bits)]
     numbers = [F.percentile_approx(n, shares, 10_000).alias(f"d{i}") for i, (n, kind) in enumerate(dimensions) if kind == "number"]
     found = df.agg(*numbers).first() if numbers else {}
     out = []
     for i, (name, kind) in enumerate(dimensions):
         if kind == "number":
-            out.append(sorted(set(found[f"d{i}"] or [])))
+            out.append(sorted({v: n for n, v in enumerate(found[f"d{i}"] or [], 1)}.items()))
             continue
         counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("rows"))
         ranked = running(counts, ["value"], F.col("rows")).groupBy(F.expr(f"(before * {2**bits}) div total").alias("bin")).agg(F.min("value").alias("value"))
-        out.append(sorted(r.value for r in ranked.filter("bin > 0").collect()))  # 2**bits at most
+        out.append(sorted((r.value, r.bin) for r in ranked.filter("bin > 0").collect()))  # 2**bits at most
     return out
 
 
@@ -77,7 +78,8 @@ def curve(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, name: str = "c
     """``df`` with each row's place on the curve."""
     bins = []
     for (column, _), borders in zip(dimensions, _borders(df, dimensions, bits)):
-        bins.append(sum((F.when(F.col(column) >= c, 1).otherwise(0) for c in borders), F.lit(0)).cast("int"))
+        steps = zip(borders, [0, *(n for _, n in borders)])
+        bins.append(sum((F.when(F.col(column) >= c, n - before).otherwise(0) for (c, n), before in steps), F.lit(0)).cast("int"))
 
     @F.pandas_udf("long")
     def index(*axes: pd.Series) -> pd.Series:

@@ -66,19 +66,27 @@ def _pieces(i: int, rule: Rule) -> Column:
     return F.when(F.size(f"m{i}") > 0, F.transform(both, piece)).otherwise(none)
 
 
+#: New blobs (a hash and the rules that it lacks, some 300 bytes) up to which they are broadcast to find their texts.
+BROADCAST_BLOBS = 50_000
+
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Spans of the blob and rule-version pairs that ``ledger`` (blob, kind, version) lacks.
 
     Returns blob, kind_no (the rule's place in ``rules``), kind, version, start, end, base.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    texts = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
     have = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     if ledger is None:
-        blobs = blobs.withColumn("todo", have)
-    else:
+        blobs = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", have)
+    else:  # hashes meet the ledger first, so that texts which it has are not shuffled
         done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
-        blobs = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(have, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
+        todo = texts.select("blob").distinct().join(done, "blob", "left").select("blob", F.array_except(have, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+        todo = cut(todo.filter(F.size("todo") > 0))
+        few = todo.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+        blobs = texts.join(F.broadcast(todo) if few else todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     for i, r in enumerate(rules):
         blobs = blobs.withColumn(f"m{i}", F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))))
     found = blobs.filter(" or ".join(f"size(m{i}) > 0" for i in range(len(rules))))
