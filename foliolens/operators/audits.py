@@ -89,7 +89,8 @@ def previous_owner(entries: DataFrame, entry: str = "entry_id", order: str = "ra
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that occur more than once, and how often; nulls are no key."""
-    return rows.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    counts = rows.dropna(subset=list(key)).groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(F.count("*").alias("__count"))
+    return counts.filter("__count > 1").toDF(*key, "n")
 
 
 def repeats_after_first(rows: DataFrame, order: str, *key: str) -> DataFrame:
@@ -166,14 +167,17 @@ def route(title: Column, rules: list[tuple[str, str]], default: str) -> Column:
 
 
 def symbol_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with symbol, kind, n (occurrences) and first_pos (from 1) of every classified character.
+    """All columns of ``docs`` with symbol, kind, n (occurrences) and first_pos (from 1) of every classified character;
+    columns of ``docs`` with these names are replaced.
 
     Characters are classified before they become rows, so a text without symbols makes none.
     """
     marked = F.filter(F.transform(characters(F.col(text)), lambda c: F.struct(c.alias("symbol"), symbol_class(c).alias("kind"))), lambda x: x["kind"].isNotNull())
-    rows = docs.withColumn("__s", F.explode(marked)).select("*", "__s.symbol", "__s.kind").drop("__s")
-    n = F.length(text) - F.length(F.replace(F.col(text), F.col("symbol"), F.lit("")))
-    return rows.withColumn("n", n.cast("long")).withColumn("first_pos", F.instr(F.col(text), F.col("symbol")))
+    rows = docs.withColumn("__s", F.explode(marked))
+    n = F.length(text) - F.length(F.replace(F.col(text), F.col("__s.symbol"), F.lit("")))
+    first = F.instr(F.col(text), F.col("__s.symbol"))
+    kept = [c for c in docs.columns if c not in ("symbol", "kind", "n", "first_pos")]
+    return rows.select(*kept, F.col("__s.symbol"), F.col("__s.kind"), n.cast("long").alias("n"), first.alias("first_pos"))
 
 
 def symbol_use(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -281,11 +285,6 @@ def unreachable(axes: DataFrame, published: DataFrame, text: str = "text") -> Da
     return gone.select("axis", "slug", F.when(F.col("axis") == "characters", "INFO").otherwise("FAIL").alias("severity"))
 
 
-def placement(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """All columns of ``expected`` with ``filled``: whether the key was found."""
-    return expected.join(found.select(key).distinct().withColumn("filled", F.lit(True)), key, "left").withColumn("filled", F.coalesce("filled", F.lit(False)))
-
-
 def inventory(expected: DataFrame, files: DataFrame, key: str = "rel_path", axis: str = "axis", size: str = "bytes") -> DataFrame:
     """Findings on image files: FAIL for unknown or huge ones and for none at all, INFO for heavy and missing ones."""
     unknown = files.join(expected, key, "left_anti")

@@ -1,9 +1,9 @@
 """Which texts contain which phrases: a substring join by equality on an anchor of each phrase.
 
 A phrase of three words or more can only be in a text that has the phrase's inner words as words of its own; its
-anchor is the longest of them.  Any other phrase is anchored by its first characters, ``ANCHOR`` at most.  Texts
-offer their distinct words and runs of that many characters, so the work grows with the texts and not with texts
-times phrases.  What meets by its anchor is then checked by ``contains``.
+anchor is the longest of them.  Any other phrase is anchored by its first characters, as many of ``ANCHORS`` as it has.
+Texts offer their distinct words and runs of those lengths that are asked for, mostly one, so the work grows with the
+texts and not with texts times phrases.  What meets by its anchor is then checked by ``contains``.
 
 Empty phrases match nothing, null texts and null phrases neither; repeated rows match each.
 """
@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 
 #: Phrases up to which anchors are looked up within each text's row; more meet the texts by a shuffle join.
 BROADCAST_PHRASES = 5_000
-#: Characters by which phrases of one or two words meet texts.
-ANCHOR = 8
+#: Characters by which phrases of one or two words meet texts, the most first.
+ANCHORS = (6, 4, 2, 1)
 
 
 def _anchor(phrase: Column) -> Column:
     """``w`` and the longest inner word, or the number of characters and that many of the first ones."""
     inner = F.filter(F.slice(F.split(phrase, " "), 2, F.greatest(F.size(F.split(phrase, " ")) - 2, F.lit(0))), lambda w: w != "")
     word = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    size = F.least(F.length(phrase), F.lit(ANCHOR))
+    size = F.lit(ANCHORS[-1])
+    for n in ANCHORS[-2::-1]:
+        size = F.when(F.length(phrase) >= n, n).otherwise(size)
     return F.coalesce(F.concat(F.lit("w"), word), F.concat(size.cast("string"), F.substring(phrase, F.lit(1), size)))
 
 
@@ -45,7 +47,7 @@ def contains_join(texts: DataFrame, phrases: DataFrame, text: str, phrase: str,
     if set(texts.columns) & set(phrases.columns):
         raise ValueError(f"columns in both tables: {sorted(set(texts.columns) & set(phrases.columns))}")
     phrases = phrases.filter(F.col(phrase) != "").withColumn("__at", _anchor(F.col(phrase)))
-    # one small job on the phrases: how many there are decides the way, and the kinds are ANCHOR + 1 at most
+    # one small job on the phrases: how many there are decides the way, and the kinds are those of ANCHORS and words
     many, kinds = phrases.agg(F.count("*"), F.sort_array(F.collect_set(F.substring("__at", 1, 1)))).first()
     offers = _offers(F.col(text), kinds)
     if many <= limit:

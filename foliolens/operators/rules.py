@@ -16,8 +16,7 @@ from foliolens.operators.contains import contained_nowhere
 MOST_ENTRIES, KEYWORD_CHARS, NAME_CHARS = 20, 10, 20
 MOST_SHORTCUTS, SHORTCUT_NAME, SHORTCUT_DESCRIPTION, SHORTCUT_PROMPT = 20, 10, 30, 400
 
-# Words of the workshop, leftovers and slogans that published text must not hold.
-PRODUCTION = ("OOC", "프롬프트", "시스템", "규칙", "세션", "턴", "SAFE", "UNSAFE", "키워드북")
+# Leftovers and slogans that published text must not hold.
 RESIDUE = r"https?://|TODO|미정|(^|[\s(])[\w.-]+/[\w./-]+\.(md|json|png)"
 EMPHASIS = ("CRITICAL", "최우선", "절대")
 
@@ -42,7 +41,9 @@ def outside(rows: DataFrame, value: str | Column, least: float | None = None, mo
 
 def counts_outside(rows: DataFrame, within: str | list[str], least: int, most: int, what: str | None = None) -> DataFrame:
     """within and n of groups with fewer or more rows (or non-null ``what``) than allowed."""
-    return outside(rows.groupBy(within).agg(F.count(what or "*").alias("n")), "n", least, most)
+    keys = [within] if isinstance(within, str) else within
+    counts = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count(what or "*").alias("__count"))
+    return outside(counts, "__count", least, most).toDF(*keys, "n")
 
 
 def over_caps(entries: DataFrame, project: str = "project") -> DataFrame:
@@ -69,6 +70,11 @@ def shortcut_flags(shortcuts: DataFrame) -> DataFrame:
     return shortcuts.withColumn("over", F.array_compact(F.array(*bad)))
 
 
+def crowded_shortcuts(shortcuts: DataFrame, within: str, most: int = MOST_SHORTCUTS) -> DataFrame:
+    """within and n of projects with more shortcuts than a project may have."""
+    return counts_outside(shortcuts, within, 0, most)
+
+
 def kind_in_ranges(value: Column, ranges: list[tuple[int, int, str]]) -> Column:
     """The kind of the first range (both ends included) that holds the value, else null."""
     out = F.lit(None).cast("string")
@@ -229,9 +235,10 @@ def assembled(rows: DataFrame, layers: list[str | Column], negative: list[str |
 
 
 def shares(rows: DataFrame, by: str) -> DataFrame:
-    """by, n and share of all rows; the window holds one row a value."""
-    out = rows.groupBy(by).agg(F.count("*").alias("n"))
-    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """by, n and share of all rows."""
+    counts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))  # one row
+    return counts.join(F.broadcast(total)).select("__by", "__n", F.col("__n") / F.col("__all")).toDF(by, "n", "share")
 
 
 def too_close(rows: DataFrame, key: str, axes: list[str], least: int = 2) -> DataFrame:

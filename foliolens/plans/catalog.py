@@ -1,7 +1,7 @@
 """The registered document-audit queries and, side by side, their DuckDB equivalents.
 
 The tables are no authoring projects, so operators are bound to what is there: an entry is a ``benchmark`` row
-(its keywords are its first five distinct words of six letters or more), a scene is a ``conversations`` row, a
+(its keywords are its distinct words of six letters or more), a scene is a ``conversations`` row, a
 text is a ``documents`` row, an axis is a dimension column.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliolens.functions import text as T
-from foliolens.operators import audits, events, intervals, overlap, rules, segments, slots, turns
+from foliolens.operators import audits, events, intervals, overlap, promotion, rules, segments, slots, turns
 from foliolens.operators.contains import contained_nowhere, contains_join
 from foliolens.sources import corpus
 
@@ -39,7 +39,7 @@ def registered(sql: str | None):
 
 def entries_of(read) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 6)
-    return read("benchmark").select(F.col("item_id").alias("entry_id"), F.col("item_id").alias("rank"), F.slice(F.array_distinct(words), 1, 5).alias("keywords"))
+    return read("benchmark").select(F.col("item_id").alias("entry_id"), F.col("item_id").alias("rank"), F.array_distinct(words).alias("keywords"))
 
 
 def scenes_of(read) -> DataFrame:
@@ -51,7 +51,7 @@ def allocated_of(read) -> DataFrame:
 
 
 _ENTRIES = """words AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 6) AS w FROM benchmark),
-entries AS (SELECT item_id AS entry_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] AS keywords FROM words),
+entries AS (SELECT item_id AS entry_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS keywords FROM words),
 kw AS (SELECT DISTINCT entry_id, unnest(keywords) AS k FROM entries)"""
 _HITS = f"""{_ENTRIES},
 scenes AS (SELECT conv_id || ':' || turn AS label, lower(regexp_replace(text, '\\s+', '', 'g')) AS h FROM conversations),
@@ -658,10 +658,10 @@ def derived_files(read):
     return audits.expected_files(_projects(read), ("story.md", "characters.md", "extra.md"))
 
 
-@registered("""SELECT axis, slug, CASE axis WHEN 'characters' THEN 'INFO' ELSE 'FAIL' END AS severity FROM (SELECT DISTINCT 'characters' AS axis, split_part(p_name, ' ', 1) AS slug FROM part UNION SELECT 'scenes', lower(c_mktsegment) FROM customer) a
+@registered("""SELECT axis, slug, CASE axis WHEN 'characters' THEN 'INFO' ELSE 'FAIL' END AS severity FROM (SELECT DISTINCT 'characters' AS axis, p_name AS slug FROM part UNION SELECT 'scenes', lower(c_mktsegment) FROM customer) a
 WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, slug))""")
 def unreachable_slugs(read):
-    people = read("part").select(F.lit("characters").alias("axis"), F.split("p_name", " ")[0].alias("slug")).distinct()
+    people = read("part").select(F.lit("characters").alias("axis"), F.col("p_name").alias("slug")).distinct()
     scenes = read("customer").select(F.lit("scenes").alias("axis"), F.lower("c_mktsegment").alias("slug")).distinct()
     return audits.unreachable(people.unionByName(scenes), read("documents"))
 
@@ -769,12 +769,12 @@ def registry_caps(read):
     return rules.over_caps(entries_of(read).withColumn("project", F.col("entry_id") % 3).withColumn("name", name))
 
 
-@registered("""WITH s AS (SELECT doc_id, split_part(text, ' ', 1) AS name, split_part(text, '.', 1) AS description, split_part(text, chr(10), 1) AS prompt FROM documents)
+@registered("""WITH s AS (SELECT doc_id, replace(split_part(text, ' ', 1), chr(10), '/') AS name, replace(split_part(text, '.', 1), chr(10), '/') AS description, split_part(text, chr(10), 1) AS prompt FROM documents)
 SELECT doc_id, concat_ws(',', CASE WHEN length(trim(name)) NOT BETWEEN 1 AND 10 THEN 'name' END, CASE WHEN length(trim(description)) NOT BETWEEN 1 AND 30 THEN 'description' END, CASE WHEN length(trim(prompt)) NOT BETWEEN 1 AND 400 THEN 'prompt' END) AS over
-FROM s WHERE NOT contains(description, chr(10)) AND NOT contains(name, chr(10))""")
+FROM s""")
 def shortcut_caps(read):
     parts = (("name", " "), ("description", "."), ("prompt", "\n"))
-    rows = read("documents").select("doc_id", *[F.substring_index("text", by, 1).alias(c) for c, by in parts]).filter("not contains(description, '\\n') and not contains(name, '\\n')")
+    rows = read("documents").select("doc_id", *[F.replace(F.substring_index("text", by, 1), F.lit("\n"), F.lit("/")).alias(c) for c, by in parts])
     text = F.format_string("# Shortcut `s`\n- name: %s\n- description: %s\n\n## Shortcut prompt\n%s", "name", "description", "prompt")
     return rules.shortcut_flags(rules.shortcut_blocks(rows.select("doc_id", text.alias("text")), ["doc_id"])).select("doc_id", F.array_join("over", ",").alias("over"))
 
@@ -929,3 +929,21 @@ def bodies_in_prompts(read):
 @registered(f"""{_BODIES} SELECT s.id AS item_id, class_id, len(g)::INT AS n_shingles, (SELECT count(*) FROM l WHERE body_class = class_id) AS n_links FROM s JOIN c USING (which, g) WHERE which = 'a'""")
 def body_links(read):
     return overlap.contained(read("benchmark"), read("documents"), "item_id", "doc_id")[1]
+
+
+# --- runs to promote to a symbol ------------------------------------------------------------------------------------
+
+
+@registered("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
+r AS (SELECT conv_id, turn, n, i AS pos, array_to_string(w[i:i + n - 1], ' ') AS run FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (SELECT unnest(generate_series(2, 6)) AS n) WHERE len(w) >= n)),
+o AS (SELECT *, count(*) OVER (PARTITION BY run, n) AS c, lag(pos) OVER (PARTITION BY conv_id, turn, run, n ORDER BY pos) AS before FROM r),
+u AS (SELECT run, n::INT AS n, count(*) AS uses FROM o WHERE c >= 4 AND (before IS NULL OR before + n <= pos) GROUP BY 1, 2 HAVING count(*) >= 4)
+SELECT run, n, uses, uses * (length(run) - 1) - (length(run) + 3) AS saves FROM u WHERE uses * (length(run) - 1) > length(run) + 3""")
+def run_savings(read):
+    return promotion.run_savings(read("conversations"))
+
+
+# greedy, so no SQL: the tests hold it against a plain loop
+@registered(None)
+def promoted_runs(read):
+    return promotion.promoted(read("conversations"), most=8)

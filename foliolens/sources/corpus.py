@@ -105,9 +105,3 @@ def measure_parts(parts: DataFrame, key: str, text: str = "text") -> DataFrame:
     between = F.count(text) - 1
     cp, units = F.sum(F.length(text)) + between, F.sum(utf16_units(F.col(text))) + between
     return parts.groupBy(key).agg(F.greatest(cp, units, F.lit(0)).alias("measured"))
-
-
-def join_parts(parts: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
-    """Each key's texts in order, joined by line feeds."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
-    return parts.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))

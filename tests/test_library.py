@@ -282,3 +282,13 @@ def test_rules(spark):
     lines = spark.createDataFrame([("1. go",), ("Ann: \"hi\"",), ("a | b",), ("he said: no",)], "line string")
     assert [r.form for r in rules.form_lines(lines).collect()] == ["menu", "speech", "menu", "prose"]
     assert [r.text for r in rules.with_residue(spark.createDataFrame([("see a/b.md",), ("TODO",), ("fine / good",)], "text string"), ["text"]).collect()] == ["see a/b.md", "TODO"]
+
+
+def test_columns_named_like_our_own(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "n string, share int")
+    assert sorted(map(tuple, rules.shares(rows, "n").toDF("k", "n", "share").collect())) == [("a", 2, 2 / 3), ("b", 1, 1 / 3)]
+    assert [tuple(r) for r in rules.counts_outside(rows, "n", 2, 9).collect()] == [("b", 1)]
+    assert [tuple(r) for r in audits.repeated(rows, "n").collect()] == [("a", 2)]
+    assert [tuple(r) for r in rules.crowded_shortcuts(rows, "n", 1).collect()] == [("a", 2)]
+    docs = spark.createDataFrame([(1, "x → y → z", "mine", "own")], "doc_id int, text string, symbol string, kind string")
+    assert [(r.doc_id, r.symbol, r.n, r.first_pos) for r in audits.symbol_rows(docs).collect()] == [(1, "→", 2, 3)]

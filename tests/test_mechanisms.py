@@ -229,3 +229,62 @@ def test_titles_are_made_unique_as_by_a_loop(spark):
     assert sorted(x.title for x in found.collect()) == ["a", "a (2)", "a (3)"]
     same = audits.snapshot_counts(audits.snapshot_diff(corpus.stamp(corpus.stamps(found)), found, ["file", "title"]), "file").collect()
     assert [tuple(x) for x in same] == [("f", 0, 0, 0, 3)]
+
+
+# --- runs to promote -------------------------------------------------------------------------------------------
+
+
+def plain_places(texts, least, most_words):
+    words, out = [(t or "").split() for t in texts], []
+    for n in range(2, most_words + 1):
+        rows = [(d, p, n, " ".join(w[p : p + n])) for d, w in enumerate(words) for p in range(len(w) - n + 1)]
+        count = {}
+        for r in rows:
+            count[r[3]] = count.get(r[3], 0) + 1
+        out += [r for r in rows if count[r[3]] >= least]
+    return out
+
+
+def plain_counts(places, symbol, least):
+    uses, last = {}, {}
+    for d, p, n, run in sorted(places):
+        before = last.get((d, run))
+        last[d, run] = p
+        if before is None or before + n <= p:
+            uses.setdefault((run, n), []).append((d, p))
+    rows = [(run, n, len(at), len(at) * (len(run) - symbol) - (len(run) + symbol + 2)) for (run, n), at in uses.items()]
+    return {r for r in rows if r[2] >= least and r[3] > 0}, uses
+
+
+def plain_promoted(texts, symbol, least, most_words, most):
+    places, out = plain_places(texts, least, most_words), []
+    while len(out) < most:
+        rows, uses = plain_counts(places, symbol, least)
+        if not rows:
+            break
+        best = min(rows, key=lambda r: (-r[3], r[0]))
+        out.append((len(out) + 1, *best))
+        taken = {(d, p + i) for d, p in uses[best[:2]] for i in range(best[1])}
+        places = [x for x in places if not any((x[0], x[1] + i) in taken for i in range(x[2]))]
+    return out
+
+
+def test_runs_to_promote_against_plain_counts(spark):
+    from foliolens.operators import promotion
+
+    r = random.Random(8)
+    phrases = [" ".join(r.choice("abcdefgh") * r.randrange(1, 5) for _ in range(r.randrange(2, 7))) for _ in range(6)]
+    texts = ["  ".join(r.choice([*phrases, "x", f"own{r.randrange(99)}"]) for _ in range(r.randrange(12))) for _ in range(40)] + [None, "", "la la la la la la la la la"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = {tuple(x) for x in promotion.run_savings(docs, symbol=2).collect()}
+    assert rows == plain_counts(plain_places(texts, 4, 6), 2, 4)[0] and rows
+    got = [tuple(x) for x in promotion.promoted(docs, symbol=2, most=5).orderBy("nth").collect()]
+    assert got == plain_promoted(texts, 2, 4, 6, 5) and len(got) > 2
+    assert promotion.promoted(docs.limit(0)).count() == 0
+
+
+def test_promoted_runs_of_the_table(spark, sf):
+    from foliolens.plans import catalog
+
+    texts = [x.text for x in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    assert [tuple(x) for x in catalog.QUERIES["promoted_runs"](spark, sf).orderBy("nth").collect()] == plain_promoted(texts, 1, 4, 6, 8)
