@@ -947,3 +947,12 @@ def run_savings(read):
 @registered(None)
 def promoted_runs(read):
     return promotion.promoted(read("conversations"), most=8)
+
+
+# --- attributes that nobody named --------------------------------------------------------------------------------
+
+
+@registered("SELECT event_type AS axis, 'e' || event_id AS slug, replace(props, ' ', '') AS attributes FROM events")
+def open_attributes(read):
+    text = F.concat(F.lit('{"'), "event_type", F.lit('": {"e'), F.col("event_id").cast("string"), F.lit('": '), "props", F.lit("}}"))
+    return corpus.axes(read("events").select(text.alias("text"))).select("axis", "slug", "attributes")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliolens.functions.text import trimmed, unix_lines, utf16_units
 
-AXES = "map<string,map<string,struct<ko:string,size:array<int>,tags:string,seed:bigint>>>"
 STAMP = "map<string,map<string,string>>"
 
 
@@ -64,9 +63,15 @@ def read_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 
 
 def axes(configs: DataFrame, column: str = "text") -> DataFrame:
-    """axis, slug, ko, size, tags, seed of a JSON document of axes; absent parts are null."""
-    parsed = configs.select(F.explode(F.from_json(column, AXES)).alias("axis", "slugs"))
-    return parsed.select("axis", F.explode("slugs").alias("slug", "x")).select("axis", "slug", "x.*")
+    """axis, slug, ko, size, tags, seed and attributes (all of a slug's, as JSON) of a JSON document of axes.
+
+    Values are kept as variants, so attributes that nobody named stay.  What an axis or slug lacks, or has in another form (a
+    size that is no list of numbers), is null; values beside the axes that are no objects are left out.
+    """
+    parsed = configs.select(F.explode(F.from_json(column, "map<string,variant>")).alias("axis", "slugs"))
+    rows = parsed.lateralJoin(configs.sparkSession.tvf.variant_explode(F.col("slugs").outer())).filter("key is not null")
+    named = [F.try_variant_get("value", f"$.{n}", t).alias(n) for n, t in (("ko", "string"), ("size", "array<int>"), ("tags", "string"), ("seed", "bigint"))]
+    return rows.select("axis", F.col("key").alias("slug"), *named, F.to_json("value").alias("attributes"))
 
 
 def stamp(documents: DataFrame, column: str = "text") -> DataFrame:

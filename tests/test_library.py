@@ -292,3 +292,19 @@ def test_columns_named_like_our_own(spark):
     assert [tuple(r) for r in rules.crowded_shortcuts(rows, "n", 1).collect()] == [("a", 2)]
     docs = spark.createDataFrame([(1, "x → y → z", "mine", "own")], "doc_id int, text string, symbol string, kind string")
     assert [(r.doc_id, r.symbol, r.n, r.first_pos) for r in audits.symbol_rows(docs).collect()] == [(1, "→", 2, 3)]
+
+
+def test_attributes_that_nobody_named_stay(spark):
+    import json
+
+    config = {
+        "base": "masterpiece", "n": 3, "list": [{"x": 1}],
+        "characters": {"ann": {"ko": "앤", "seed": 7, "loras": [{"name": "a", "weight": 0.5}], "tags": "x, y"}, "bob": {}},
+        "scenes": {"hall": {"size": "wide", "ko": None}, "yard": {"size": [832, 1216], "more": {"deep": [1, {"k": "v"}]}}, "odd": 5},
+        "styles": {"a b": {"seed": 12345678901, "unknown axis": True}},
+    }
+    rows = {(r.axis, r.slug): r for r in corpus.axes(spark.createDataFrame([(json.dumps(config),), (None,), ("[1]",), ("no json",)], "text string")).collect()}
+    assert {k: json.loads(r.attributes) for k, r in rows.items()} == {(a, s): x for a, slugs in config.items() if isinstance(slugs, dict) for s, x in slugs.items()}
+    assert rows["characters", "ann"].seed == 7 and rows["styles", "a b"].seed == 12345678901 and rows["scenes", "yard"]["size"] == [832, 1216]
+    sizes = spark.createDataFrame([(list(x["size"]) if x["size"] else None, k[1]) for k, x in rows.items()], "size array<int>, slug string")
+    assert {r.slug: r.label for r in sizes.select("slug", T.size_label(F.col("size")).alias("label")).collect()} == {"ann": "—", "bob": "—", "hall": "—", "yard": "832×1216", "odd": "—", "a b": "—"}
