@@ -55,6 +55,8 @@ ZONE = 4 / 3
 BROADCAST_IDS = 100_000
 #: Members of a list that are held against the same least one.
 LIST_PART = 512
+#: Sets whose tokens a task sorts at once.
+BATCH_SETS = 3_000
 #: Members up to which what is left of a list is joined with itself; longer ones are compared in blocks.
 SHORT_LIST = 48
 #: Longs of a set's signature.
@@ -179,7 +181,7 @@ def _by_token(sets: DataFrame) -> DataFrame:
     """token and nodes: the sets of one batch that have the token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_SETS) for b in batches for at in range(0, len(b), BATCH_SETS)):
             tokens = batch["tokens"]
             node = np.repeat(batch["node"].to_numpy(), tokens.value_lengths().to_numpy())
             flat = tokens.flatten().to_numpy()
