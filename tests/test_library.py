@@ -276,7 +276,7 @@ def test_rules(spark):
     got = {r.shortcut_id: (r["name"], r.prompt, r.over) for r in rules.shortcut_flags(rules.shortcut_blocks(books, ["i"])).collect()}
     assert got == {"sum": ("a name of length", "do it", ["name"]), "b": ("b", "", ["description", "prompt"])}
     names = spark.createDataFrame([(n,) for n in ("anna", "anne", "bo", "annabella", "an", "")], "n string")
-    assert sorted((r.a, r.b) for r in rules.confusable(names, "n", 2).collect()) == [("an", "anna"), ("an", "anne"), ("anna", "anne")]
+    assert sorted((r.a, r.b) for r in rules.confusable(names, "n", 2).collect()) == [("an", "anna"), ("an", "anne"), ("an", "bo"), ("anna", "anne")]
     rows = spark.createDataFrame([(1, "x", "y", None), (2, "x", "z", None), (3, "q", "r", "s"), (4, "x", "y", None)], "k int, a string, b string, c string")
     assert sorted(map(tuple, rules.too_close(rows, "k", ["a", "b", "c"]).collect())) == [(1, 2, 1), (1, 4, 0), (2, 4, 1)]
     lines = spark.createDataFrame([("1. go",), ("Ann: \"hi\"",), ("a | b",), ("he said: no",)], "line string")
