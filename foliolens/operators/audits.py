@@ -232,9 +232,9 @@ def legend_counts(marked: DataFrame, keep: list[str]) -> DataFrame:
 
 def asset_paths(axes: DataFrame) -> DataFrame:
     """axis and rel_path of every asset: people by situations, and one a slug of the folder axes."""
-    people = axes.filter("axis = 'characters'").select(F.col("slug").alias("p"), F.lit(1).alias("one"))
-    moods = axes.filter("axis = 'situations'").groupBy(F.lit(1).alias("one")).agg(F.collect_list("slug").alias("moods"))  # a short closed list
-    combos = people.join(moods, "one").select(F.lit("characters").alias("axis"), F.explode(F.transform("moods", lambda m: F.concat_ws("/", F.col("p"), F.concat(m, F.lit(".png"))))).alias("rel_path"))
+    people = axes.filter("axis = 'characters'").select(F.col("slug").alias("p"))
+    moods = axes.filter("axis = 'situations'").agg(F.collect_list("slug")).scalar()  # a short closed list
+    combos = people.select("p", F.explode(moods).alias("m")).select(F.lit("characters").alias("axis"), F.concat_ws("/", "p", F.concat("m", F.lit(".png"))).alias("rel_path"))
     folder = F.create_map(*[F.lit(x) for pair in AXIS_FOLDERS.items() for x in pair])[F.col("axis")]
     fixed = axes.filter(F.col("axis").isin(*AXIS_FOLDERS)).select("axis", F.concat(folder, F.lit("/"), "slug", F.lit(".png")).alias("rel_path"))
     return combos.unionByName(fixed)
@@ -258,7 +258,7 @@ def first_of(rows: DataFrame, order: str, count: int, within: str | None = None)
         first = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(within).orderBy(order))).filter(F.col("__nth") <= count)
         both = first.join(total, within).drop("__nth")
     else:
-        both = rows.orderBy(order).limit(count).join(total)  # one row of totals
+        both = rows.orderBy(order).limit(count).withColumn("__total", total.scalar())
     return both.withColumn("more", F.greatest(F.col("__total") - count, F.lit(0))).drop("__total")
 
 

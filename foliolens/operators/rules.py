@@ -237,8 +237,7 @@ def assembled(rows: DataFrame, layers: list[str | Column], negative: list[str |
 def shares(rows: DataFrame, by: str) -> DataFrame:
     """by, n and share of all rows."""
     counts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__all"))  # one row
-    return counts.join(F.broadcast(total)).select("__by", "__n", F.col("__n") / F.col("__all")).toDF(by, "n", "share")
+    return counts.select("__by", "__n", F.col("__n") / rows.agg(F.count("*")).scalar()).toDF(by, "n", "share")
 
 
 def too_close(rows: DataFrame, key: str, axes: list[str], least: int = 2) -> DataFrame:
