@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,39 +45,38 @@ def sections(docs: DataFrame, file: str = "name") -> DataFrame:
     return number_repeats(rows, ["file"], "title", "pos")
 
 
-_SUFFIXED = r"(?s)^.* \([1-9][0-9]*\)$"
-
-
 def number_repeats(rows: DataFrame, within: list[str], title: str, order: str) -> DataFrame:
     """Titles made unique: one that is taken gets `` (n)`` with the least n from 2 on that is free in its group.
 
-    Where no title of a group ends like such a number, the n-th of equal titles gets n.  Groups with both repeated titles and
-    titles that end so are walked in order, as a number may be taken by what a text says; such a group, the headings of one
-    file, is held by one task.  Null titles stay null.
+    Rows are dealt and sorted by group, and each task walks its groups in order, as a number may be taken by what a text says;
+    it holds the titles of one group at a time.  Null titles stay null.
     """
-    same, group = Window.partitionBy(*within, title), Window.partitionBy(*within)
-    marked = rows.withColumn("__n", F.row_number().over(same.orderBy(order)))
-    marked = marked.withColumn("__odd", (F.max("__n").over(group) > 1) & F.coalesce(F.max(F.col(title).rlike(_SUFFIXED)).over(group), F.lit(False)))
-    plain = F.when(F.col("__n") > 1, F.concat(F.col(title), F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))).otherwise(F.col(title))
-    done = marked.filter(~F.col("__odd")).withColumn(title, plain).drop("__n", "__odd")
-    odd = marked.filter("__odd").drop("__n", "__odd")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        taken, least, out = set(), {}, []
-        for t in group[title]:
-            key = t
-            if t is not None and t in taken:
-                n = least.get(t, 2)
-                while (key := f"{t} ({n})") in taken:
-                    n += 1
-                least[t] = n + 1
-            taken.add(key)
-            out.append(key)
-        group[title] = out
-        return group
-
-    return done.unionByName(odd.groupBy(*within).applyInPandas(walk, odd.schema))
+    at = rows.columns.index(title)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken, least = None, set(), {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in within]
+            begins = {0}.union(*((np.asarray(pc.run_end_encode(k).run_ends)[:-1]).tolist() for k in keys))
+            bounds, titles, out = [*sorted(begins), batch.num_rows], batch.column(at).to_pylist(), []
+            for begin, end in zip(bounds, bounds[1:]):
+                if begin or [k[0].as_py() for k in keys] != group:
+                    taken, least = set(), {}
+                for t in titles[begin:end]:
+                    key = t
+                    if t is not None and t in taken:
+                        n = least.get(t, 2)
+                        while (key := f"{t} ({n})") in taken:
+                            n += 1
+                        least[t] = n + 1
+                    taken.add(key)
+                    out.append(key)
+            group = [k[-1].as_py() for k in keys]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return rows.repartition(*within).sortWithinPartitions(*within, order).mapInArrow(walk, rows.schema)
 
 
 def lines(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
