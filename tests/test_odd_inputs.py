@@ -31,3 +31,21 @@ def test_stage_table_takes_halves_as_sql_does(spark, tmp_path):
     money = [1.15, 1.25, 1.35, 1.45, -1.15, -1.25, -1.35, 0.05, None, 9.0]
     got, want = both(spark, tmp_path, "stage_table", part=parts, customer={"c_custkey": pa.array(range(10), pa.int64()), "c_acctbal": money})
     assert got == want and len({x[1] for x in got}) > 2
+
+
+def test_sections_split_each_text_once(spark):
+    from foliolens.operators import segments
+
+    docs = spark.createDataFrame([("f", "a\n# b\nx\n# b\n# b (2)\n"), ("g", None), ("h", "none")], "name string, text string")
+    found = segments.sections(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((x.file, x.pos, x.title) for x in found.collect()) == [("f", 0, "b"), ("f", 1, "b (2)"), ("f", 2, "b (2) (2)"), ("g", 0, segments.WHOLE), ("h", 0, segments.WHOLE)]
+
+
+def test_titles_of_many_groups_are_walked_in_one_pass(spark):
+    from foliolens.operators import segments
+
+    rows = spark.range(3000).selectExpr("id % 1000 as g", "if(id < 2000, 'a', 'a (2)') as title", "id as pos")
+    found = segments.number_repeats(rows, ["g"], "title", "pos")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(x.title for x in found.filter("g = 7").collect()) == ["a", "a (2)", "a (2) (2)"] and found.distinct().count() == 3000
