@@ -49,3 +49,18 @@ def test_titles_of_many_groups_are_walked_in_one_pass(spark):
     found = segments.number_repeats(rows, ["g"], "title", "pos")
     assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(x.title for x in found.filter("g = 7").collect()) == ["a", "a (2)", "a (2) (2)"] and found.distinct().count() == 3000
+
+
+def test_promoted_runs_with_few_in_play(spark, monkeypatch):
+    from foliolens.operators import promotion
+
+    texts = ["one two three four x", "one two three four y la la la la la la", "two three four one two"] * 3 + ["p q r s"] * 5 + ["la la la la la b", "c la la la"] * 4
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = promotion._chosen_of_all(docs, "text", 1, 4, 6, 4)
+    held = []
+    monkeypatch.setattr(promotion, "heads", lambda places, true=promotion.heads: held.append(1) or true(places))
+    for promising in ((1000,), (1, 4), (1,)):
+        monkeypatch.setattr(promotion, "PROMISING", promising)
+        held.clear()
+        assert [tuple(x) for x in promotion.promoted(docs, most=4).orderBy("nth").collect()] == want and len(want) > 2
+        assert promising != (1,) or held
