@@ -31,10 +31,10 @@ def sections(docs: DataFrame, file: str = "name") -> DataFrame:
     """file, pos, title, digest of every section of levels 1 to 3; deeper headings stay in their section."""
     head = r"(?md)^#{1,3}\s+(.+?)\s*$"
     parts = F.split("text", r"(?md)(?=^#{1,3}\s+\S)")
-    # split once a text: the array and its size are columns before the array is taken apart, else each section splits its text again
+    # split once a text: array and size are columns before the array is taken apart; outer, as else a filter on its size splits again
     rows = docs.select(F.col(file).alias("file"), "text", F.filter(parts, lambda p: p.rlike(r"^#{1,3}\s+\S")).alias("found"))
     rows = rows.select("file", F.when(F.size("found") > 0, F.col("found")).otherwise(F.array("text")).alias("found"))
-    rows = rows.select("file", "found", (F.size("found") - 1).alias("last")).select("file", F.posexplode("found").alias("pos", "part"), "last")
+    rows = rows.select("file", "found", (F.size("found") - 1).alias("last")).select("file", F.posexplode_outer("found").alias("pos", "part"), "last")
     titled = F.col("part").rlike(r"^#{1,3}\s+\S")
     # the next heading's mark keeps a blank line before it in the body
     after = F.regexp_replace(F.concat("part", F.when(F.col("pos") < F.col("last"), "#").otherwise("")), r"(?md)\A#{1,3}\s+.+?\s*$", "")
