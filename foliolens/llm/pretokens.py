@@ -33,8 +33,8 @@ class Known:
     chunks for which that differs (a hash met twice, or bytes that no id gives back) are encoded by themselves.
     """
 
-    def __init__(self, decoded: list[bytes], limit: int = CACHE_BYTES):
-        self.limit = limit
+    def __init__(self, decoded: list[bytes], limit: int | None = None):
+        self.limit = CACHE_BYTES if limit is None else limit
         self.exact = True  # whether the ids of the last call decode to the very text
         self.table = np.frombuffer(b"".join(decoded), np.uint8)
         self.sizes = np.array([len(x) for x in decoded], np.int64)
@@ -47,7 +47,7 @@ class Known:
             h, f, n = np.concatenate([h1, h2]), np.concatenate([f1, f2]), np.concatenate([n1, n2])
             order = np.argsort(h, kind="stable")
             self.parts[-2:] = [(h[order], spread(f, n, order)[0], n[order])]
-        if sum(x.nbytes for p in self.parts for x in p) > self.limit:
+        while self.parts and sum(x.nbytes for p in self.parts for x in p) > self.limit:
             self.parts = self.parts[1:]
 
     def _lookup(self, hashes, raw, starts, ends, encode) -> tuple[np.ndarray, np.ndarray]:
