@@ -154,6 +154,27 @@ def test_components_of_a_long_path(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("task_edges", [1 << 18, 40, 1])
+def test_components_take_few_shuffles(spark, monkeypatch, task_edges):
+    """A path in random order: as many edges as one task may contract take no step of joins, fewer take some."""
+    from foliolens.llm import components as module
+
+    cuts = []
+    monkeypatch.setattr(module, "cut", lambda df: cuts.append(df) or df.checkpoint())
+    join.cut(spark.range(1))  # names the folder
+    r = random.Random(2)
+    ids = r.sample(range(10**9), 400)
+    edges = [(ids[i], ids[i + 1]) for i in range(399) if i % 133] + [(7, 7), (None, 3)] + [(ids[5], ids[5 - 3])] * 50
+    got = {x.node: x.component for x in components(spark.createDataFrame(r.sample(edges, len(edges)), "a long, b long"), task_edges).collect()}
+    near = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            one = near.get(a, {a}) | near.get(b, {b})
+            near |= dict.fromkeys(one, one)
+    assert got == {n: min(c) for n, c in near.items()}
+    assert (len(cuts) == 2) == (task_edges > len(edges))
+
+
 @pytest.mark.parametrize("many", [200, 400])
 def test_long_lists_make_rows_of_members_and_not_of_pairs(spark, many):
     """Sets of one list, much alike and not linked: blocks give none but the pairs that may link, each once."""
