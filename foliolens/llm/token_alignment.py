@@ -1,10 +1,11 @@
 """Two tokenizers over the same texts: groups of tokens that cover the same bytes, and links between their last tokens.
 
 A mapper tokenises space + text with both vocabularies and gives, for each row, ids and the byte offsets at which tokens
-end.  All the rest is Spark: ``array_intersect`` of the two end arrays gives the borders at which both have a token's end;
-sorted together with an end array, each border stands beside its like, so that its place there, less the borders before
-it, is the place of the token that ends there (``sequence``, ``filter``, ``transform``: linear after one sort of numbers);
-slices between these places are the groups.  A's and B's tokens that end at a border are a link.
+end, each packed with its side and its place.  All the rest is Spark: ``sort_array`` merges both sides' ends, and where
+``zip_with`` finds an end of A beside an equal one of B, both have a token's end, a border, and the tokens that end there are
+a link.  Each border with the one before it gives the places of its group's tokens (``zip_with``, ``transform``, ``slice``).
+Sorting, merging and turning ids to text are projections of their own, on arrays without nulls, so that they run as
+generated code and only the lambdas are interpreted.
 
 How often an id pair is linked is counted over the whole corpus: links are counted within each row first and then summed
 by pair.  There are at most as many pairs as ids of A times ids of B, whatever the input; up to ``BROADCAST_PAIRS`` of
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliolens.llm.common import blocks, cut, cut_wide, lists, utf8
+from foliolens.llm.common import blocks, cut, cut_wide, utf8
 from foliolens.llm.pretokens import Known, chunks, per_row, spread
 from foliolens.llm.sentencepiece_codec import _SPACE, MARK, MODEL, marked
 from foliolens.llm.training_order import _ODD_SPACE, PATTERN, encode_chunks
@@ -43,7 +45,10 @@ CACHE_BYTES = 20 << 20
 #: Bits of an id in a packed pair.
 ID_BITS = 24
 
-_TOKENS = "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+#: A packed end: the offset, a bit for the side, and the token's place from 1 on.
+PLACE_BITS = 31
+_PLACE = (1 << PLACE_BITS) - 1
+_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c + e, T.ArrayType(t, False)) for c in "ab" for e, t in (("", T.IntegerType()), ("_ends", T.LongType())))])
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -156,8 +161,14 @@ def _worker(key: str, names: Vocabularies) -> _Worker:
     return _WORKERS[key]
 
 
+def _arrays(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list column without null elements."""
+    offs = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, kind), type=pa.list_(pa.field("element", kind, nullable=False)))
+
+
 def tokenise(docs: DataFrame, names: Vocabularies | None = None) -> DataFrame:
-    """doc_id with ids and ends of both tokenizers; rows without tokens have empty arrays."""
+    """doc_id with ids and packed ends of both tokenizers; rows without tokens have empty arrays."""
     names = names or Vocabularies.load()
     key, shared = names.key(), docs.sparkSession.sparkContext.broadcast(names)
 
@@ -169,49 +180,49 @@ def tokenise(docs: DataFrame, names: Vocabularies | None = None) -> DataFrame:
                 sides = worker.tokens(*marked(raw, offs))
                 good = sides[0][3] & sides[1][3]
                 columns = []
-                for ids, ends, count, _ in sides:
+                for side, (ids, ends, count, _) in enumerate(sides):
                     keep = np.repeat(good, count)
                     n = np.where(good, count, 0)
-                    columns += [lists(ids[keep].astype(np.int32), n, pa.int32()), lists(ends[keep].astype(np.int32), n, pa.int32())]
+                    place = np.arange(1, n.sum() + 1) - np.repeat(np.cumsum(n) - n, n)
+                    packed = ends[keep].astype(np.int64) << (PLACE_BITS + 1) | side << PLACE_BITS | place
+                    columns += [_arrays(ids[keep].astype(np.int32), n, pa.int32()), _arrays(packed, n, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), *columns], ["doc_id", "a", "a_ends", "b", "b_ends"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
 
-def _with(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, not for each element of a lambda."""
-    return F.get(F.transform(F.array(value), use), 0)
-
+def _group(before: Column, at: Column) -> Column:
+    """The text of the group between two borders: mostly one token of each side."""
 
-def _places(ends: str, borders: str) -> Column:
-    """0, and how many tokens end at or before each border: a border and its like among the ends stand side by side once sorted."""
-    both = F.sort_array(F.concat(ends, borders))
-    twins = lambda s: F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) == F.get(s, i - 1))
-    found = F.when(F.size(borders) > 0, F.transform(_with(both, twins), lambda i, k: i - k)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(F.lit(0)), found)
+    def side(ids: str, place) -> Column:
+        return F.array_join(F.slice(ids, place(before) + 1, place(at) - place(before)), ",")
 
+    one = F.concat(F.element_at("a_text", _place_a(at)), F.lit("|"), F.element_at("b_text", _place_b(at)))
+    return F.when(at - before == (1 << PLACE_BITS | 1), one).otherwise(F.concat(side("a_text", _place_a), F.lit("|"), side("b_text", _place_b)))
 
-def _group(k: Column) -> Column:
-    """The text of a group: mostly one token of each side."""
 
-    def side(ids: str, places: str) -> Column:
-        return F.array_join(F.slice(ids, F.get(places, k) + 1, F.get(places, k + 1) - F.get(places, k)).cast("array<string>"), ",")
+def _place_a(border: Column) -> Column:
+    return F.shiftright(border, PLACE_BITS).cast("int")
 
-    def one(ids: str, places: str) -> Column:
-        return F.get(ids, F.get(places, k)).cast("string")
 
-    single = (F.get("a_at", k + 1) - F.get("a_at", k) == 1) & (F.get("b_at", k + 1) - F.get("b_at", k) == 1)
-    return F.when(single, F.concat(one("a", "a_at"), F.lit("|"), one("b", "b_at"))).otherwise(F.concat(side("a", "a_at"), F.lit("|"), side("b", "b_at")))
+def _place_b(border: Column) -> Column:
+    return border.bitwiseAND(_PLACE).cast("int")
 
 
 def groups(tokens: DataFrame) -> DataFrame:
-    """``tokenise``'s rows with borders (byte offsets), a_at and b_at (0, and tokens up to each border), groups (as text) and
-    links (packed id pairs)."""
-    rows = tokens.withColumn("borders", F.array_intersect("a_ends", "b_ends"))
-    rows = rows.withColumn("a_at", _places("a_ends", "borders")).withColumn("b_at", _places("b_ends", "borders"))
-    pair = lambda k: F.shiftleft(F.get("a", F.get("a_at", k) - 1).cast("long"), ID_BITS).bitwiseOR(F.get("b", F.get("b_at", k) - 1).cast("long"))
-    each = lambda first, last, use, none: F.when(F.size("borders") > 0, F.transform(F.sequence(F.lit(first), F.size("borders") + last), use)).otherwise(F.array().cast(none))
-    return rows.withColumn("links", each(1, 0, pair, "array<long>")).withColumn("groups", F.array_join(each(0, -1, _group, "array<string>"), ";"))
+    """``tokenise``'s rows with borders (places of A's and of B's token that end there, packed), groups (as text) and links
+    (packed id pairs)."""
+    rows = tokens.withColumn("ends", F.sort_array(F.concat("a_ends", "b_ends"))).drop("a_ends", "b_ends")
+    rows = rows.withColumns({f"{c}_text": F.col(c).cast("array<string>") for c in "ab"})
+    # ends that differ in the side alone, whatever their places
+    same = lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 1
+    both = lambda x, y: F.shiftleft(x.bitwiseAND(_PLACE), PLACE_BITS).bitwiseOR(y.bitwiseAND(_PLACE))
+    later = F.slice("ends", 2, F.greatest(F.size("ends") - 1, F.lit(0)))
+    met = F.zip_with("ends", later, lambda x, y: F.when(same(x, y), both(x, y)))
+    rows = rows.withColumn("borders", F.filter(met, lambda x: x.isNotNull())).drop("ends")
+    before = F.slice(F.array_prepend("borders", F.lit(0).cast("long")), 1, F.size("borders"))
+    pair = lambda x: F.shiftleft(F.element_at("a", _place_a(x)).cast("long"), ID_BITS).bitwiseOR(F.element_at("b", _place_b(x)).cast("long"))
+    return rows.withColumn("groups", F.array_join(F.zip_with(before, "borders", _group), ";")).withColumn("links", F.transform("borders", pair))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

@@ -84,6 +84,17 @@ def test_no_rows(spark, docs_of):
     assert token_alignment.align(docs_of([])).count() == 0
 
 
+def test_one_sort_merges_both_sides(spark, docs_of):
+    """Ends are sorted once for both sides, by generated code (no null elements, a projection of its own), not once a side within a lambda."""
+    import re
+
+    tokens = token_alignment.tokenise(docs_of([(1, "one two"), (2, "")]))
+    assert not any(tokens.schema[c].dataType.containsNull for c in ("a", "a_ends", "b", "b_ends"))
+    plan = token_alignment.groups(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "array_intersect(" not in plan
+    assert not any(re.search(r"zip_with\(.*sort_array\(", line) for line in plan.splitlines())
+
+
 def test_query_on_the_table(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     assert got(queries.op13_token_alignment(spark, sf).orderBy("doc_id").collect()) == brute(texts)
