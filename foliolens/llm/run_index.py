@@ -67,7 +67,7 @@ def sort_contexts(text: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray,
 
 
 class RunIndex:
-    """Runs, their sampled ends, and the earliest position of every context that occurs again."""
+    """Runs, their sampled ends, and the earliest position of every row's context."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray | None = None):
         """``ends``: ends of pieces of the text, in order; their rows are kept, for streams of the text itself to begin at, and
@@ -114,7 +114,8 @@ class RunIndex:
             flag = np.zeros(len(text), bool)
             flag[at[inner]] = True
             self.live = np.logical_or.reduceat(flag, np.maximum(np.append(0, ends[:-1] - CONTEXT + 1), 0)) if len(ends) else flag[:0]
-        self.group, self.group_end, self.earliest = group[again].astype(np.int32), (group + length)[again].astype(np.int32), at[group[again]]
+        self.again = bool(again.any())
+        self.earliest = np.repeat(at[group], length)  # of each row's context; one that occurs once has its own position
 
     def __len__(self) -> int:
         return len(self.heads)
@@ -190,20 +191,17 @@ class RunIndex:
         ``ends`` are those that the index was built with, if any.
         """
         out = np.zeros(len(self.text), bool)
-        if not len(self.group):
+        if not self.again:
             return out
         rows = self.end_rows
         if rows is not None:
             starts, ends, rows = starts[self.live], ends[self.live], rows[self.live]
         for _, place, match, row in self.stream(self.text, starts, ends, rows):
-            full = np.flatnonzero(match == CONTEXT)
-            at = np.maximum(np.searchsorted(self.group, row[full].astype(np.int32), "right") - 1, 0)
-            inside = (self.group[at] <= row[full]) & (row[full] < self.group_end[at]) & (self.earliest[at] < place[full])
-            out[place[full[inside]]] = True
+            out[place[(match == CONTEXT) & (self.earliest[row] < place)]] = True
         return out
 
 
-def pieces(starts: np.ndarray, ends: np.ndarray, windows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def pieces(starts: np.ndarray, ends: np.ndarray, windows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Spans cut into ones of at most ``windows`` contexts each, so that none keeps the others waiting."""
     n = np.maximum(-(-(ends - starts - CONTEXT + 1) // windows), 1)
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

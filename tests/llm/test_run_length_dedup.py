@@ -115,3 +115,20 @@ def test_query_on_the_table(spark, sf):
     rows = list(zip(*pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
     want = sorted((i, a, b, c, hashlib.sha256(k).hexdigest()) for i, a, b, c, k in brute(rows, [0] * len(rows)))
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op12_run_length_dedup(spark, sf).collect()) == want
+
+
+def test_every_row_knows_where_its_context_is_first():
+    """A full match is judged by one look-up by row; no search over the contexts that occur again."""
+    r = np.random.default_rng(3)
+    part = r.integers(97, 99, 300, np.uint8)
+    text = np.concatenate([part, r.integers(97, 100, 200, np.uint8), part[:150], part])
+    index = run_index.RunIndex(text)
+    padded = np.append(text, [run_index.BORDER] * (run_index.CONTEXT + 1)).astype(np.uint8).tobytes()
+    contexts = [padded[i : i + run_index.CONTEXT] for i in range(len(text) + 1)]
+    first = {}
+    for i, c in enumerate(contexts):
+        first.setdefault(c, i)
+    assert index.earliest.tolist() == [first[c] for c in sorted(contexts)]
+    start, end = np.array([0]), np.array([len(text)])
+    got = np.flatnonzero(index.repeated(*run_index.pieces(start, end)))
+    assert got.tolist() == [i for i in range(len(text) - run_index.CONTEXT + 1) if first[contexts[i]] < i]
