@@ -1,11 +1,15 @@
 """Two tokenizers over the same texts: groups of tokens that cover the same bytes, and links between their last tokens.
 
-A mapper tokenises space + text with both vocabularies and gives, for each row, ids and the byte offsets at which tokens
-end, each packed with its side and its place.  All the rest is Spark: ``sort_array`` merges both sides' ends, and where
-``zip_with`` finds an end of A beside an equal one of B, both have a token's end, a border, and the tokens that end there are
-a link.  Each border with the one before it gives the places of its group's tokens (``zip_with``, ``transform``, ``slice``).
-Sorting, merging and turning ids to text are projections of their own, on arrays without nulls, so that they run as
-generated code and only the lambdas are interpreted.
+A mapper cuts space + text before each run of white space that starts with a space.  No token of either vocabulary reaches
+over such a cut, so tokens' ends meet there and what lies between two cuts, a segment, is aligned the same wherever it
+stands.  A block of texts becomes a few rows of its distinct segments end to end, with ids and the byte offsets at which
+tokens end, each packed with its side and its place; the last row also says which segments each text has.
+
+Groups and links are found by Spark: ``sort_array`` merges both sides' ends, and where ``zip_with`` finds an end of A beside
+an equal one of B, both have a token's end, a border, and the tokens that end there are a link.  Each border with the one
+before it gives the places of its group's tokens (``zip_with``, ``transform``, ``slice``).  Sorting, merging and turning ids
+to text are projections of their own, on arrays without nulls, so that they run as generated code and only the lambdas are
+interpreted.  A second mapper, which gets the rows as they were made, puts each text's segments together again.
 
 How often an id pair is linked is counted over the whole corpus: links are counted within each row first and then summed
 by pair.  There are at most as many pairs as ids of A times ids of B, whatever the input; up to ``BROADCAST_PAIRS`` of
@@ -13,12 +17,13 @@ them go to all tasks, else rows meet them on a plain exchange.  A row's links co
 
 Defined cases: a null or empty text, and one whose tokens' bytes (of either side) are not space + text, has no tokens:
 counts are 0 and the groups the empty text.  Special tokens' strings are plain text.  Repeated rows, and rows that share
-an id, are rows of their own and count each; a long text is one row of long arrays.  Other columns of any name are
-ignored.  No rows: none.
+an id, are rows of their own and count each; a long text is a block of its own; texts with white space beyond ASCII's are
+one segment.  Other columns of any name are ignored.  No rows: none.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -35,7 +40,7 @@ from foliolens.llm.common import blocks, cut, cut_wide, utf8
 from foliolens.llm.pretokens import Known, chunks, per_row, spread
 from foliolens.llm.sentencepiece_codec import _SPACE, MARK, MODEL, marked
 from foliolens.llm.training_order import _ODD_SPACE, PATTERN, encode_chunks
-from foliolens.llm.words import SEPARATOR
+from foliolens.llm.words import SEPARATOR, spans_hash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Id pairs (16 bytes each and their place in a hash table) up to which their counts are broadcast.
@@ -45,10 +50,23 @@ CACHE_BYTES = 20 << 20
 #: Bits of an id in a packed pair.
 ID_BITS = 24
 
-#: A packed end: the offset, a bit for the side, and the token's place from 1 on.
+#: Bytes of text whose distinct segments are aligned once.
+BLOCK_BYTES = 2 << 20
+#: Tokens of A from which on a row takes no further segment; an Arrow batch has up to ``BATCH_ROWS``.
+ROW_TOKENS = 100
+#: Rows of an Arrow batch while texts are aligned: two mappers at a time hold one each, on either side.
+BATCH_ROWS = 2500
+#: Segments that are compared, or put together to texts, at once.
+STEP = 1 << 16
+
+#: A packed end: the offset, a bit for the side, and the token's place from 1 on with two low bits, of which the lowest is
+#: set where B's token is its segment's last.
 PLACE_BITS = 31
 _PLACE = (1 << PLACE_BITS) - 1
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c + e, T.ArrayType(t, False)) for c in "ab" for e, t in (("", T.IntegerType()), ("_ends", T.LongType())))])
+_DOC = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType(), False) for c in ("n_a", "n_b")), T.StructField("segments", T.ArrayType(T.IntegerType(), False), False)])
+_TOKENS = T.StructType(
+    [T.StructField("docs", T.ArrayType(_DOC, False), False), *(T.StructField(c + e, T.ArrayType(t, False), False) for c in "ab" for e, t in (("", T.IntegerType()), ("_ends", T.LongType())))]
+)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -108,6 +126,30 @@ class _Worker:
         found = [f if len(x) > 1 else [self.mark] for f, x in zip(found, new)]
         return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
 
+    def segments(self, raw: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+        """For A and B the distinct segments' ids, ends (counted from the first segment's start) and tokens a segment; for each
+        segment of the text its row and its place among them.  Rows that do not come back are left out; all others start with a space."""
+        whole = np.zeros(len(offs) - 1, bool)  # rows that are one segment
+        whole[np.searchsorted(offs, [m.start() for m in _ODD_SPACE.finditer(raw.tobytes())], "right") - 1] = True
+        while True:
+            starts, _, row = chunks(raw, offs, SEPARATOR)
+            keep = np.where(whole[row], np.diff(row, prepend=-1) > 0, raw[starts] == 0x20)
+            starts, row = starts[keep], row[keep]
+            text, sizes, place = _distinct(raw, starts, np.append(starts[1:], len(raw)))
+            sides = self.tokens(text, np.append(0, np.cumsum(sizes)))
+            same = sides[0][3] & sides[1][3]
+            bad = np.zeros(len(whole), bool)
+            bad[row[~same[place]]] = True
+            if not (bad & ~whole).any():
+                break
+            whole |= bad  # whether such a row's bytes come back is judged on the row
+        begin, out = np.cumsum(sizes) - sizes, []
+        for ids, ends, count, _ in sides:
+            kept = np.repeat(same, count)
+            out.append((ids[kept], (ends + np.repeat(begin, count))[kept], count[same]))
+        use = ~bad[row]
+        return out, row[use], (np.cumsum(same) - 1)[place[use]]
+
     def tokens(self, raw: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For A and B: ids, ends (counted from the row's start), tokens a row, and whether the row's bytes come back."""
         starts, ends, row = chunks(raw, offs, SEPARATOR)
@@ -147,10 +189,26 @@ def _ends(known: Known, ids: np.ndarray, count: np.ndarray, raw: np.ndarray, off
     same = np.ones(len(count), bool)
     if not known.exact:
         back, _ = spread(known.table, known.sizes, ids)
-        same = np.array([np.array_equal(back[begin[i] : begin[i + 1]], raw[offs[i] : offs[i + 1]]) for i in range(len(count))], bool)
+        length, size = np.diff(begin), np.diff(offs)
+        same = length == size
+        fits = np.flatnonzero(same)
+        ours, n = spread(back, length, fits)
+        same[np.repeat(fits, n)[ours != spread(raw, size, fits)[0]]] = False
     return upto - np.repeat(begin[:-1], count), count, same
 
 
+def _distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and sizes of the distinct spans, and which of them each span is; the spans cover ``raw`` without gaps."""
+    size = ends - starts
+    _, first, place = np.unique(spans_hash(raw, starts, ends), return_index=True, return_inverse=True)
+    same = (size[first[place]] == size).all()
+    for i in range(0, len(starts), STEP):  # in steps, as index arrays take eight times the text
+        same = same and np.array_equal(spread(raw, size, first[place[i : i + STEP]])[0], raw[starts[i] : ends[i : i + STEP][-1]])
+    if not same:
+        first = place = np.arange(len(starts))  # two spans share a hash: all stay
+    return spread(raw, size, first)[0], size[first], place
+
+
 _WORKERS: dict[str, _Worker] = {}
 
 
@@ -161,6 +219,14 @@ def _worker(key: str, names: Vocabularies) -> _Worker:
     return _WORKERS[key]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers that wait for a task, or take the other mapper's, keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _arrays(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column without null elements."""
     offs = np.append(0, np.cumsum(lengths)).astype(np.int32)
@@ -168,25 +234,36 @@ def _arrays(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Ar
 
 
 def tokenise(docs: DataFrame, names: Vocabularies | None = None) -> DataFrame:
-    """doc_id with ids and packed ends of both tokenizers; rows without tokens have empty arrays."""
+    """Ids and packed ends of both tokenizers over each block's distinct segments, in rows of some ``ROW_TOKENS``; the last of
+    a block's rows has its ``docs``: doc_id, number of tokens of either side and places of its segments, from 0 on."""
     names = names or Vocabularies.load()
-    key, shared = names.key(), docs.sparkSession.sparkContext.broadcast(names)
+    key, shared, limit, most = names.key(), docs.sparkSession.sparkContext.broadcast(names), BLOCK_BYTES, ROW_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             worker = _worker(key, shared.value)
             raw_all, offs_all = utf8(batch["text"])
-            for lo, hi, raw, offs in blocks(raw_all, offs_all):
-                sides = worker.tokens(*marked(raw, offs))
-                good = sides[0][3] & sides[1][3]
-                columns = []
-                for side, (ids, ends, count, _) in enumerate(sides):
-                    keep = np.repeat(good, count)
-                    n = np.where(good, count, 0)
-                    place = np.arange(1, n.sum() + 1) - np.repeat(np.cumsum(n) - n, n)
-                    packed = ends[keep].astype(np.int64) << (PLACE_BITS + 1) | side << PLACE_BITS | place
-                    columns += [_arrays(ids[keep].astype(np.int32), n, pa.int32()), _arrays(packed, n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), *columns], ["doc_id", "a", "a_ends", "b", "b_ends"])
+            for lo, hi, raw, offs in blocks(raw_all, offs_all, limit):
+                sides, row, place = worker.segments(*marked(raw, offs))
+                count = sides[0][2]
+                first = np.flatnonzero(np.diff((np.cumsum(count) - count) // most, prepend=-1))  # each row's first segment
+                first = first if len(first) else np.zeros(1, np.int64)
+                columns, totals = [], []
+                for side, (ids, ends, count) in enumerate(sides):
+                    upto = np.cumsum(count)
+                    begin = np.append(0, upto)[first]
+                    n = np.diff(begin, append=len(ids))
+                    at = (np.arange(1, len(ids) + 1) - np.repeat(begin, n)) << 2
+                    at[upto - 1] |= side
+                    packed = ends.astype(np.int64) << (PLACE_BITS + 1) | side << PLACE_BITS | at
+                    columns += [_arrays(ids.astype(np.int32), n, pa.int32()), _arrays(packed, n, pa.int64())]
+                    totals.append(pa.array(per_row(count[place], row, hi - lo)))
+                own = _arrays(place.astype(np.int32), np.bincount(row, minlength=hi - lo), pa.int32())
+                doc = pa.StructArray.from_arrays([batch["doc_id"].slice(lo, hi - lo), *totals, own], ["doc_id", "n_a", "n_b", "segments"])
+                offsets = np.zeros(len(first) + 1, np.int32)
+                offsets[-1] = hi - lo
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), doc), *columns], _TOKENS.names)
+                _give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
@@ -198,20 +275,21 @@ def _group(before: Column, at: Column) -> Column:
         return F.array_join(F.slice(ids, place(before) + 1, place(at) - place(before)), ",")
 
     one = F.concat(F.element_at("a_text", _place_a(at)), F.lit("|"), F.element_at("b_text", _place_b(at)))
-    return F.when(at - before == (1 << PLACE_BITS | 1), one).otherwise(F.concat(side("a_text", _place_a), F.lit("|"), side("b_text", _place_b)))
+    # both places grow by 4, whatever the low bit
+    return F.when(at - before < (4 << PLACE_BITS) + 6, one).otherwise(F.concat(side("a_text", _place_a), F.lit("|"), side("b_text", _place_b)))
 
 
 def _place_a(border: Column) -> Column:
-    return F.shiftright(border, PLACE_BITS).cast("int")
+    return F.shiftright(border, PLACE_BITS + 2).cast("int")
 
 
 def _place_b(border: Column) -> Column:
-    return border.bitwiseAND(_PLACE).cast("int")
+    return F.shiftright(border.bitwiseAND(_PLACE), 2).cast("int")
 
 
 def groups(tokens: DataFrame) -> DataFrame:
     """``tokenise``'s rows with borders (places of A's and of B's token that end there, packed), groups (as text) and links
-    (packed id pairs)."""
+    (packed id pairs, and above them a bit where a segment ends)."""
     rows = tokens.withColumn("ends", F.sort_array(F.concat("a_ends", "b_ends"))).drop("a_ends", "b_ends")
     rows = rows.withColumns({f"{c}_text": F.col(c).cast("array<string>") for c in "ab"})
     # ends that differ in the side alone, whatever their places
@@ -221,10 +299,47 @@ def groups(tokens: DataFrame) -> DataFrame:
     met = F.zip_with("ends", later, lambda x, y: F.when(same(x, y), both(x, y)))
     rows = rows.withColumn("borders", F.filter(met, lambda x: x.isNotNull())).drop("ends")
     before = F.slice(F.array_prepend("borders", F.lit(0).cast("long")), 1, F.size("borders"))
-    pair = lambda x: F.shiftleft(F.element_at("a", _place_a(x)).cast("long"), ID_BITS).bitwiseOR(F.element_at("b", _place_b(x)).cast("long"))
+    pair = lambda x: F.shiftleft(F.element_at("a", _place_a(x)).cast("long"), ID_BITS).bitwiseOR(F.element_at("b", _place_b(x)).cast("long")).bitwiseOR(F.shiftleft(x.bitwiseAND(1), 2 * ID_BITS))
     return rows.withColumn("groups", F.array_join(F.zip_with(before, "borders", _group), ";")).withColumn("links", F.transform("borders", pair))
 
 
+def by_text(rows: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n_a, n_b, groups (as text, or its SHA-256 if there are any) and links (packed id pairs) of every text, of ``groups``' rows."""
+    step = STEP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORKERS.clear()  # a worker that was the other mapper's needs its vocabularies no more
+        texts, pairs = [], []  # of the block at hand
+        for batch in batches:
+            docs, groups, links = batch["docs"], batch["groups"].cast(pa.binary()), batch["links"]
+            done = 0
+            for end in [*(np.flatnonzero(np.diff(docs.offsets.to_numpy())) + 1).tolist(), len(docs)]:
+                texts += [x for x in groups[done:end].to_pylist() if x]
+                pairs.append(links[done:end].flatten().to_numpy())
+                if end > done and len(doc := docs[end - 1 : end].flatten()):
+                    yield from _joined(doc, b";".join(texts), np.concatenate(pairs), digest, step)
+                    texts, pairs = [], []
+                done = end
+            _give_back()
+
+    return rows.select("docs", "groups", "links").mapInArrow(run, f"doc_id long, n_a long, n_b long, groups string, links array<long>")
+
+
+def _joined(doc: pa.StructArray, text: bytes, pairs: np.ndarray, digest: bool, step: int) -> Iterator[pa.RecordBatch]:
+    """A block's texts from its distinct segments' groups and links."""
+    last = np.flatnonzero(pairs >> 2 * ID_BITS)
+    upto = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == ord(";")), len(text))[last].tolist()
+    parts = [text[a:b] for a, b in zip([0, *(x + 1 for x in upto)], upto)]
+    pairs, size = pairs & ((1 << 2 * ID_BITS) - 1), np.diff(last, prepend=-1)
+    offs = np.append(0, np.cumsum(doc.field("segments").value_lengths().to_numpy()))
+    for lo, hi, place, at in blocks(doc.field("segments").flatten().to_numpy(), offs, step):
+        joined = [b";".join([parts[i] for i in place[a:b].tolist()]) for a, b in zip(at[:-1], at[1:])]
+        groups = [(hashlib.sha256(x).hexdigest() if x else "") if digest else x.decode() for x in joined]
+        links, n = spread(pairs, size, place)
+        count = np.diff(np.append(0, np.cumsum(n))[at])
+        yield pa.RecordBatch.from_arrays([*(doc.field(c)[lo:hi] for c in ("doc_id", "n_a", "n_b")), pa.array(groups, pa.string()), _arrays(links, count, pa.int64())], ["doc_id", "n_a", "n_b", "groups", "links"])
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """pair, n (how many links corpus-wide hold it) and best (whether no pair of its B id has more), of rows with ``links``."""
     n = links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
@@ -235,10 +350,14 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, names: Vocabularies | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
-    rows = groups(tokenise(docs, names))
-    sizes = [F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("borders").cast("long").alias("n_groups")]
-    digest = F.when(F.size("a") > 0, F.sha2("groups", 256)).otherwise("")
-    rows = cut_wide(rows.select("doc_id", *sizes, digest.alias("groups_sha256"), "links"))
+    rows = by_text(groups(tokenise(docs, names)), digest=True)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        rows = cut_wide(rows.select("doc_id", "n_a", "n_b", F.size("links").cast("long").alias("n_groups"), F.col("groups").alias("groups_sha256"), "links"))
+    finally:
+        conf.set(key, before)
     counts = cut(pair_counts(rows))
     few = counts.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     rows = rows.withColumn("__row", F.monotonically_increasing_id())

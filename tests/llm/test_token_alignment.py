@@ -95,6 +95,52 @@ def test_one_sort_merges_both_sides(spark, docs_of):
     assert not any(re.search(r"zip_with\(.*sort_array\(", line) for line in plan.splitlines())
 
 
+def test_a_segment_is_aligned_once_a_block(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    tokens = token_alignment.groups(token_alignment.tokenise(docs_of([(i, "same words, same words again\tand again") for i in range(50)]).coalesce(1)))
+    (_, _, n, *_), *_ = brute(["same words, words again\tand again"])  # " same" comes twice
+    found = tokens.agg(F.sum(F.size("borders")).alias("n")).first().n
+    assert found == n
+
+
+@pytest.mark.parametrize("rows", [2, 10_000])
+def test_blocks_rows_and_batches_of_any_size(spark, docs_of, monkeypatch, rows):
+    """A block's rows lie in several batches, one batch has several blocks, and a text is put together in steps."""
+    for name, value in (("BLOCK_BYTES", 150), ("ROW_TOKENS", 3), ("STEP", 5)):
+        monkeypatch.setattr(token_alignment, name, value)
+    r = random.Random(7)
+    texts = ODD + ["".join(r.choice(["the ", "wor", "d ", "\n", " ", "\u2581", "\u00a0", "été ", "x1", ".", "tion", "  "]) for _ in range(r.randrange(60))) for _ in range(80)]
+    docs = docs_of([(i, t) for i, t in enumerate(texts)]).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        assert got(token_alignment.align(docs).orderBy("doc_id").collect()) == brute(texts)
+        found = token_alignment.by_text(token_alignment.groups(token_alignment.tokenise(docs))).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(x.n_a, x.n_b, len(x.links), hashlib.sha256(x.groups.encode()).hexdigest() if x.n_a else "") for x in found] == [(a, b, n, h) for a, b, _, n, _, _, h in brute(texts)]
+
+
+def test_only_texts_without_tokens(spark, docs_of):
+    texts = ["", None, "x\u2581y"]
+    assert got(token_alignment.align(docs_of([(i, t) for i, t in enumerate(texts)]).coalesce(1)).orderBy("doc_id").collect()) == brute(texts)
+
+
+def test_segments_with_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    raw = np.frombuffer(b" one two one six", np.uint8)
+    starts = np.array([0, 4, 8, 12])
+    ends = np.append(starts[1:], len(raw))
+    for _ in range(2):
+        text, sizes, place = token_alignment._distinct(raw, starts, ends)
+        at = np.append(0, np.cumsum(sizes))
+        assert b"".join(text[at[i] : at[i + 1]].tobytes() for i in place) == raw.tobytes()
+        monkeypatch.setattr(token_alignment, "spans_hash", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+
+
 def test_query_on_the_table(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     assert got(queries.op13_token_alignment(spark, sf).orderBy("doc_id").collect()) == brute(texts)
