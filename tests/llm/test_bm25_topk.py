@@ -94,3 +94,74 @@ def test_query_on_the_table(spark):
     sf = "/root/testdata/sf0.01"
     docs = list(zip(*pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
     same(queries.op6_bm25_topk(spark, sf).collect(), brute(docs, [d for d in docs if d[0] % 100 == 0], 10))
+
+
+def prose(n, words=400, seed=5):
+    r = random.Random(seed)
+    vocabulary = [f"{r.choice('abcdé')}{i}" for i in range(words)]
+    return [" ".join(vocabulary[min(int(r.paretovariate(0.7)) - 1, words - 1)] for _ in range(r.randrange(1, 120))) for _ in range(n)]
+
+
+def many(texts, asked, k):
+    """What a task is given: a batch and the queries in blocks, and the exact result of one task that searches them one by one."""
+    term, row, tf = bm25_topk._pairs(*bm25_topk._terms(*utf8(pa.array(texts))))
+    terms, df = np.unique(term, return_counts=True)
+    keep = np.isin(row, asked)
+    weight = (np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))[np.searchsorted(terms, term)] * tf)[keep]
+    queries = bm25_topk._in_blocks(row[keep].astype(np.int64), term[keep], weight)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    (want,) = bm25_topk._search_few(iter([batch]), queries, k, 60.0)
+    return batch, queries, want
+
+
+def rows(batch):
+    return sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: (r[0], -r[2], r[1]))
+
+
+def test_queries_searched_together_find_the_same(monkeypatch):
+    texts = prose(500) + ["a1 a1 the same"] * 30 + ["", None, "--", "zz unique"]
+    batch, queries, want = many(texts, [*range(0, 500, 7), 505, 533], 6)
+    for name, value in (("TILE_DOCS", 50), ("TILE_QUERIES", 9), ("PRODUCT_TERMS", 7), ("WALKED", 100), ("TOGETHER", 2)):
+        monkeypatch.setattr(bm25_topk, name, value)
+    for dense in (0, 20, 1e9):  # no products, some, nothing but products
+        monkeypatch.setattr(bm25_topk, "DENSE", dense)
+        (got,) = bm25_topk._search_many(iter([batch.slice(0, 200), batch.slice(200)]), queries, np.zeros(len(queries[0])), 6, 60.0)
+        assert rows(got) == rows(want)
+    monkeypatch.setattr(bm25_topk, "SHARD_BYTES", 3000)
+    (got,) = bm25_topk._search_many(iter([batch]), queries, np.zeros(len(queries[0])), 6, 60.0)
+    assert rows(got) == rows(want)
+
+
+def test_frequent_terms_are_not_walked_posting_by_posting(monkeypatch):
+    batch, queries, want = many(prose(3000, 3000), range(0, 3000, 10), 10)
+    walked, ranges = [], bm25_topk._ranges
+    monkeypatch.setattr(bm25_topk, "_ranges", lambda start, n: (walked.append(int(n.sum())), ranges(start, n))[1])
+    (got,) = bm25_topk._search_many(iter([batch]), queries, np.zeros(len(queries[0])), 10, 60.0)
+    term, row, _ = bm25_topk._pairs(*bm25_topk._terms(*utf8(batch["text"])))
+    df = dict(zip(*(x.tolist() for x in np.unique(term, return_counts=True))))
+    assert rows(got) == rows(want) and sum(walked) < sum(df[t] for t in queries[4][queries[2]].tolist()) / 3
+
+
+def test_tasks_start_from_a_bound_and_yield_few_rows():
+    batch, queries, want = many(prose(2000), range(0, 2000, 10), 10)
+    last = {q: s for q, _, s in reversed(rows(want))}
+    least = np.array([min(s for q, _, s in rows(want) if q == i) for i in queries[0].tolist()])
+    tasks = [rows(b) for lo in range(0, 2000, 250) for b in bm25_topk._search_many(iter([batch.slice(lo, 250)]), queries, least, 10, 60.0)]
+    assert len(last) == 200 and sum(map(len, tasks)) < 1.1 * len(rows(want)) and not set(rows(want)) - {r for t in tasks for r in t}
+
+
+def test_many_queries_match_brute_force(spark, docs_of, monkeypatch):
+    docs = list(enumerate(prose(900))) + [(i, "a1 the same copy") for i in range(900, 930)] + [(None, "a1 b2"), (930, None), (940, ""), (5, "a1, b2"), (10, "a1")]
+    asked = [(i, min(t for j, t in docs if j == i and t is not None)) for i in range(0, 930, 10)]
+    for name, value in (("FEW_QUERIES", 0), ("SAMPLE", 4), ("SAMPLE_DOCS", 50), ("QUERY_TERMS", 1500)):
+        monkeypatch.setattr(bm25_topk, name, value)
+    df = docs_of(docs).repartition(3)
+    same(bm25_topk.top_k(df, df.filter("doc_id % 10 = 0 and doc_id < 930"), 7).collect(), brute(docs, asked, 7))
+
+
+def test_terms_alike_in_their_high_bits_are_told_apart():
+    r = random.Random(2)
+    for terms in ([5 << 40, 7 << 40], [8, 9, 10, 8 << 20], [2**64 - 1, 2**64 - 2, 0]):
+        pairs = [(r.choice(terms), r.randrange(9)) for _ in range(200)]
+        term, row, n = bm25_topk._pairs(np.array([t for t, _ in pairs], np.uint64), np.array([d for _, d in pairs], np.int32))
+        assert list(zip(term.tolist(), row.tolist(), n.tolist())) == [(*p, c) for p, c in sorted(Counter(pairs).items())]
