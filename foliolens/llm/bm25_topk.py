@@ -12,9 +12,9 @@ Many queries are searched together (``Block.search``).  Documents and queries ar
 ``TILE_QUERIES`` that share their most frequent terms and are about as long.  Where a block of queries meets a
 block of documents, terms that are frequent in both make one product of matrices, and only the postings of the
 others are walked.  That is done in single precision, so it only says who may be among the k best: a rounding
-bound is taken off, and who is left is scored exactly.  Before a pass, its queries are searched in a ``SAMPLE``-th of
-the documents; the k-th best score found there is a lower bound that every task starts from, so that tasks do not
-all yield k rows a query.  It leaves out nothing that belongs to the k best.
+bound is taken off, and who is left is scored exactly.  Before a pass, its queries are searched in a sample of the documents;
+the k-th best score found there is a lower bound that every task starts from, so that tasks do not all score and yield
+k rows a query exactly.  It leaves out nothing that belongs to the k best.
 
 Few queries (``FEW_QUERIES``) are searched one by one (``Index.search``), by blocks of ``BLOCK_DOCS`` documents ordered by their
 least term hash, the most promising blocks first.
@@ -30,6 +30,7 @@ shard of its own if need be; only doc_id and text are read, so further columns o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,10 +57,10 @@ TILE_DOCS, TILE_QUERIES = 1024, 256
 DENSE = 250
 #: Terms in a product of matrices, and postings walked at once.
 PRODUCT_TERMS, WALKED = 1024, 1 << 18
-#: Queries of a block whose candidates are scored exactly at once.
-TOGETHER = 16
-#: One document in so many is searched for the bounds of a pass; tasks of so many documents do it.
-SAMPLE, SAMPLE_DOCS = 32, 8192
+#: At least one document in so many is searched for the bounds of a pass; tasks of so many documents do it.
+SAMPLE, SAMPLE_DOCS = 4, 16384
+#: An exact score costs about as much as so many of the others.
+EXACT = 500
 _SEPARATOR = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
@@ -238,8 +239,6 @@ class Bests:
         keep = scores >= self.least[query]
         self.found.append((query[keep], ids[keep], scores[keep]))
         self.new += len(self.found[-1][0])
-        if self.new >= max(len(self.least) * self.k // 2, 10_000):
-            self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         query, ids, scores = (np.concatenate(c) for c in zip(*self.found))
@@ -281,7 +280,6 @@ class Block:
         self.doc_row, self.doc_impact = np.repeat(np.arange(len(self.terms)), self.count)[by_doc], impact[by_doc]
         self.of_doc = np.bincount(doc, minlength=len(ids))
         self.doc_at = np.cumsum(self.of_doc) - self.of_doc
-        self.weights = np.zeros(0)
 
     def search(self, asked: Asked, place: np.ndarray, bests: Bests) -> None:
         """``place`` says where each wanted term is in ``terms``, -1 if nowhere."""
@@ -342,26 +340,20 @@ class Block:
 
     def _exact(self, asked: Asked, query: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The scores of pairs of queries, in order, and documents, added up term by term in double precision."""
-        if not len(self.weights):
-            self.weights = np.zeros(TOGETHER * len(self.terms))
-        scores, n = np.zeros(len(query)), self.of_doc[doc]
-        some, first, which = np.unique(query, return_index=True, return_inverse=True)
-        first = np.append(first, len(query))
-        for lo in range(0, len(some), TOGETHER):
-            these = some[lo : lo + TOGETHER]
-            entry = _ranges(asked.first[these], asked.n[these])
-            row = place[asked.term[entry]]
-            keep = np.flatnonzero(row >= 0)
-            at = np.repeat(np.arange(len(these)) * len(self.terms), asked.n[these])[keep] + row[keep]
-            self.weights[at] = asked.weight[entry[keep]]
-            begin = first[lo]
-            for part in _parts(n[begin : first[lo + len(these)]], WALKED):
-                part = slice(begin + part.start, begin + part.stop)
-                posting = _ranges(self.doc_at[doc[part]], n[part])
-                weight = self.weights[np.repeat((which[part] - lo) * len(self.terms), n[part]) + self.doc_row[posting]]
-                scores[part] = np.bincount(np.repeat(np.arange(part.stop - part.start), n[part]), weights=weight * self.doc_impact[posting], minlength=part.stop - part.start)
-            self.weights[at] = 0
-        return scores
+        weights, scores = np.zeros(len(self.terms)), []
+        start, docs = self.doc_at[doc].tolist(), doc.tolist()
+        end = (self.doc_at[doc] + self.of_doc[doc]).tolist()
+        some, first = np.unique(query, return_index=True)
+        for q, lo, hi in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(docs)]):
+            own = slice(asked.first[q], asked.first[q] + asked.n[q])
+            row = place[asked.term[own]]
+            has = row >= 0
+            row = row[has]
+            weights[row] = asked.weight[own][has]
+            for a, b in zip(start[lo:hi], end[lo:hi]):
+                scores.append((weights[self.doc_row[a:b]] * self.doc_impact[a:b]).cumsum()[-1])  # one after the other: equal terms, equal sum
+            weights[row] = 0
+        return np.array(scores)
 
 
 def _doc_blocks(raw: np.ndarray, offs: np.ndarray, ids: np.ndarray, wanted: np.ndarray, common: np.ndarray, mean: float) -> Iterator[Block]:
@@ -379,7 +371,7 @@ def _doc_blocks(raw: np.ndarray, offs: np.ndarray, ids: np.ndarray, wanted: np.n
     impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
     best = np.full(len(ids), len(wanted), common.dtype)
     np.minimum.at(best, row, common[term])
-    order = np.lexsort((np.bincount(row, minlength=len(ids)), best))
+    order = np.lexsort((-np.bincount(row, minlength=len(ids)), best))  # long ones first: they score high, and bounds rise early
     order = order[best[order] < len(wanted)]
     place = np.zeros(len(ids), np.int64)
     place[order] = np.arange(len(order))
@@ -404,6 +396,8 @@ def _search_many(batches: Iterator[pa.RecordBatch], queries: tuple, least: np.nd
                 for some in asked:
                     block.search(some, place, bests)
                 place[block.terms] = -1
+                if bests.new >= len(qid) * k // 8:
+                    bests.settle()
     query, ids, scores = bests.settle()
     yield _scored(qid[query], ids, scores)
 
@@ -484,8 +478,9 @@ def _pass(rows: DataFrame, queries: tuple, k: int, mean: float, size: int) -> Da
         return out
 
     least = np.zeros(len(queries[0]))
-    if not few and size > SAMPLE * k:
-        some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).repartition(-(-size // (SAMPLE * SAMPLE_DOCS)))
+    every = max(SAMPLE, math.isqrt(size // (k * EXACT)))  # a sample of n-th costs a n-th of all scores, and leaves k * n exact ones
+    if not few and size > every * k:
+        some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(-(-size // (every * SAMPLE_DOCS)))
         last = best(some, least).filter(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query
         order = np.argsort(queries[0])
         least[order[np.searchsorted(queries[0], last["query_id"].to_numpy(), sorter=order)]] = last["score"].to_numpy()

@@ -121,7 +121,7 @@ def rows(batch):
 def test_queries_searched_together_find_the_same(monkeypatch):
     texts = prose(500) + ["a1 a1 the same"] * 30 + ["", None, "--", "zz unique"]
     batch, queries, want = many(texts, [*range(0, 500, 7), 505, 533], 6)
-    for name, value in (("TILE_DOCS", 50), ("TILE_QUERIES", 9), ("PRODUCT_TERMS", 7), ("WALKED", 100), ("TOGETHER", 2)):
+    for name, value in (("TILE_DOCS", 50), ("TILE_QUERIES", 9), ("PRODUCT_TERMS", 7), ("WALKED", 100)):
         monkeypatch.setattr(bm25_topk, name, value)
     for dense in (0, 20, 1e9):  # no products, some, nothing but products
         monkeypatch.setattr(bm25_topk, "DENSE", dense)
